@@ -1,0 +1,111 @@
+"""Order-dependent state machines over long series, block-parallel and exact.
+
+Some recursions (range bars, the Kalman hedge ratio) have no window form. Run block by block, each
+block needs the state its predecessor ends with. All blocks start from a guess at once; each is
+run again only while the state handed to it changes. When no handed state changes any more, block
+0 started right, so block 1 did, and so on: the result equals the sequential one. Machines that
+forget their past settle after two or three rounds, however long the series is.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from barlattice.plans.blocks import _BLK, _LO, _OWN, with_halo
+
+StepFn = Callable[[pd.DataFrame, dict | None, bool], tuple[pd.DataFrame | None, dict]]
+
+
+def _checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage in the cluster's checkpoint folder; a scratch one only where none is set."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if shared is None:
+            import tempfile
+
+            shared = tempfile.mkdtemp(prefix="barlattice-")
+        sc.setCheckpointDir(shared)
+    return df.checkpoint()
+
+
+def scan(
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    step: StepFn,
+    state: str,
+    output: str,
+    block_rows: int | None = None,
+) -> DataFrame:
+    """Run ``step(rows, state_in, is_last_block) -> (output rows, state_out)`` along each series.
+
+    ``rows`` is one block in time order, ``state`` and ``output`` are DDL strings. ``state_in`` is
+    None for the first block (and as the guess of the first round).
+    """
+    keys = list(keys)
+    names = [part.strip().split(" ")[0] for part in state.split(",")]
+    given = [f"_in_{n}" for n in names]
+    blocks = with_halo(df, keys, ts, block_rows=block_rows).drop(_OWN, _LO)
+    key_ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.select(*keys).schema)
+    columns = [*df.columns]
+
+    def read_state(row: pd.Series) -> dict | None:
+        if not row["_has"]:
+            return None
+        return {n: row[f"_in_{n}"] for n in names}
+
+    def run_state(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(ts, kind="stable")
+        _, out = step(pdf[columns], read_state(pdf.iloc[0]), False)
+        head = {k: pdf[k].iloc[0] for k in keys}
+        return pd.DataFrame([{**head, _BLK: int(pdf[_BLK].iloc[0]), **out}])
+
+    def run_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(ts, kind="stable")
+        out, _ = step(pdf[columns], read_state(pdf.iloc[0]), bool(pdf["_is_last"].iloc[0]))
+        return out
+
+    ends_ddl = f"{key_ddl}, {_BLK} long, {state}"
+    fresh = blocks.withColumns({"_has": F.lit(False)} | {
+        f"_in_{n}": F.lit(None).cast(part.strip().split(" ")[1])
+        for n, part in zip(names, state.split(","))
+    })
+    ends = _checkpoint(fresh.groupBy(*keys, _BLK).applyInPandas(run_state, ends_ddl))
+    by_block = Window.partitionBy(*keys).orderBy(_BLK)
+
+    def handed(ends: DataFrame) -> DataFrame:
+        prev = {g: F.lag(n).over(by_block) for g, n in zip(given, names)}
+        return ends.withColumns(
+            {"_has": F.row_number().over(by_block) > 1,
+             "_is_last": F.lead(_BLK).over(by_block).isNull()} | prev
+        ).select(*keys, _BLK, "_has", "_is_last", *given)
+
+    used = None
+    while True:
+        now = handed(ends)
+        if used is None:
+            changed = now.where("_has")
+        else:
+            same = F.lit(True)
+            for g in given:
+                same = same & F.col(f"n.{g}").eqNullSafe(F.col(f"u.{g}"))
+            on = [F.col(f"n.{k}") == F.col(f"u.{k}") for k in (*keys, _BLK)]
+            changed = now.alias("n").join(used.alias("u"), on).where(~same).select("n.*")
+        changed = _checkpoint(changed)
+        if changed.isEmpty():
+            break
+        again = (
+            blocks.join(changed.drop("_is_last"), [*keys, _BLK])
+            .groupBy(*keys, _BLK)
+            .applyInPandas(run_state, ends_ddl)
+        )
+        ends = _checkpoint(
+            ends.join(again.select(*keys, _BLK), [*keys, _BLK], "left_anti").unionByName(again)
+        )
+        used = now
+    return blocks.join(now, [*keys, _BLK]).groupBy(*keys, _BLK).applyInPandas(run_rows, output)
