@@ -7,7 +7,7 @@ import importlib
 from barlattice.catalog.core import QUERIES, SQL, QueryFn
 
 FAMILIES = [
-    "quality", "shaping",
+    "quality", "shaping", "indicators", "signals",
 
 ]
 
