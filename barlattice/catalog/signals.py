@@ -95,11 +95,11 @@ def _(spark, d):
         shock_max_gap_atr=2.5, trade_direction="both")]))
 
 
-@query("g5_keltner_tightening", sql(sel(), "tr", "atr14", "atr20", "ema20", kc=KC, sq=squeeze_sql("kc", 60, 0.9, 0.98), lv=LEVELS, v=VR,
+@query("g5_keltner_tightening", sql(sel(), "tr", "atr14", "atr20", "ema20", kc=KC.replace("1.5", "0.3").replace("3.0", "0.6"), sq=squeeze_sql("kc", 60, 0.9, 0.98), lv=LEVELS, v=VR,
     sh=SHOCK, g=breakout_sql("sq", 0.5, 0.6, 1.6, shock_ok(9.0, 9.0, 9.0))))
 def _(spark, d):
     return shown(G.signals(T.bars(spark, d), "keltner_tightening_breakout", [dict(
-        tightening_lookback=60, tightening_quantile=0.9, width_expansion_factor=0.98, breakout_volume_ratio=0.5,
+        kc_atr_mult=0.3, tightening_lookback=60, tightening_quantile=0.9, width_expansion_factor=0.98, breakout_volume_ratio=0.5,
         shock_max_gap_atr=9.0, shock_max_range_atr=9.0, shock_max_close_change_atr=9.0, trade_direction="both")]))
 
 

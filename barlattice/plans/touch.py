@@ -175,3 +175,48 @@ def extremes_between(
         .agg(F.max("hi").alias("max_high"), F.min("lo").alias("min_low"))
         .withColumnRenamed("_sid", span_id)
     )
+
+
+def matching_bars(
+    probes: DataFrame,
+    bars: DataFrame,
+    on: Sequence[str],
+    probe_ts: str,
+    top: str,
+    bottom: str,
+    carry: Sequence[str],
+    prefix: str,
+) -> DataFrame:
+    """Bars after ``probe_ts`` on days that reach up to ``top`` and down to ``bottom``.
+
+    One row per probe and bar of such a day; probes without one are absent. Days are found through
+    the same two levels of extremes as :func:`first_touch`.
+    """
+    on = list(on)
+    daily = _daily(bars, on)
+
+    def spans(x: Column) -> Column:
+        return (x["hi"] >= F.col(top)) & (x["lo"] <= F.col(bottom))
+
+    days = daily.groupBy(*on, _M).agg(F.collect_list(F.struct(_D, "hi", "lo")).alias("_days"))
+    buckets = (
+        daily.groupBy(*on, _M)
+        .agg(F.max("hi").alias("hi"), F.min("lo").alias("lo"))
+        .groupBy(*on)
+        .agg(F.collect_list(F.struct(_M, "hi", "lo")).alias("_buckets"))
+        .withColumn(_A, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    )
+    day = period_of(probe_ts)
+    found = (
+        probes.withColumn(_A, F.pmod(F.xxhash64(probe_ts, top, bottom), F.lit(SALTS)).cast("int"))
+        .join(buckets, [*on, _A])
+        .withColumn(_M, F.explode(F.transform(
+            F.filter("_buckets", lambda x: (x[_M] >= F.floor(day / SPAN)) & spans(x)), lambda x: x[_M])))
+        .drop("_buckets", _A)
+        .join(days, [*on, _M])
+        .withColumn(_D, F.explode(F.transform(
+            F.filter("_days", lambda x: (x[_D] >= day) & spans(x)), lambda x: x[_D])))
+        .drop("_days", _M)
+    )
+    b = bars.select(*on, period_of("ts").alias(_D), *[F.col(c).alias(f"{prefix}{c}") for c in carry])
+    return found.join(b, [*on, _D]).where(F.col(f"{prefix}ts") > F.col(probe_ts)).drop(_D)
