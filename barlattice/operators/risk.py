@@ -76,6 +76,10 @@ def _need(n: int) -> int:
     return min(n, max(n // 2, 5))
 
 
+def _at_most(values: str, limit: Column) -> Column:
+    return F.filter(values, lambda x: x <= limit)
+
+
 def rolling_var_es(
     daily: DataFrame, n: int, primary: float, tail: float, keys: Sequence[str] = ("stream",)
 ) -> DataFrame:
@@ -90,7 +94,7 @@ def rolling_var_es(
     cols: dict[str, Column] = {}
     for k in ("primary", "tail"):
         q = F.col(f"_q_{k}")
-        low = F.filter("_seen", lambda x, q=q: x <= q)
+        low = _at_most("_seen", q)
         total = F.aggregate(low, F.lit(0.0), lambda a, x: a + x)
         cols[f"var_{k}"] = loss(q)
         cols[f"es_{k}"] = loss(total / F.nullif(F.size(low), F.lit(0)))

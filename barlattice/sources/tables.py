@@ -188,15 +188,13 @@ def daily_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hourly_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Standalone hourly equity per slot plus the portfolio, one stream each."""
-    s = slot_history(spark, sf_dir)
-    slots = s.select(
-        F.concat(F.lit("slot_"), F.col("slot_id").cast("string")).alias("stream"),
-        "ts", (F.lit(100000.0) + F.col("cum_pnl")).alias("equity"),
-    )
-    total = s.groupBy("ts").agg((F.lit(100000.0) + F.sum("cum_pnl")).alias("equity")).select(
-        F.lit("portfolio").alias("stream"), "ts", "equity"
+    own = F.concat(F.lit("slot_"), F.col("slot_id").cast("string"))
+    return (
+        slot_history(spark, sf_dir)
+        .select(F.explode(F.array(own, F.lit("portfolio"))).alias("stream"), "ts", "cum_pnl")
+        .groupBy("stream", "ts")
+        .agg((F.lit(100000.0) + F.sum("cum_pnl")).alias("equity"))
     )
-    return slots.unionByName(total)
 
 
 def fold_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
