@@ -105,7 +105,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
       SELECT CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS slot_id,
              CAST(o_orderdate AS DATE) AS day,
              sum(o_totalprice * CASE o_orderstatus WHEN 'F' THEN 1.0::DOUBLE WHEN 'O' THEN -1.0
-                 ELSE 0.1 END) * 0.001::DOUBLE AS pnl
+                 ELSE 0.1 END) / 1009.0::DOUBLE AS pnl
       FROM orders GROUP BY 1, 2"""),
     "dayeq": (("dayslot",), """
       SELECT 'slot_' || CAST(slot_id AS VARCHAR) AS stream, slot_id, CAST(day AS TIMESTAMP) AS ts, day,
@@ -163,3 +163,21 @@ def sql(body: str, *needs: str, **extra: str) -> str:
         visit(name)
     parts = [f"{n} AS ({CTES[n][1]})" for n in order] + [f"{n} AS ({b})" for n, b in extra.items()]
     return (f"WITH {', '.join(parts)} " if parts else "") + body
+
+
+def phi(z: str) -> str:
+    """SQL normal distribution function by its power series (|z| up to 8)."""
+    c = f"least(greatest({z}, -8::DOUBLE), 8::DOUBLE)"
+    term = ("exp((2 * k + 1) * ln(greatest(abs({c}), 1e-300::DOUBLE)) - lgamma(k + 1.5::DOUBLE)"
+            " - (k + 1) * ln(2) + 0.5 * ln(pi()))").format(c=c)
+    series = f"list_sum(list_transform(range(0, 160), lambda k: {term}))"
+    return f"(0.5 + sign({c}) * exp(-{c} * {c} / 2) / sqrt(2 * pi()) * {series})"
+
+
+def t_tails(t: str, v: str) -> str:
+    """SQL two-sided Student-t probability by Simpson's rule on the density."""
+    w = "CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    area = (f"list_sum(list_transform(range(0, 2001), lambda i: ({w}) * pow(1 + pow(abs({t}) * i / 2000.0::DOUBLE, 2) / ({v}), "
+            f"-(({v}) + 1) / 2.0::DOUBLE))) * abs({t}) / 6000.0::DOUBLE")
+    scale = f"exp(lgamma((({v}) + 1) / 2.0::DOUBLE) - lgamma(({v}) / 2.0::DOUBLE)) / sqrt(({v}) * pi())"
+    return f"greatest(0, 1 - 2 * {area} * {scale})"

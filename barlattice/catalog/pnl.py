@@ -38,11 +38,11 @@ for _h, _label, _seq in (
     ("1m", "last_day(day)", "last_day(unnest(generate_series(date_trunc('month', a), date_trunc('month', z), INTERVAL 1 MONTH)))"),
 ):
     @query(f"l2_resample_{_h}", sql(f"""
-      SELECT '0' AS run_id, s.slot_id, s.period, {r('coalesce(p.pnl, 0)', 6, 'pnl')} FROM (
+      SELECT '0' AS run_id, s.slot_id, s.period, {r('coalesce(p.pnl, 0)', 5, 'pnl')} FROM (
         SELECT slot_id, CAST({_seq} AS DATE) AS period FROM (SELECT slot_id, min({_label}) AS a, max({_label}) AS z FROM dayslot GROUP BY 1)) s
       LEFT JOIN (SELECT slot_id, {_label} AS period, sum(pnl) AS pnl FROM dayslot GROUP BY 1, 2) p ON p.slot_id = s.slot_id AND p.period = s.period""", "dayslot"))
     def _(spark, d, h=_h):
-        return L.resample(gappy(spark, d), h).withColumn("pnl", rd("pnl", 6))
+        return L.resample(gappy(spark, d), h).withColumn("pnl", rd("pnl", 5))
 
 
 DIST = f"""SELECT {{k}}, {r('CASE WHEN n > 2 AND sd > 0 THEN m3 / pow(m2, 1.5) END', 4, 'skew')}, {r('CASE WHEN n > 2 AND sd > 0 THEN m4 / (m2 * m2) - 3 END', 4, 'kurtosis')},
@@ -81,16 +81,16 @@ def snapshots(spark, d):
     return e.select(F.lit("0").alias("run_id"), "slot_id", "ts", (F.col("equity") - 1000000.0).alias("cum_pnl"))
 
 
-@query("l6_daily_slot_export", sql(f"""SELECT '0' AS run_id, slot_id, day, {r('v - coalesce(lag(v) OVER (PARTITION BY slot_id ORDER BY day), 0)', 6, 'pnl')} FROM (
+@query("l6_daily_slot_export", sql(f"""SELECT '0' AS run_id, slot_id, day, {r('v - coalesce(lag(v) OVER (PARTITION BY slot_id ORDER BY day), 0)', 4, 'pnl')} FROM (
   SELECT *, coalesce(last_value(snapshot IGNORE NULLS) OVER (PARTITION BY slot_id ORDER BY day), 0) AS v FROM snap)""", "snap"))
 def _(spark, d):
-    return L.daily_slot_export(snapshots(spark, d)).withColumn("pnl", rd("pnl", 6))
+    return L.daily_slot_export(snapshots(spark, d)).withColumn("pnl", rd("pnl", 4))
 
 
-@query("l6_daily_slot_export_zero_fill", sql(f"""SELECT '0' AS run_id, slot_id, day, {r('v - coalesce(lag(v) OVER (PARTITION BY slot_id ORDER BY day), 0)', 6, 'pnl')} FROM (
+@query("l6_daily_slot_export_zero_fill", sql(f"""SELECT '0' AS run_id, slot_id, day, {r('v - coalesce(lag(v) OVER (PARTITION BY slot_id ORDER BY day), 0)', 4, 'pnl')} FROM (
   SELECT *, coalesce(snapshot, 0) AS v FROM snap)""", "snap"))
 def _(spark, d):
-    return L.daily_slot_export(snapshots(spark, d), legacy_zero_fill=True).withColumn("pnl", rd("pnl", 6))
+    return L.daily_slot_export(snapshots(spark, d), legacy_zero_fill=True).withColumn("pnl", rd("pnl", 4))
 
 
 @query("l7_benchmark_pnl", sql(f"""SELECT h.run_id, h.ts, {r('(b.close / first_value(b.close) OVER (ORDER BY h.ts) - 1) * first_value(h2.v) OVER (ORDER BY h.ts)', 4, 'pnl')}

@@ -156,12 +156,9 @@ CTES["paths"] = (("longpnl", "costs"), """
 MULT = {"volatility": 1.5, "slippage": 2.0, "commission": 0.5}
 
 
-@query("r12_stress_paths", sql(f"""SELECT stream, day, scenario, {r('pnl', 6, 'pnl')},
-    CASE WHEN scenario IN ('volatility', 'combined') THEN {r('equity', 2)} ELSE {r('equity', 6)} END AS equity FROM paths""", "paths"))
+@query("r12_stress_paths", sql(f"""SELECT stream, day, scenario, {r('pnl', 4, 'pnl')}, {r('equity', 3, 'equity')} FROM paths""", "paths"))
 def _(spark, d):
-    return R.stress_paths(long_daily(spark, d), costs(spark, d), MULT).withColumns({
-        "pnl": rd("pnl", 6),
-        "equity": F.when(F.col("scenario").isin("volatility", "combined"), rd("equity", 2)).otherwise(rd("equity", 6))})
+    return R.stress_paths(long_daily(spark, d), costs(spark, d), MULT).withColumns({"pnl": rd("pnl", 4), "equity": rd("equity", 3)})
 
 
 STRESS = ["final_pnl", "end_equity", "max_drawdown_pct", "sharpe", *TAILS, "pnl_delta"]

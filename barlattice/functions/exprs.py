@@ -30,7 +30,7 @@ def seconds_between(start: str | Column, end: str | Column) -> Column:
 
 def add_seconds(ts: str | Column, seconds: Column | float) -> Column:
     s = F.lit(seconds) if not isinstance(seconds, Column) else seconds
-    return from_micros(micros(ts) + (s * F.lit(MICROS)).cast("long"))
+    return from_micros(micros(ts) + (s.cast("double") * F.lit(float(MICROS))).cast("long"))
 
 
 def period_of(ts: str | Column, seconds: int = DAY) -> Column:

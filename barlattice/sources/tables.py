@@ -173,7 +173,7 @@ def daily_slot_pnl(spark: SparkSession, sf_dir: str) -> DataFrame:
     slot = F.when(F.col("o_orderstatus") == "F", 0).when(
         F.col("o_orderstatus") == "O", 1).otherwise(2)
     return o.groupBy(slot.alias("slot_id"), F.to_date("o_orderdate").alias("day")).agg(
-        (F.sum(F.col("o_totalprice") * w) * 0.001).alias("pnl")
+        (F.sum(F.col("o_totalprice") * w) / 1009.0).alias("pnl")
     )
 
 
