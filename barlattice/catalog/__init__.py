@@ -7,7 +7,7 @@ import importlib
 from barlattice.catalog.core import QUERIES, SQL, QueryFn
 
 FAMILIES = [
-    "quality", "shaping", "indicators", "signals", "execution", "ledger", "performance", "pnl", "risk", "exits", "attribution", "walkforward",
+    "quality", "shaping", "indicators", "signals", "execution", "ledger", "performance", "pnl", "risk", "exits", "attribution", "walkforward", "masks", "lake",
 
 ]
 

@@ -49,7 +49,7 @@ def _(spark, d):
 
 
 CTES["scored"] = (("trials",), """
-  SELECT *, CASE WHEN passed THEN CASE WHEN trades < 2 THEN -1 ELSE greatest(0, (0.7::DOUBLE * sharpe + 0.3::DOUBLE * sortino) * least(1, trades / 10.0::DOUBLE)
+  SELECT *, CASE WHEN passed THEN CASE WHEN trades < 2 THEN -1 ELSE greatest(0, (0.7::DOUBLE * sharpe + 0.3::DOUBLE * sortino) * least(1, trades / 4.0::DOUBLE)
       * CASE WHEN abs(dd) / 100 > 0.4 THEN 0 ELSE 1 - pow(abs(dd) / 100 / 0.4::DOUBLE, 2) END) END END AS score
   FROM (SELECT *, CASE WHEN abs(max_drawdown) <= 1 THEN max_drawdown * 100 ELSE max_drawdown END AS dd,
       trades >= 2 AND abs(CASE WHEN abs(max_drawdown) <= 1 THEN max_drawdown * 100 ELSE max_drawdown END) <= 24.5 AS passed FROM trials)""")
@@ -59,9 +59,9 @@ def scored(spark, d):
     return K.scored_trials(T.fold_trials(spark, d), min_trades=2, max_dd=24.5)
 
 
-@query("k3_objective_score", sql(f"SELECT fold_id, trial_id, passed, {r('score', 6, 'score')} FROM scored", "scored"))
+@query("k3_objective_score", sql(f"SELECT fold_id, trial_id, passed, {r('score', 9, 'score')} FROM scored", "scored"))
 def _(spark, d):
-    return scored(spark, d).select("fold_id", "trial_id", "passed", rd("score", 6).alias("score"))
+    return scored(spark, d).select("fold_id", "trial_id", "passed", rd("score", 9).alias("score"))
 
 
 @query("k4_scaled_trade_floor", sql("""
@@ -84,7 +84,7 @@ CTES["best"] = (("scored",), """
       row_number() OVER (PARTITION BY fold_id ORDER BY score DESC, trial_id) AS k FROM scored WHERE passed) q
   JOIN (SELECT fold_id, count(*) AS n_trials, stddev_pop(score) FILTER (passed) AS trial_std FROM scored GROUP BY 1) s ON s.fold_id = q.fold_id WHERE k = 1""")
 CTES["oosf"] = (("best",), """
-  SELECT b.*, CASE WHEN is_score <= 0 THEN -1 WHEN coalesce(t.trades, 0) < 2 THEN -1 ELSE greatest(0, (0.7::DOUBLE * t.sharpe + 0.3::DOUBLE * t.sortino) * least(1, t.trades / 10.0::DOUBLE)
+  SELECT b.*, CASE WHEN is_score <= 0 THEN -1 WHEN coalesce(t.trades, 0) < 2 THEN -1 ELSE greatest(0, (0.7::DOUBLE * t.sharpe + 0.3::DOUBLE * t.sortino) * least(1, t.trades / 4.0::DOUBLE)
       * CASE WHEN abs(t.dd) / 100 > 0.4 THEN 0 ELSE 1 - pow(abs(t.dd) / 100 / 0.4::DOUBLE, 2) END) END AS oos_score,
     CASE WHEN is_score <= 0 THEN 'in-sample optimisation failed quality gates' WHEN coalesce(t.trades, 0) < 2
       THEN 'insufficient out-of-sample trades: ' || coalesce(t.trades, 0) || ' < 2' END AS rejection,
@@ -133,8 +133,8 @@ CTES["wfrep"] = (("meas",), """
   FROM (SELECT strategy, count(*) AS n, quantile_cont(oos_score, 0.5) AS ms, quantile_cont(degradation, 0.5) AS md, avg(skill) AS sk, CAST(sum(g) AS BIGINT) AS good,
       quantile_cont(wrd, 0.5) AS wr, stddev_pop(oos_win_rate) AS ws, count(*) FILTER (ev < 0) AS neg, count(*) FILTER (rejection LIKE 'insufficient%') AS low,
       (SELECT CAST(max(l) AS BIGINT) FROM (SELECT sum(g) AS l FROM (SELECT g, sum(1 - g) OVER (ORDER BY fold_id) AS run FROM (
-        SELECT fold_id, CASE WHEN oos_score > 0 AND oos_sharpe >= 0 THEN 1 ELSE 0 END AS g FROM meas)) GROUP BY run)) AS longest
-    FROM (SELECT *, CASE WHEN oos_score > 0 AND oos_sharpe >= 0 THEN 1 ELSE 0 END AS g FROM meas) GROUP BY 1)""")
+        SELECT fold_id, CASE WHEN oos_score > 0 AND oos_sharpe >= 0.3 THEN 1 ELSE 0 END AS g FROM meas)) GROUP BY run)) AS longest
+    FROM (SELECT *, CASE WHEN oos_score > 0 AND oos_sharpe >= 0.3 THEN 1 ELSE 0 END AS g FROM meas) GROUP BY 1)""")
 
 
 def reports(spark, d):

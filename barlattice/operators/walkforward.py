@@ -16,7 +16,8 @@ KEYS = ["symbol", "timeframe"]
 
 # Score weights and gates.
 SHARPE_WEIGHT, SORTINO_WEIGHT = 0.7, 0.3
-MIN_TRADES, MAX_DD_PCT, TARGET_TIMES = 7, 35.0, 5
+MIN_TRADES, MAX_DD_PCT, TARGET_TIMES = 7, 35.0, 2
+MIN_FOLD_SHARPE = 0.3
 SCORE_DD_LIMIT = 0.40
 
 
@@ -203,7 +204,7 @@ def fold_measures(f: DataFrame) -> DataFrame:
 
 
 def report(
-    m: DataFrame, keys: Sequence[str] = ("strategy",), min_sharpe: float = 0.0, pass_folds: int = 3,
+    m: DataFrame, keys: Sequence[str] = ("strategy",), min_sharpe: float = MIN_FOLD_SHARPE, pass_folds: int = 3,
     warn_folds: int = 2, pass_run: int = 2, warn_run: int = 1,
 ) -> DataFrame:
     """Medians, warnings, longest run of profitable folds and verdict, one row per search."""
