@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlattice.catalog.core import query, r, sql
-from barlattice.catalog.walkforward import reports
+from barlattice.catalog.walkforward import verdicts
 from barlattice.functions.exprs import rd
 from barlattice.operators import metrics as M
 from barlattice.sources import artifacts as A
@@ -135,17 +140,57 @@ def _(spark, d):
 
 @query("s16_scenarios_of_baseline", sql("""SELECT o_orderkey AS scenario_id, o_orderdate AS generated_at, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS position FROM orders WHERE o_custkey = 77"""))
 def _(spark, d):
-    from pyspark.sql import Window
-
     m = T.load(spark, d, "orders").select(F.col("o_orderkey").alias("scenario_id"), F.col("o_orderdate").alias("generated_at"), F.col("o_custkey").cast("string").alias("baseline_run_id"))
     w = Window.partitionBy("baseline_run_id").orderBy(F.desc("generated_at"), "scenario_id")
     s = A.list_scenarios(A.matching_baseline(m, "77")).withColumn("position", F.row_number().over(w).cast("long"))
     return s.select("scenario_id", "generated_at", "position")
 
 
-@query("s17_candidate_export", sql("SELECT strategy, verdict, n_folds, CAST(to_json(warnings) AS VARCHAR) AS warnings_json FROM wfrep WHERE verdict IN ('PASS', 'WARNING')", "wfrep"))
+@query("s17_candidate_export", sql("""SELECT symbol, timeframe, strategy, verdict, '["seen ' || lower(verdict) || '"]' AS warnings_json, '{"fast":' || CAST(length(symbol) AS VARCHAR) || '}' AS candidate_params_json
+  FROM verdicts WHERE verdict IN ('PASS', 'WARNING')""", "verdicts"))
+def _(spark, d):
+    v = verdicts(spark, d).withColumns({
+        "warnings": F.array(F.concat(F.lit("seen "), F.lower("verdict"))), "params": F.create_map(F.lit("fast"), F.length("symbol"))})
+    return A.candidate_rows(v).select("symbol", "timeframe", "strategy", "verdict", "warnings_json", "candidate_params_json")
+
+
+def scratch(spark):
+    """A new folder under the cluster's shared checkpoint folder, or a local one where none is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        return tempfile.mkdtemp(prefix="barlattice-")
+    return f"{shared.rstrip('/')}/barlattice-{uuid.uuid4().hex}"
+
+
+@query("s3_save_round_trip", sql(f"SELECT {OHLCV} FROM lake", "bars", "bars5", lake=LAKE))
+def _(spark, d):
+    root = scratch(spark)
+    S.save(both(spark, d), root)
+    return S.read(spark, root).select(*COLS)
+
+
+CURVE = f"""SELECT ts, {r('total_value', 4, 'total_value')} FROM hist"""
+
+
+@query("s11_run_artifacts", sql("""SELECT (SELECT count(*) FROM hist) AS history, (SELECT count(*) FROM itrades) AS trades, 0::BIGINT AS benchmark,
+    (SELECT count(*) FROM (SELECT DISTINCT slot_id, symbol, ts FROM expo)) AS exposure, 1::BIGINT AS metrics""", "hist", "itrades", "expo"))
+def _(spark, d):
+    root = scratch(spark)
+    history = T.history(spark, d)
+    kpis = M.trade_stats(T.intraday_trades(spark, d), ["run_id"])
+    A.write_run(root, {"history": history, "trades": T.intraday_trades(spark, d).select("run_id", "slot_id", "strategy", "symbol", "direction", "entry_time", "exit_time",
+                "entry_price", "exit_price", "quantity", "pnl", "commission", "slippage", "exit_reason"), "exposure": T.exposure(spark, d)}, kpis)
+    got = A.load_run(spark, root, "0")
+    parts = [got[n].agg(F.count("*").alias("n")).withColumn("part", F.lit(n)) for n in ("history", "trades", "benchmark", "exposure", "metrics")]
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows.groupBy().pivot("part", ["history", "trades", "benchmark", "exposure", "metrics"]).agg(F.sum("n"))
+
+
+@query("s13_load_run", sql(CURVE, "hist"))
 def _(spark, d):
-    return A.candidate_rows(reports(spark, d)).select("strategy", "verdict", "n_folds", "warnings_json")
+    root = scratch(spark)
+    A.write_run(root, {"history": T.history(spark, d)})
+    return A.load_run(spark, root, "0")["history"].select("ts", rd("total_value", 4).alias("total_value"))
 
 
 # The digest depends on file times of the given tables.

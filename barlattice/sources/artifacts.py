@@ -16,8 +16,7 @@ REQUIRED = {
     "single": ["history", "trades", "manifest"],
     "portfolio": ["history", "trades", "manifest"],
 }
-RERUN_FIELDS = ["artifact_id", "schema_version", "engine_version", "source_config_path",
-                "config_hash", "data_version", "slots", "slot_weights"]
+RERUN_FIELDS = ["source_config_path", "config_hash", "data_version"]
 
 SCHEMAS = {
     "history": S.HISTORY, "slot_history": S.SLOT_HISTORY, "trades": S.TRADES,
