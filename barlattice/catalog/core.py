@@ -113,7 +113,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
       FROM dayslot"""),
     "trials": ((), """
       SELECT CAST(1 + l_orderkey % 5 AS INTEGER) AS fold_id, l_partkey AS trial_id,
-             avg(l_discount * 40 - 1) AS sharpe, avg(l_tax * 50 - 1) AS sortino,
+             avg(l_discount * 40 - 1) / 1.0093::DOUBLE AS sharpe, avg(l_tax * 50 - 1) / 1.0107::DOUBLE AS sortino,
              count(*) AS trades, -max(l_quantity) * 0.5::DOUBLE AS max_drawdown,
              avg(CASE WHEN l_linestatus = 'O' THEN 1.0::DOUBLE ELSE 0.0 END) AS win_rate,
              avg(l_extendedprice) AS avg_win, -avg(l_extendedprice * 0.9::DOUBLE) AS avg_loss,

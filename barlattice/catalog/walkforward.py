@@ -59,9 +59,9 @@ def scored(spark, d):
     return K.scored_trials(T.fold_trials(spark, d), min_trades=2, max_dd=24.5)
 
 
-@query("k3_objective_score", sql(f"SELECT fold_id, trial_id, passed, {r('score', 12, 'score')} FROM scored", "scored"))
+@query("k3_objective_score", sql(f"SELECT fold_id, trial_id, passed, {r('score', 7, 'score')} FROM scored", "scored"))
 def _(spark, d):
-    return scored(spark, d).select("fold_id", "trial_id", "passed", rd("score", 12).alias("score"))
+    return scored(spark, d).select("fold_id", "trial_id", "passed", rd("score", 7).alias("score"))
 
 
 @query("k4_scaled_trade_floor", sql("""

@@ -13,6 +13,7 @@ from barlattice.functions.probability import t_two_sided
 from barlattice.operators.metrics import trade_stats
 from barlattice.operators.pnl import HORIZONS, period_label, resample, spine
 from barlattice.plans.blocks import running
+from barlattice.plans.salt import join_small
 
 MIN_PERIODS = 5
 FLAT = 1e-8
@@ -118,12 +119,12 @@ def drawdown_window(totals: DataFrame, true_window: bool = False) -> DataFrame:
         low = peaks.groupBy("run_id").agg(F.min(F.struct(
             (F.col("cum") - F.col("_pk")).alias("d"), F.col("ts"), F.col("_pk"))).alias("_l"))
         low = low.select("run_id", F.col("_l.ts").alias("dd_end"), F.col("_l._pk").alias("_pk"))
-        at = cum.join(low, "run_id").where((F.col("ts") <= F.col("dd_end")) & (F.col("cum") == F.col("_pk")))
+        at = join_small(cum, low, ["run_id"]).where((F.col("ts") <= F.col("dd_end")) & (F.col("cum") == F.col("_pk")))
         return at.groupBy("run_id").agg(F.min("ts").alias("dd_start"), F.max("dd_end").alias("dd_end"))
     top = cum.groupBy("run_id").agg(F.max("cum").alias("_top"))
-    start = cum.join(top, "run_id").where(F.col("cum") == F.col("_top")).groupBy("run_id").agg(
+    start = join_small(cum, top, ["run_id"]).where(F.col("cum") == F.col("_top")).groupBy("run_id").agg(
         F.min("ts").alias("dd_start"))
-    after = cum.join(start, "run_id").where(F.col("ts") >= F.col("dd_start"))
+    after = join_small(cum, start, ["run_id"]).where(F.col("ts") >= F.col("dd_start"))
     return after.groupBy("run_id", "dd_start").agg(
         F.min(F.struct("cum", "ts")).alias("_l")).select("run_id", "dd_start", F.col("_l.ts").alias("dd_end"))
 
@@ -150,7 +151,7 @@ def decomposition(
     totals = bar_pnl.groupBy("run_id", "ts").agg(F.sum("pnl").alias("total"))
     var = totals.groupBy(*run).agg(F.var_samp("total").alias("_var"))
     window = drawdown_window(totals)
-    bars = with_total.join(window, "run_id").groupBy(*per_slot).agg(
+    bars = join_small(with_total, window, ["run_id"]).groupBy(*per_slot).agg(
         F.covar_samp("pnl", "total").alias("_cov"), F.sum("pnl").alias("_mtm"),
         F.sum(F.when(F.col("ts").between(F.col("dd_start"), F.col("dd_end")), F.col("pnl"))).alias("dd_pnl"))
     daily = resample(bar_pnl, "1d")

@@ -11,6 +11,7 @@ from barlattice.functions.exprs import MICROS, from_micros, half_even, micros, s
 from barlattice.plans.asof import asof
 from barlattice.plans.blocks import Series, running
 from barlattice.plans.fixpoint import scan
+from barlattice.plans.salt import join_small
 
 KEYS = ["symbol", "timeframe"]
 PRICES = ["open", "high", "low", "close"]
@@ -169,7 +170,7 @@ def back_adjust(bars: DataFrame) -> DataFrame:
     shift = legs.withColumn("_gap", gap).withColumn(
         "_shift", F.sum("_gap").over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     )
-    out = bars.join(shift.select(*KEYS, "contract", "_shift"), [*KEYS, "contract"])
+    out = join_small(bars, shift.select(*KEYS, "contract", "_shift"), [*KEYS, "contract"])
     moved = [c for c in (*PRICES, "average") if c in bars.columns]
     return out.withColumns({c: F.col(c) + F.col("_shift") for c in moved}).drop("_shift")
 

@@ -13,6 +13,7 @@ from barlattice.operators.indicators import log_return
 from barlattice.plans.asof import asof
 from barlattice.plans.blocks import Series
 from barlattice.plans.touch import first_touch, matching_bars
+from barlattice.plans.salt import join_small
 
 KEYS = ["symbol", "timeframe"]
 
@@ -37,9 +38,10 @@ def order_type_column(c: str | Column) -> Column:
 
 
 def with_specs(rows: DataFrame, specs: DataFrame) -> DataFrame:
-    """Instrument columns with defaults for unknown symbols (one row per symbol; size left to AQE)."""
+    """Instrument columns with defaults for unknown symbols (one row per symbol)."""
     have = [c for c in DEFAULT_SPEC if c in specs.columns]
-    out = rows.join(specs.select("symbol", *have), "symbol", "left")
+    spread = [c for c in rows.columns if c not in DEFAULT_SPEC and c != "symbol"][:8]
+    out = join_small(rows, specs.select("symbol", *have), ["symbol"], spread or ["symbol"], "left")
     return out.withColumns({
         c: F.coalesce(F.col(c), F.lit(v)) if c in have else F.lit(v) for c, v in DEFAULT_SPEC.items()
     })

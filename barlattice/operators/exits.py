@@ -12,6 +12,7 @@ from barlattice.operators.indicators import vol_percentile
 from barlattice.plans.asof import asof
 from barlattice.plans.blocks import Series
 from barlattice.plans.touch import extremes_between
+from barlattice.plans.salt import join_small
 
 # Minutes after entry at which a trade is valued.
 HORIZONS = [5, 15, 30, 60, 120, 240, 480, 720, 1440]
@@ -168,7 +169,7 @@ def hold_buckets(trades: DataFrame, keys: Sequence[str] = ("run_id",)) -> DataFr
         "step_min", F.when(F.col("_top") <= 60, 15).when(F.col("_top") <= 240, 60)
         .when(F.col("_top") <= 1440, 360).otherwise(1440))
     b = F.least(F.floor(_hold() / F.col("step_min")), F.lit(4)).cast("int")
-    got = trades.join(width, keys).where(_hold() >= 0).groupBy(*keys, b.alias("bucket")).agg(
+    got = join_small(trades, width, keys, ["entry_time", "exit_time"]).where(_hold() >= 0).groupBy(*keys, b.alias("bucket")).agg(
         F.avg("pnl").alias("a"), F.count("pnl").alias("n"))
     grid = width.select(*keys, "step_min", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("bucket"))
     return grid.join(got, [*keys, "bucket"], "left").select(

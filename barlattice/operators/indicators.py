@@ -18,6 +18,7 @@ from barlattice.operators.bars import daily_close, slow_last
 from barlattice.plans.asof import asof
 from barlattice.plans.blocks import Series
 from barlattice.plans.fixpoint import scan
+from barlattice.plans.salt import join_small
 
 EPS = 1e-9
 IBS_FLOOR = 1e-5
@@ -193,7 +194,7 @@ def kalman_beta(
         y.select("pair_id", "ts", F.col("close").cast("double").alias("y")), ["pair_id", "ts"]
     )
     first = both.groupBy("pair_id").agg(F.min_by("x", "ts").alias("_f"))
-    scaled = both.join(first, "pair_id").withColumn("_f", F.when(F.col("_f") == 0, 1.0).otherwise(F.col("_f")))
+    scaled = join_small(both, first, ["pair_id"]).withColumn("_f", F.when(F.col("_f") == 0, 1.0).otherwise(F.col("_f")))
 
     def step(rows: pd.DataFrame, state: dict | None, last: bool):
         a, b, p, c, d = (0.0, 1.0, 1.0, 0.0, 1.0) if state is None else (

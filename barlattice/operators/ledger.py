@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barlattice.functions.exprs import DAY, falsy, over_zero
 from barlattice.plans.asof import asof
 from barlattice.plans.blocks import Series, running
+from barlattice.plans.salt import join_small
 
 BOOK = ["run_id", "slot_id", "symbol"]
 
@@ -89,7 +90,7 @@ def single_ledger(
     b = asof(bars.select(*keys, "ts", "close"), book_flows(fills, keys), keys, "ts", "ts",
              {"position": "position", "cash_flow": "cash_flow"})
     if "multiplier" in fills.columns:
-        b = b.join(fills.groupBy(*keys).agg(F.max("multiplier").alias("multiplier")), keys, "left")
+        b = join_small(b, fills.groupBy(*keys).agg(F.max("multiplier").alias("multiplier")), keys, how="left")
     zero = F.lit(0.0)
     hold = F.coalesce("position", zero) * F.col("close") * F.coalesce("multiplier", F.lit(1.0))
     return b.select(
@@ -107,8 +108,9 @@ def slot_ledger(fills: DataFrame, prices: DataFrame, period_seconds: int = DAY)
     books = fills.groupBy(*BOOK).agg(
         F.min("ts").alias("_first"), F.max("multiplier").alias("multiplier"),
         F.max("margin_ratio").alias("margin_ratio"))
-    points = prices.select("symbol", "ts", F.col("close").alias("price")).join(books, "symbol").where(
-        F.col("ts") >= F.col("_first")).drop("_first")
+    points = join_small(
+        prices.select("symbol", "ts", F.col("close").alias("price")), books, ["symbol"]
+    ).where(F.col("ts") >= F.col("_first")).drop("_first")
     out = asof(points, book_flows(fills, BOOK, period_seconds), BOOK, "ts", "ts",
                {"position": "position", "cash_flow": "cash_flow"}, period_seconds=period_seconds)
     notional = F.col("position") * F.col("price") * F.col("multiplier")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barlattice.functions.exprs import DAY, finite, loss, over_zero
 from barlattice.plans.blocks import Series, running
+from barlattice.plans.salt import join_small
 
 SLOT = ["run_id", "slot_id"]
 YEAR = DAY * 366  # period for daily tables: at most 366 rows per stream and period
@@ -100,7 +101,7 @@ def slot_equity(
     """
     start = history.where(F.col("total_value").isNotNull()).groupBy("run_id").agg(
         F.min_by("total_value", "ts").alias("_start"))
-    rows = slot_history.join(start, "run_id")
+    rows = join_small(slot_history, start, ["run_id"])
     even = F.lit(1.0 / slot_count) if slot_count else F.lit(1.0)
     if weights is not None:
         rows = rows.join(weights.select("slot_id", F.col("weight").alias("_w")), "slot_id", "left")
@@ -155,7 +156,7 @@ def benchmark_pnl(history: DataFrame, benchmark: DataFrame) -> DataFrame:
     common = history.select("run_id", "ts").join(benchmark.select("ts", "close"), "ts")
     first = common.groupBy("run_id").agg(
         F.min_by("close", "ts").alias("_first"), F.count("*").alias("_n"))
-    return common.join(first.join(start, "run_id"), "run_id").where(F.col("_n") > 1).select(
+    return join_small(common, first.join(start, "run_id"), ["run_id"]).where(F.col("_n") > 1).select(
         "run_id", "ts", ((over_zero(F.col("close"), F.col("_first")) - 1.0) * F.col("_capital")).alias("pnl"))
 
 
@@ -167,7 +168,7 @@ def pnl_by_direction(trades: DataFrame, history: DataFrame) -> DataFrame:
     by_exit = trades.groupBy("run_id", "direction", F.col("exit_time").alias("ts")).agg(
         F.sum("pnl").alias("_p"))
     present = trades.select("run_id", "direction").distinct()
-    axis = history.select("run_id", "ts").join(present, "run_id")
+    axis = join_small(history.select("run_id", "ts"), present, ["run_id"])
     rows = axis.join(by_exit, ["run_id", "direction", "ts"], "left").withColumn(
         "_p", F.coalesce("_p", F.lit(0.0)))
     return running(rows, ["run_id", "direction"], "ts", sums={"cum_pnl": "_p"}).drop("_p")
@@ -215,7 +216,7 @@ def thin(
     """About ``max_points`` evenly spaced rows per stream, the last one included; all if fewer."""
     keys = list(keys)
     n = rows.groupBy(*keys).agg(F.count("*").alias("_total"))
-    f = Series(rows, keys, ts, block_rows=block_rows).frame().join(n, keys)
+    f = join_small(Series(rows, keys, ts, block_rows=block_rows).frame(), n, keys, [ts])
     step = F.greatest(F.lit(1), F.floor(F.col("_total") / max_points))
     keep = (F.col("_total") <= max_points) | ((F.col("_rn") - 1) % step == 0) | (F.col("_rn") == F.col("_total"))
     return f.where(keep).drop("_rn", "_total")

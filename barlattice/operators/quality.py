@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barlattice.functions.exprs import falsy, seconds_between
 from barlattice.plans.blocks import Series
+from barlattice.plans.salt import join_small
 
 KEYS = ["symbol", "timeframe"]
 
@@ -72,7 +73,7 @@ def volume_outliers(bars: DataFrame, z: float = 5.0) -> DataFrame:
     """Bars whose volume is more than z sample deviations from the series mean."""
     stats = bars.groupBy(*KEYS).agg(F.avg("volume").alias("_m"), F.stddev_samp("volume").alias("_s"))
     return (
-        bars.join(stats, KEYS)
+        join_small(bars, stats, KEYS)
         .where((F.col("_s") > 0) & (F.abs((F.col("volume") - F.col("_m")) / F.col("_s")) > z))
         .drop("_m", "_s")
     )
@@ -105,7 +106,7 @@ def roll_jumps(bars: DataFrame, block_rows: int | None = None) -> DataFrame:
 def validate(bars: DataFrame, z: float = 5.0, block_rows: int | None = None) -> DataFrame:
     """All counts, the quality score and the validity flag, one row per series."""
     stats = bars.groupBy(*KEYS).agg(F.avg("volume").alias("_m"), F.stddev_samp("volume").alias("_s"))
-    f = with_previous(bars, block_rows).join(stats, KEYS)
+    f = join_small(with_previous(bars, block_rows), stats, KEYS)
 
     def n(cond: Column) -> Column:
         return F.sum(F.when(cond, 1).otherwise(0))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from barlattice.functions.exprs import half_even, over_zero
 from barlattice.functions.probability import norm_cdf
 from barlattice.plans.blocks import Series
+from barlattice.plans.salt import join_small
 
 KEYS = ["symbol", "timeframe"]
 
@@ -40,7 +41,7 @@ def folds(
         first <= gap, F.raise_error(F.lit("too few rows for the folds")))
     n = n.withColumn("_size", F.coalesce(bad.cast("long"), size)).withColumn(
         "_first", F.col("_n") - F.col("_size") * n_folds)
-    rows = Series(bars, keys, block_rows=block_rows).frame().join(n, keys)
+    rows = join_small(Series(bars, keys, block_rows=block_rows).frame(), n, keys)
     i = F.col("_rn") - 1
 
     def role(k: Column) -> Column:

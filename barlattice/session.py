@@ -28,6 +28,8 @@ def get_session(app: str = "barlattice", master: str | None = None, **conf: str)
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    # Call-site capture costs several gateway calls per column expression; off unless asked for.
+    builder = builder.config("spark.python.sql.dataFrameDebugging.enabled", "false")
     for key, value in {**RUNTIME_CONF, **conf}.items():
         builder = builder.config(key, value)
     return configure(builder.getOrCreate())
