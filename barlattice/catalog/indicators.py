@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barlattice.catalog.core import query, r, sql
+from barlattice.catalog.core import phi, query, r, sql
 from barlattice.functions.exprs import rd
 from barlattice.operators import indicators as I
 from barlattice.plans.blocks import Series
@@ -112,8 +112,24 @@ def _(spark, d):
     return out(s, 4, trend_t=t, flags={"allowed": ok})
 
 
-# Regression per window plus a published p-value surface: tests compare with NumPy.
-@query("i8_unit_root")
+# One regression of the change on the level and the previous change per window, from centred sums.
+_OBS = "(PARTITION BY symbol ORDER BY slow_ts ROWS BETWEEN 70 PRECEDING AND 1 PRECEDING)"
+SLOW = """SELECT *, lag(d) OVER (PARTITION BY symbol ORDER BY slow_ts) AS z FROM (
+    SELECT *, close - x AS d FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY slow_ts) AS x, row_number() OVER (PARTITION BY symbol ORDER BY slow_ts) AS k FROM (
+      SELECT symbol, slow_ts, arg_max(close, ts) AS close FROM (SELECT *, CASE WHEN ts = time_bucket(INTERVAL '1 hour', ts) THEN ts
+        ELSE time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' END AS slow_ts FROM bars5) GROUP BY 1, 2)))"""
+TAU = f"""SELECT symbol, slow_ts, CASE WHEN k > 72 THEN b1 / sqrt((sdd - b1 * sxd - b2 * szd) / 67 * szz / det) END AS tau FROM (
+    SELECT *, (szz * sxd - sxz * szd) / det AS b1, (sxx * szd - sxz * sxd) / det AS b2 FROM (SELECT *, sxx * szz - sxz * sxz AS det FROM (
+      SELECT *, var_pop(x) OVER {_OBS} * 70 AS sxx, var_pop(z) OVER {_OBS} * 70 AS szz, covar_pop(x, z) OVER {_OBS} * 70 AS sxz, covar_pop(x, d) OVER {_OBS} * 70 AS sxd,
+        covar_pop(z, d) OVER {_OBS} * 70 AS szd, var_pop(d) OVER {_OBS} * 70 AS sdd FROM slow)))"""
+PVAL = f"""SELECT symbol, slow_ts, CASE WHEN tau IS NULL THEN NULL WHEN tau > 2.74 THEN 1 WHEN tau < -18.83 THEN 0 ELSE {phi('q')} END AS p FROM (
+    SELECT *, CASE WHEN tau <= -1.61 THEN 2.1659 + 1.4412 * tau + 0.038269 * tau * tau
+      ELSE 1.7339 + 0.93202 * tau - 0.12745 * tau * tau - 0.010368 * tau * tau * tau END AS q FROM tau)"""
+
+
+@query("i8_unit_root", sql(f"""SELECT symbol, timeframe, ts, {r('pp', 6, 'adf_pvalue')}, coalesce(pp < 0.05, false) AS adf_ok FROM (
+    SELECT *, lag(p) OVER (PARTITION BY symbol ORDER BY ts) AS pp FROM (
+      SELECT b.symbol, b.timeframe, b.ts, v.p FROM bars5 b ASOF LEFT JOIN pv v ON v.symbol = b.symbol AND b.ts >= v.slow_ts))""", "bars5", slow=SLOW, tau=TAU, pv=PVAL))
 def _(spark, d):
     return I.adf(T.bars(spark, d, "5m"), 72, 3600).select("symbol", "timeframe", "ts", rd("adf_pvalue", 6).alias("adf_pvalue"), "adf_ok")
 
@@ -135,8 +151,17 @@ def pair(spark, d, symbol):
     return T.bars(spark, d).where(F.col("symbol") == symbol).select(F.lit("click-view").alias("pair_id"), "ts", "close")
 
 
-# Two-state recursion: tests compare with a plain loop.
-@query("i10_kalman_beta")
+KALMAN = sql(f"""SELECT 'click-view' AS pair_id, ts, {r('before', 6, 'beta')} FROM kf""", "bars", xy="""
+  SELECT x.ts, x.close / f.c AS x, y.close / f.c AS y, row_number() OVER (ORDER BY x.ts) AS k FROM bars x JOIN bars y ON x.ts = y.ts AND x.symbol = 'view' AND y.symbol = 'click'
+  CROSS JOIN (SELECT arg_min(x.close, x.ts) AS c FROM bars x JOIN bars y ON x.ts = y.ts AND x.symbol = 'view' AND y.symbol = 'click') f""", kf="""
+  SELECT 0::BIGINT AS k, CAST(NULL AS TIMESTAMP) AS ts, 0::DOUBLE AS a, 1::DOUBLE AS b, 1::DOUBLE AS p, 0::DOUBLE AS c, 1::DOUBLE AS d, CAST(NULL AS DOUBLE) AS before
+  UNION ALL SELECT k, ts, a + u * e / g, b + v * e / g, p - u * u / g, c - u * v / g, d - v * v / g, CASE WHEN k > 1 THEN b END FROM (
+    SELECT *, u + x * v + 0.1::DOUBLE AS g, y - a - b * x AS e FROM (
+      SELECT q.k, q.ts, q.x, q.y, s.a, s.b, s.p + 1e-5 AS p, s.c, s.d + 1e-5 AS d, s.p + 1e-5 + q.x * s.c AS u, s.c + q.x * (s.d + 1e-5) AS v
+      FROM kf s JOIN xy q ON q.k = s.k + 1))""").replace("WITH ", "WITH RECURSIVE ", 1) + " WHERE k > 0"
+
+
+@query("i10_kalman_beta", KALMAN)
 def _(spark, d):
     return I.kalman_beta(pair(spark, d, "view"), pair(spark, d, "click")).withColumn("beta", rd("beta", 6))
 

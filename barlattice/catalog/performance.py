@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
-from barlattice.catalog.core import CTES, query, r, sql
+from barlattice.catalog.core import CTES, phi, query, r, sql, t_tails
 from barlattice.functions.exprs import rd
 from barlattice.operators import metrics as M
 from barlattice.operators.pnl import YEAR
@@ -92,8 +95,13 @@ def trial_sharpes(spark, d):
     return t.withColumn("stream", F.explode(F.array(*[F.lit(s) for s in ("portfolio", "slot_0", "slot_1", "slot_2")])))
 
 
-# Normal distribution functions are not in the SQL dialect; the standardised value is, below.
-@query("m10_deflated_sharpe")
+_A, _B = NormalDist().inv_cdf(1 - 1 / 50), NormalDist().inv_cdf(1 - 1 / (50 * math.e))
+
+
+@query("m10_deflated_sharpe", sql(f"""SELECT stream, {r(phi('z'), 6, 'dsr')}, {r('star', 6, 'sr_star')} FROM (
+    SELECT stream, star, (ss - star) / sqrt((1 - skew * ss + (kurt - 1) / 4 * ss * ss) / (n_ret - 1)) AS z FROM perf
+    CROSS JOIN (SELECT avg(s) + stddev_pop(s) * ((1 - 0.5772156649::DOUBLE) * {_A!r}::DOUBLE + 0.5772156649::DOUBLE * {_B!r}::DOUBLE) AS star FROM (SELECT sharpe * 0.1::DOUBLE AS s FROM trials)))""",
+    "perf", "trials"))
 def _(spark, d):
     m = M.performance(T.hourly_equity(spark, d), trials=50, trial_sharpes=trial_sharpes(spark, d))
     return m.select("stream", rd("dsr", 6).alias("dsr"), rd("sr_star", 6).alias("sr_star"))
@@ -113,7 +121,8 @@ def _(spark, d):
     return upto(perf(spark, d), "t_stat").select("stream", rd("t_stat", 6).alias("t_stat"))
 
 
-@query("m11_return_p_value")
+@query("m11_return_p_value", sql(f"""SELECT stream, {r('t', 6, 't_stat')}, {r(t_tails('t', 'n_ret - 1'), 6, 'p_value')}
+  FROM (SELECT *, mean_ret / (std_ret / sqrt(n_ret)) AS t FROM perf)""", "perf"))
 def _(spark, d):
     return M.performance(T.hourly_equity(spark, d)).select("stream", rd("t_stat", 6).alias("t_stat"), rd("p_value", 6).alias("p_value"))
 

@@ -44,8 +44,18 @@ def _(spark, d):
     return B.volume_bars(T.bars(spark, d), 1000.0)
 
 
-# Order-dependent restart: no plain SQL; tests compare with a sequential loop.
-@query("b4_range_bars")
+RANGE = sql("""
+  SELECT symbol, '5m' AS timeframe, ts, eo AS open, eh AS high, el AS low, close, ev AS volume FROM (
+    SELECT *, max(k) OVER (PARTITION BY symbol) AS last_k, sum(CAST(emit AS INTEGER)) OVER (PARTITION BY symbol) AS made FROM rb WHERE k > 0)
+  WHERE emit OR (k = last_k AND made > 0 AND ev > 0)""", "bars5", num="""
+  SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k FROM bars5""", rb="""
+  SELECT symbol, 0::BIGINT AS k, ts, open AS o, open AS h, open AS l, 0::DOUBLE AS v, false AS emit, open AS eo, open AS eh, open AS el, close, 0::DOUBLE AS ev FROM num WHERE k = 1
+  UNION ALL SELECT symbol, k, ts, CASE WHEN hit THEN close ELSE o END, CASE WHEN hit THEN close ELSE h END, CASE WHEN hit THEN close ELSE l END, CASE WHEN hit THEN 0 ELSE v END,
+    hit, o, h, l, close, v FROM (SELECT *, h - l >= 20000.0::DOUBLE * 0.01::DOUBLE AS hit FROM (
+      SELECT n.symbol, n.k, n.ts, n.close, s.o, greatest(s.h, n.high) AS h, least(s.l, n.low) AS l, s.v + n.volume AS v FROM rb s JOIN num n ON n.symbol = s.symbol AND n.k = s.k + 1))""")
+
+
+@query("b4_range_bars", RANGE.replace("WITH ", "WITH RECURSIVE ", 1))
 def _(spark, d):
     return B.range_bars(T.bars(spark, d, "5m"), 20000.0, 0.01)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -121,9 +122,9 @@ def drawdown_window(totals: DataFrame, true_window: bool = False) -> DataFrame:
         low = low.select("run_id", F.col("_l.ts").alias("dd_end"), F.col("_l._pk").alias("_pk"))
         at = join_small(cum, low, ["run_id"]).where((F.col("ts") <= F.col("dd_end")) & (F.col("cum") == F.col("_pk")))
         return at.groupBy("run_id").agg(F.min("ts").alias("dd_start"), F.max("dd_end").alias("dd_end"))
-    top = cum.groupBy("run_id").agg(F.max("cum").alias("_top"))
-    start = join_small(cum, top, ["run_id"]).where(F.col("cum") == F.col("_top")).groupBy("run_id").agg(
-        F.min("ts").alias("dd_start"))
+    first_top = F.min(F.struct((-F.col("cum")).alias("k"), "ts"))
+    start = cum.groupBy("run_id").agg(first_top.alias("_f")).select(
+        "run_id", F.col("_f.ts").alias("dd_start"))
     after = join_small(cum, start, ["run_id"]).where(F.col("ts") >= F.col("dd_start"))
     return after.groupBy("run_id", "dd_start").agg(
         F.min(F.struct("cum", "ts")).alias("_l")).select("run_id", "dd_start", F.col("_l.ts").alias("dd_end"))
@@ -146,31 +147,44 @@ def decomposition(
     """Attribution per strategy: closed PnL and its share, variance share, drawdown-window and
     tail-day PnL, PnL before costs, costs, daily signal-to-noise, duty cycle."""
     run, per_slot = ["run_id"], ["run_id", "slot_id"]
-    # The portfolio total of a time is a sum over the few slots of that time.
-    with_total = bar_pnl.withColumn("total", F.sum("pnl").over(Window.partitionBy("run_id", "ts")))
-    totals = bar_pnl.groupBy("run_id", "ts").agg(F.sum("pnl").alias("total"))
-    var = totals.groupBy(*run).agg(F.var_samp("total").alias("_var"))
-    window = drawdown_window(totals)
-    bars = join_small(with_total, window, ["run_id"]).groupBy(*per_slot).agg(
-        F.covar_samp("pnl", "total").alias("_cov"), F.sum("pnl").alias("_mtm"),
-        F.sum(F.when(F.col("ts").between(F.col("dd_start"), F.col("dd_end")), F.col("pnl"))).alias("dd_pnl"))
-    daily = resample(bar_pnl, "1d")
-    day_total = daily.groupBy("run_id", "period").agg(F.sum("pnl").alias("total"))
-    limit = day_total.groupBy(*run).agg(
-        F.count("*").alias("_days"), F.percentile("total", F.lit(round(1.0 - tail_confidence, 12))).alias("_q"))
-    tail_days = day_total.join(limit, run).where(
-        (F.col("_days") >= MIN_TAIL_DAYS) & (F.col("total") <= F.col("_q"))).select("run_id", "period")
-    tails = daily.join(tail_days, ["run_id", "period"], "left_semi").groupBy(*per_slot).agg(
-        F.avg("pnl").alias("tail_pnl"))
-    std = F.stddev_samp("pnl")
-    noise = daily.groupBy(*per_slot).agg(
-        F.when(std > FLAT, F.avg("pnl") / F.when(std > FLAT, std) * math.sqrt(252.0)).alias("sharpe_like"))
+    ids = list(slots)
+    # One row per time with a column per slot: totals and all per-slot moments come from it.
+    wide = bar_pnl.groupBy("run_id", "ts").agg(*[
+        F.sum(F.when(F.col("slot_id") == i, F.col("pnl"))).alias(f"p{i}") for i in ids])
+    total = reduce(lambda a, c: a + c, [F.coalesce(f"p{i}", F.lit(0.0)) for i in ids])
+    wide = wide.withColumn("total", total)
+    window = drawdown_window(wide.select("run_id", "ts", "total"))
+    inside = F.col("ts").between(F.col("dd_start"), F.col("dd_end"))
+    bars = join_small(wide, window, run).groupBy(*run).agg(
+        F.var_samp("total").alias("_var"),
+        F.array(*[F.struct(
+            F.lit(i).alias("slot_id"), F.covar_samp(f"p{i}", "total").alias("_cov"),
+            F.sum(f"p{i}").alias("_mtm"), F.sum(F.when(inside, F.col(f"p{i}"))).alias("dd_pnl"),
+        ) for i in ids]).alias("_s"),
+    ).select("run_id", "_var", F.explode("_s").alias("_s")).select("run_id", "_var", "_s.*")
+    days = wide.groupBy("run_id", F.to_date("ts").alias("day")).agg(
+        *[F.sum(F.coalesce(c, F.lit(0.0))).alias(c) for c in (*[f"p{i}" for i in ids], "total")])
+    days = spine(days, run, "day", "1d").join(days, ["run_id", "day"], "left").na.fill(0.0)
+    of_run = Window.partitionBy(*run)
+    days = days.withColumns({
+        "_days": F.count("*").over(of_run),
+        "_q": F.percentile("total", F.lit(round(1.0 - tail_confidence, 12))).over(of_run)})
+    tail = (F.col("_days") >= MIN_TAIL_DAYS) & (F.col("total") <= F.col("_q"))
+
+    def noise(c: str) -> Column:
+        std = F.stddev_samp(c)
+        return F.when(std > FLAT, F.avg(c) / F.when(std > FLAT, std) * math.sqrt(252.0))
+
+    daily = days.groupBy(*run).agg(F.array(*[F.struct(
+        F.lit(i).alias("slot_id"), noise(f"p{i}").alias("sharpe_like"),
+        F.avg(F.when(tail, F.col(f"p{i}"))).alias("tail_pnl")) for i in ids]).alias("_s"),
+    ).select("run_id", F.explode("_s").alias("_s")).select("run_id", "_s.*")
     closed = trades.groupBy("run_id", "strategy").agg(
         F.sum("pnl").alias("_closed"),
         F.abs(F.coalesce(F.sum("commission"), F.lit(0.0)) + F.coalesce(F.sum("slippage"), F.lit(0.0))).alias("_cost"))
     all_closed = closed.groupBy(*run).agg(F.sum(F.abs("_closed")).alias("_all"))
     out = (
-        bars.join(noise, per_slot).join(tails, per_slot, "left").join(var, run)
+        bars.join(daily, per_slot)
         .withColumn("strategy", _named(slots))
         .join(closed, ["run_id", "strategy"], "left").join(all_closed, run, "left")
     )

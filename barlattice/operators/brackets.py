@@ -62,7 +62,8 @@ def outcomes(
     b = with_next(bars, block_rows)
     cols = ["open", "high", "low", "close", "prev_ts", "next_ts", "next_open"]
     hit = first_touch(
-        sig.withColumns({"_up": up, "_down": down}), b, KEYS, "signal_id", "ts", "_up", "_down", cols
+        sig.withColumns({"_up": up, "_down": down}), b, KEYS, "signal_id", "ts", "_up", "_down", cols,
+        path=bars,
     ).drop("_up", "_down")
     long = F.col("side") == 1
     stop_hit = F.when(long, F.col("hit_low") <= F.col("stop")).otherwise(F.col("hit_high") >= F.col("stop"))

@@ -55,21 +55,34 @@ def resample(pnl: DataFrame, horizon: str = "1d", keys: Sequence[str] = SLOT) ->
         "pnl", F.coalesce("pnl", F.lit(0.0)))
 
 
-def tail_stats(
+def with_tails(
     daily: DataFrame, keys: Sequence[str], levels: dict[str, float], value: str = "pnl"
 ) -> DataFrame:
-    """``var_x`` and ``es_x`` per named confidence level, as positive losses floored at 0.
+    """Daily rows with the exact interpolated quantile ``_q_x`` of each named confidence level.
 
-    Exact interpolated quantiles; the tail is every value at or below the quantile.
+    The window covers one stream's days, so it is bounded by the calendar, and a following
+    aggregation per stream needs no further shuffle.
+    """
+    w = Window.partitionBy(*keys)
+    return daily.withColumns({
+        f"_q_{n}": F.percentile(value, F.lit(round(1.0 - c, 12))).over(w) for n, c in levels.items()})
+
+
+def tail_columns(levels: dict[str, float], value: str = "pnl") -> list[Column]:
+    """Aggregates ``var_x`` and ``es_x`` over :func:`with_tails`: positive losses floored at 0.
+
+    The tail is every value at or below the quantile.
     """
-    keys = list(keys)
-    q = daily.groupBy(*keys).agg(*[
-        F.percentile(value, F.lit(round(1.0 - c, 12))).alias(f"_q_{n}") for n, c in levels.items()])
     v = F.col(value)
-    return daily.join(q, keys).groupBy(*keys).agg(*[
-        x for n in levels for x in (
-            loss(F.first(f"_q_{n}")).alias(f"var_{n}"),
-            loss(F.avg(F.when(v <= F.col(f"_q_{n}"), v))).alias(f"es_{n}"))])
+    return [x for n in levels for x in (
+        loss(F.max(f"_q_{n}")).alias(f"var_{n}"),
+        loss(F.avg(F.when(v <= F.col(f"_q_{n}"), v))).alias(f"es_{n}"))]
+
+
+def tail_stats(
+    daily: DataFrame, keys: Sequence[str], levels: dict[str, float], value: str = "pnl"
+) -> DataFrame:
+    return with_tails(daily, keys, levels, value).groupBy(*keys).agg(*tail_columns(levels, value))
 
 
 def distribution(
@@ -77,13 +90,13 @@ def distribution(
 ) -> DataFrame:
     """Skewness, excess kurtosis, VaR, CVaR, mean and deviation of daily PnL, rounded."""
     keys = list(keys)
+    levels = {"a": var_level, "b": tail_level}
     clean = daily.withColumn("pnl", finite("pnl")).where(F.col("pnl").isNotNull())
-    shape = clean.groupBy(*keys).agg(
+    shape = with_tails(clean, keys, levels).groupBy(*keys).agg(
         F.count("pnl").alias("_n"), F.avg("pnl").alias("mean"), F.stddev_samp("pnl").alias("std"),
-        F.skewness("pnl").alias("_sk"), F.kurtosis("pnl").alias("_ku"))
+        F.skewness("pnl").alias("_sk"), F.kurtosis("pnl").alias("_ku"), *tail_columns(levels))
     ok = (F.col("_n") > 2) & (F.col("std") > 0)
-    tails = tail_stats(clean, keys, {"a": var_level, "b": tail_level})
-    return shape.join(tails, keys).select(
+    return shape.select(
         *keys, F.round(F.when(ok, F.col("_sk")), 4).alias("skew"),
         F.round(F.when(ok, F.col("_ku")), 4).alias("kurtosis"),
         F.round("var_a", 2).alias("var_95"), F.round("es_a", 2).alias("cvar_95"),

@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlattice.functions.exprs import DAY, MICROS, finite, loss, micros, over_zero
-from barlattice.operators.pnl import daily_equity, period_label, spine, tail_stats, with_daily_change
+from barlattice.operators.pnl import (
+    daily_equity, period_label, spine, tail_columns, tail_stats, with_daily_change, with_tails,
+)
 from barlattice.plans.blocks import running
 
 TRADING_DAYS = 252.0
@@ -102,20 +104,24 @@ def rolling_var_es(
     return out.withColumns(cols).drop("_seen", "_q_primary", "_q_tail")
 
 
-def rolling_volatility(
-    daily: DataFrame, windows: Sequence[int] = VOL_WINDOWS, keys: Sequence[str] = ("stream",)
-) -> DataFrame:
-    """Annualised percent deviation of daily returns, one column per window."""
-    out = daily.where(F.col("ret").isNotNull())
+def _rolling_vol_columns(windows: Sequence[int], keys: Sequence[str]) -> dict[str, Column]:
+    out = {}
     for n in windows:
         if n > 0:
             w = _window(keys, n)
-            out = out.withColumn(f"vol_{n}d", F.when(
-                F.count("ret").over(w) >= _need(n),
-                F.stddev_samp("ret").over(w) * math.sqrt(TRADING_DAYS) * 100.0))
+            out[f"vol_{n}d"] = F.when(
+                F.col("ret").isNotNull() & (F.count("ret").over(w) >= _need(n)),
+                F.stddev_samp("ret").over(w) * math.sqrt(TRADING_DAYS) * 100.0)
     return out
 
 
+def rolling_volatility(
+    daily: DataFrame, windows: Sequence[int] = VOL_WINDOWS, keys: Sequence[str] = ("stream",)
+) -> DataFrame:
+    """Annualised percent deviation of daily returns, one column per window."""
+    return daily.where(F.col("ret").isNotNull()).withColumns(_rolling_vol_columns(windows, keys))
+
+
 def annualised_sharpe(mean: Column, std: Column, n: Column, rf: float = 0.0) -> Column:
     """Null below two returns or without dispersion."""
     ok = (n >= 2) & (std > FLAT)
@@ -158,14 +164,17 @@ def horizon_sharpe(
         F.when(ok, (F.avg("ret") - rf_p) / F.when(ok, std) * math.sqrt(m)).alias("sharpe"))
 
 
+def _latest(windows: Sequence[int]) -> Column:
+    """First non-null volatility column of the last day that has any."""
+    known = F.coalesce(*[f"vol_{n}d" for n in windows if n > 0])
+    return F.max_by(known, F.when(known.isNotNull(), F.col("day")))
+
+
 def latest_volatility(
     daily: DataFrame, windows: Sequence[int], keys: Sequence[str] = ("stream",)
 ) -> DataFrame:
-    """First non-null volatility column of the last day that has any."""
-    names = [f"vol_{n}d" for n in windows if n > 0]
-    known = F.coalesce(*names)
     return rolling_volatility(daily, windows, keys).groupBy(*keys).agg(
-        F.max_by(known, F.when(known.isNotNull(), F.col("day"))).alias("latest_vol_pct"))
+        _latest(windows).alias("latest_vol_pct"))
 
 
 def risk_summary(
@@ -173,24 +182,25 @@ def risk_summary(
     windows: Sequence[int] = VOL_WINDOWS, rf: float = 0.0, keys: Sequence[str] = ("stream",),
     period_seconds: int = DAY,
 ) -> DataFrame:
-    """The summary row of a risk profile for every stream at once."""
+    """The summary row of a risk profile for every stream at once.
+
+    Equity is read twice: once reduced to days, once for the drawdown episodes.
+    """
     keys = list(keys)
-    daily = with_daily_change(daily_equity(equity, keys), keys)
-    dd = drawdown(equity, keys, period_seconds)
-    depth = episodes(dd, keys, period_seconds).groupBy(*keys).agg(
+    levels = {"primary": primary, "tail": tail}
+    daily = with_tails(with_daily_change(daily_equity(equity, keys), keys), keys, levels)
+    base = daily.withColumns(_rolling_vol_columns(windows, keys)).groupBy(*keys).agg(
+        F.sum("pnl").alias("total_pnl"),
+        annualised_sharpe(F.avg("ret"), F.stddev_samp("ret"), F.count("ret"), rf).alias("sharpe"),
+        *tail_columns(levels), _latest(windows).alias("latest_vol_pct"))
+    depth = episodes(drawdown(equity, keys, period_seconds), keys, period_seconds).groupBy(*keys).agg(
+        F.max("depth_abs_pct").alias("_deepest"),
         F.avg("depth_abs_pct").alias("avg_drawdown_pct"),
         F.percentile("depth_abs_pct", F.lit(0.5)).alias("median_drawdown_pct"),
         F.percentile("depth_abs_pct", F.lit(0.95)).alias("drawdown_95_pct"),
         F.max("duration_days").alias("max_drawdown_duration_days"))
-    base = daily.groupBy(*keys).agg(
-        F.sum("pnl").alias("total_pnl"),
-        annualised_sharpe(F.avg("ret"), F.stddev_samp("ret"), F.count("ret"), rf).alias("sharpe"))
-    deepest = dd.groupBy(*keys).agg(F.abs(F.min("drawdown_pct")).alias("max_drawdown_pct"))
-    return (
-        base.join(var_es(daily, primary, tail, keys), keys)
-        .join(deepest, keys).join(depth, keys, "left")
-        .join(latest_volatility(daily, windows, keys), keys, "left")
-    )
+    return base.join(depth, keys, "left").withColumn(
+        "max_drawdown_pct", F.coalesce("_deepest", F.lit(0.0))).drop("_deepest")
 
 
 def risk_profile(
@@ -262,11 +272,12 @@ def stress_metrics(
     p = paths.withColumns({
         "_dd": over_zero(F.col("equity") - peak, peak) * 100.0,
         "ret": finite(over_zero(F.col("equity"), prev) - 1.0)})
-    base = p.groupBy(*by).agg(
+    levels = {"primary": primary, "tail": tail}
+    m = with_tails(p, by, levels).groupBy(*by).agg(
         F.sum("pnl").alias("final_pnl"), F.max_by("equity", "day").alias("end_equity"),
         F.abs(F.min("_dd")).alias("max_drawdown_pct"),
-        annualised_sharpe(F.avg("ret"), F.stddev_samp("ret"), F.count("ret"), rf).alias("sharpe"))
-    m = base.join(var_es(paths, primary, tail, by), by)
+        annualised_sharpe(F.avg("ret"), F.stddev_samp("ret"), F.count("ret"), rf).alias("sharpe"),
+        *tail_columns(levels))
     of_base = F.max(F.when(F.col("scenario") == "baseline", F.col("final_pnl"))).over(
         Window.partitionBy(*keys))
     return m.withColumn("pnl_delta", F.col("final_pnl") - of_base)

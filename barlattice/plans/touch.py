@@ -36,15 +36,17 @@ def first_touch(
     down: str,
     carry: Sequence[str],
     prefix: str = "hit_",
+    path: DataFrame | None = None,
 ) -> DataFrame:
     """First bar strictly after ``probe_ts`` with high >= ``up`` or low <= ``down``.
 
     A null level is never reached. Returns every probe with the bar columns ``carry`` (plus
     ``ts``) under ``prefix``, null when no later bar reaches a level. ``probe_id`` must be unique.
+    ``path`` gives plain bars for the extremes when ``bars`` is costly to derive.
     """
     on = list(on)
     names = list(dict.fromkeys(["ts", "high", "low", *carry]))
-    daily = _daily(bars, on)
+    daily = _daily(path if path is not None else bars, on)
     days = daily.groupBy(*on, _M).agg(
         F.sort_array(F.collect_list(F.struct(_D, "hi", "lo"))).alias("_days")
     )
