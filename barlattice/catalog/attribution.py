@@ -14,6 +14,7 @@ from barlattice.operators import execution as X
 from barlattice.operators import pnl as L
 from barlattice.operators.bars import daily_close
 from barlattice.sources import tables as T
+from barlattice.plans.lineage import settle
 
 SYMBOLS = ["click", "error", "purchase", "signup", "view"]
 FLAGS = {0: "A", 1: "N", 2: "R"}
@@ -69,7 +70,7 @@ DECOMP = {"sharpe_like": 5, "closed_pnl": 2, "pnl_contrib_pct": 5, "risk_contrib
 
 
 def decomp(spark, d):
-    return A.decomposition(T.trades(spark, d), L.bar_pnl(T.slot_history(spark, d)), FLAGS, exposure=T.exposure(spark, d))
+    return A.decomposition(T.trades(spark, d), L.bar_pnl(settle(T.slot_history(spark, d))), FLAGS, exposure=settle(T.exposure(spark, d)))
 
 
 @query("a1_decomposition", sql(f"SELECT slot_id, strategy, {', '.join(r(c, n, c) for c, n in DECOMP.items())} FROM decomp", "decomp"))
@@ -106,7 +107,8 @@ def _(spark, d):
 def returns_by_symbol(spark, d):
     """Daily slot returns next to the main symbol of the slot's intraday trades."""
     w = spark.createDataFrame(list(T.WEIGHTS.items()), "slot_id INT, weight DOUBLE")
-    eq = L.slot_equity(T.slot_history(spark, d), T.history(spark, d), w)
+    sh = settle(T.slot_history(spark, d))
+    eq = L.slot_equity(sh, T.run_totals(sh), w)
     daily = L.with_daily_change(L.daily_equity(eq, ["slot_id"]), ["slot_id"])
     named = daily.withColumn("strategy", F.element_at(F.create_map(*[F.lit(x) for kv in T.SLOTS.items() for x in kv]), F.col("slot_id")))
     return named.join(A.main_symbols(T.intraday_trades(spark, d)).select("strategy", "symbol"), "strategy").select("strategy", "symbol", "day", F.col("ret").alias("y"))
@@ -138,6 +140,6 @@ def _(spark, d):
     {r('avg(pnl_decay_60m)', 4, 'pnl_decay_60m')}, {r('avg(mfe)', 4, 'avg_mfe')}, {r('avg(mae)', 4, 'avg_mae')}, CAST(floor(avg(hold_minutes)) AS BIGINT) AS avg_hold_min
   FROM enriched GROUP BY 1""", "enriched"))
 def _(spark, d):
-    t = E.enrich(X.with_specs(T.intraday_trades(spark, d), T.specs(spark)), T.bars(spark, d), 20, 100)
+    t = E.enrich(settle(X.with_specs(T.intraday_trades(spark, d), T.specs(spark))), settle(T.bars(spark, d)), 20, 100)
     s = A.exit_summary(t)
     return s.select("strategy", "total_trades", *[rd(c, 4).alias(c) for c in ("win_rate_pct", "avg_trade", "pnl_decay_60m", "avg_mfe", "avg_mae")], "avg_hold_min")

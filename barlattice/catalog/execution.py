@@ -11,6 +11,7 @@ from barlattice.operators import execution as E
 from barlattice.operators.indicators import realized_vol
 from barlattice.plans.blocks import Series
 from barlattice.sources import tables as T
+from barlattice.plans.lineage import settle
 
 PROFILE = E.cost_profile(2.5, {"limit": 0.5}, {"stop": 3.0})
 
@@ -146,7 +147,7 @@ def _(spark, d):
           OR time_in_force = 'DAY' AND CAST(b.ts AS DATE) = CAST(placed_at AS DATE) OR time_in_force = 'GTC')) WHERE px IS NOT NULL)
     GROUP BY order_id) q ON q.order_id = o.order_id""", "ords"))
 def _(spark, d):
-    o = E.resting_fills(orders(spark, d), T.bars(spark, d))
+    o = E.resting_fills(settle(orders(spark, d)), settle(T.bars(spark, d)))
     return o.select("order_id", "bar_ts", rd("raw_price", 5).alias("raw_price"), "fill_phase")
 
 

@@ -11,6 +11,7 @@ from barlattice.operators import execution as X
 from barlattice.operators import exits as E
 from barlattice.operators.predicates import trades_of_strategy
 from barlattice.sources import tables as T
+from barlattice.plans.lineage import settle
 
 H = E.HORIZONS
 CTES["itm"] = (("itrades", "specs"), """SELECT t.*, coalesce(sp.multiplier, 1.0::DOUBLE) AS multiplier, CASE direction WHEN 'LONG' THEN 1 ELSE -1 END AS sg,
@@ -34,12 +35,12 @@ def trades(spark, d):
 
 
 def enriched(spark, d):
-    return E.enrich(trades(spark, d), T.bars(spark, d), 20, 100)
+    return E.enrich(settle(trades(spark, d)), settle(T.bars(spark, d)), 20, 100)
 
 
 @query("e1_excursions", sql(f"SELECT trade_id, {r('mfe', 4, 'mfe')}, {r('mae', 4, 'mae')} FROM excur", "excur"))
 def _(spark, d):
-    return E.excursions(trades(spark, d), T.bars(spark, d)).select("trade_id", rd("mfe", 4).alias("mfe"), rd("mae", 4).alias("mae"))
+    return E.excursions(settle(trades(spark, d)), settle(T.bars(spark, d))).select("trade_id", rd("mfe", 4).alias("mfe"), rd("mae", 4).alias("mae"))
 
 
 def long_holds(spark, d):
@@ -68,7 +69,7 @@ def _(spark, d):
 
 @query("e2_forward_pnl", sql(f"SELECT trade_id, {', '.join(r(f'pnl_decay_{h}m', 4, f'pnl_decay_{h}m') for h in H)} FROM decay", "decay"))
 def _(spark, d):
-    f = E.forward_pnl(trades(spark, d), T.bars(spark, d))
+    f = E.forward_pnl(settle(trades(spark, d)), T.bars(spark, d))
     return f.select("trade_id", *[rd(f"pnl_decay_{h}m", 4).alias(f"pnl_decay_{h}m") for h in H])
 
 

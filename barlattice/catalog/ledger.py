@@ -9,6 +9,7 @@ from barlattice.functions.exprs import rd
 from barlattice.operators import execution as E
 from barlattice.operators import ledger as L
 from barlattice.sources import tables as T
+from barlattice.plans.lineage import settle
 
 
 def fills(spark, d):
@@ -71,7 +72,7 @@ def _(spark, d):
 @query("x12_portfolio_totals", sql(f"""SELECT ts, {r('1000000 + sum(cum_pnl)', 4, 'total_value')}, {r('sum(abs(notional))', 4, 'gross_notional')},
   {r('sum(margin_used)', 4, 'margin_used')} FROM grid GROUP BY ts""", "grid"))
 def _(spark, d):
-    x = L.portfolio_totals(L.slot_ledger(fills(spark, d), T.bars(spark, d)), 1000000.0)
+    x = L.portfolio_totals(settle(L.slot_ledger(fills(spark, d), T.bars(spark, d))), 1000000.0)
     return x.select("ts", *[rd(c, 4).alias(c) for c in ("total_value", "gross_notional", "margin_used")])
 
 
@@ -85,8 +86,8 @@ def _(spark, d):
   UNION ALL SELECT s.slot_id, a.ts, 0.0::DOUBLE FROM (SELECT DISTINCT ts FROM book) a CROSS JOIN (VALUES (0), (1), (2)) AS s(slot_id)
   WHERE NOT EXISTS (SELECT 1 FROM grid g WHERE g.ts = a.ts AND g.slot_id = s.slot_id)""", "grid"))
 def _(spark, d):
-    book = L.slot_ledger(fills(spark, d), T.bars(spark, d))
-    per_slot = L.portfolio_totals(book, 0.0, ("run_id", "slot_id"))
+    book = settle(L.slot_ledger(fills(spark, d), T.bars(spark, d)))
+    per_slot = settle(L.portfolio_totals(book, 0.0, ("run_id", "slot_id")))
     return L.on_common_axis(per_slot, book, [0, 1, 2], "cum_pnl").select("slot_id", "ts", rd("cum_pnl", 4).alias("cum_pnl"))
 
 
@@ -98,10 +99,10 @@ BREACH = """SELECT *, equity - first_value(equity) OVER (PARTITION BY stream, CA
 @query("x13_limit_breaches", sql(f"""SELECT stream, ts, {r('equity', 4, 'equity')}, dl AS daily_loss_breach, dd AS drawdown_breach, fl AS floor_breach
   FROM br WHERE dl OR dd OR fl""", "hourly", br=BREACH))
 def _(spark, d):
-    return L.limit_breaches(T.hourly_equity(spark, d), 100000.0, 400.0, 0.01, 99000.0).withColumn("equity", rd("equity", 4))
+    return L.limit_breaches(settle(T.hourly_equity(spark, d)), 100000.0, 400.0, 0.01, 99000.0).withColumn("equity", rd("equity", 4))
 
 
 @query("x13_first_breaches", sql("""SELECT stream, min(ts) FILTER (dl) AS first_daily_loss, min(ts) FILTER (dd) AS first_drawdown,
   min(ts) FILTER (fl) AS first_floor FROM br WHERE dl OR dd OR fl GROUP BY 1""", "hourly", br=BREACH))
 def _(spark, d):
-    return L.first_breaches(L.limit_breaches(T.hourly_equity(spark, d), 100000.0, 400.0, 0.01, 99000.0))
+    return L.first_breaches(L.limit_breaches(settle(T.hourly_equity(spark, d)), 100000.0, 400.0, 0.01, 99000.0))

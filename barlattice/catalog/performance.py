@@ -13,6 +13,7 @@ from barlattice.operators import metrics as M
 from barlattice.operators.pnl import YEAR
 from barlattice.operators.risk import risk_summary
 from barlattice.sources import tables as T
+from barlattice.plans.lineage import settle
 
 CTES["path"] = (("hourly",), """
   SELECT *, equity / nullif(lag(equity) OVER (PARTITION BY stream ORDER BY ts), 0) - 1 AS ret,
@@ -32,7 +33,7 @@ CTES["perf"] = (("path",), """
 
 
 def perf(spark, d):
-    return M.aggregate_path(M.equity_path(T.hourly_equity(spark, d)), ["stream"])
+    return M.aggregate_path(M.equity_path(settle(T.hourly_equity(spark, d))), ["stream"])
 
 
 def upto(df, last):
@@ -45,7 +46,7 @@ def upto(df, last):
 
 @query("m1_sample_sharpe", sql(f"SELECT stream, {r('ss', 6, 'sample_sharpe')} FROM perf", "perf"))
 def _(spark, d):
-    m = M.return_moments(M.equity_path(T.hourly_equity(spark, d)), ["stream"])
+    m = M.return_moments(M.equity_path(settle(T.hourly_equity(spark, d))), ["stream"])
     return m.select("stream", rd(M.sample_sharpe(F.col("mean_ret"), F.col("std_ret")), 6).alias("sample_sharpe"))
 
 
@@ -71,7 +72,7 @@ def _(spark, d):
 
 @query("m6_sharpe", sql(f"SELECT stream, {r('(cagr - 0.02) / volatility', 4, 'sharpe')} FROM perf", "perf"))
 def _(spark, d):
-    return M.performance(T.hourly_equity(spark, d), rf=0.02).select("stream", rd("sharpe", 4).alias("sharpe"))
+    return M.performance(settle(T.hourly_equity(spark, d)), rf=0.02).select("stream", rd("sharpe", 4).alias("sharpe"))
 
 
 @query("m7_sortino", sql(f"SELECT stream, {r('cagr / (std_neg * sqrt(n_bars / years))', 4, 'sortino')} FROM perf", "perf"))
@@ -103,14 +104,14 @@ _A, _B = NormalDist().inv_cdf(1 - 1 / 50), NormalDist().inv_cdf(1 - 1 / (50 * ma
     CROSS JOIN (SELECT avg(s) + stddev_pop(s) * ((1 - 0.5772156649::DOUBLE) * {_A!r}::DOUBLE + 0.5772156649::DOUBLE * {_B!r}::DOUBLE) AS star FROM (SELECT sharpe * 0.1::DOUBLE AS s FROM trials)))""",
     "perf", "trials"))
 def _(spark, d):
-    m = M.performance(T.hourly_equity(spark, d), trials=50, trial_sharpes=trial_sharpes(spark, d))
+    m = M.performance(settle(T.hourly_equity(spark, d)), trials=50, trial_sharpes=trial_sharpes(spark, d))
     return m.select("stream", rd("dsr", 6).alias("dsr"), rd("sr_star", 6).alias("sr_star"))
 
 
 @query("m10_return_shape", sql(f"""SELECT stream, n_ret, {r('skew', 5, 'skew_ret')}, {r('kurt', 5, 'kurt_ret')},
     {r('sqrt((1 - skew * ss + (kurt - 1) / 4 * ss * ss) / (n_ret - 1))', 6, 'sharpe_error')} FROM perf""", "perf"))
 def _(spark, d):
-    m = M.return_moments(M.equity_path(T.hourly_equity(spark, d)), ["stream"])
+    m = M.return_moments(M.equity_path(settle(T.hourly_equity(spark, d))), ["stream"])
     s = M.sample_sharpe(F.col("mean_ret"), F.col("std_ret"))
     err = F.sqrt((1 - F.col("skew_ret") * s + (F.col("kurt_ret") - 1) / 4 * s * s) / (F.col("n_ret") - 1))
     return m.select("stream", "n_ret", rd("skew_ret", 5).alias("skew_ret"), rd("kurt_ret", 5).alias("kurt_ret"), rd(err, 6).alias("sharpe_error"))
@@ -124,7 +125,7 @@ def _(spark, d):
 @query("m11_return_p_value", sql(f"""SELECT stream, {r('t', 6, 't_stat')}, {r(t_tails('t', 'n_ret - 1'), 6, 'p_value')}
   FROM (SELECT *, mean_ret / (std_ret / sqrt(n_ret)) AS t FROM perf)""", "perf"))
 def _(spark, d):
-    return M.performance(T.hourly_equity(spark, d)).select("stream", rd("t_stat", 6).alias("t_stat"), rd("p_value", 6).alias("p_value"))
+    return M.performance(settle(T.hourly_equity(spark, d))).select("stream", rd("t_stat", 6).alias("t_stat"), rd("p_value", 6).alias("p_value"))
 
 
 @query("m12_performance", sql(f"""SELECT stream, {r('total_pnl', 4, 'total_pnl')}, {r('total_return', 6, 'total_return')}, {r('cagr', 5, 'cagr')},
@@ -133,7 +134,7 @@ def _(spark, d):
   FROM perf""", "perf"))
 def _(spark, d):
     digits = {"total_pnl": 4, "total_return": 6, "cagr": 5, "volatility": 6, "sharpe": 4, "sortino": 4, "max_drawdown": 6, "calmar": 3, "t_stat": 6}
-    return M.performance(T.hourly_equity(spark, d)).select("stream", *[rd(c, n).alias(c) for c, n in digits.items()])
+    return M.performance(settle(T.hourly_equity(spark, d))).select("stream", *[rd(c, n).alias(c) for c, n in digits.items()])
 
 
 STATS = f"""count(*) AS total_trades, {r('avg(CASE WHEN pnl > 0 THEN 1.0::DOUBLE ELSE 0 END)', 6, 'win_rate')},
@@ -166,7 +167,7 @@ def _(spark, d):
   JOIN (SELECT stream, quantile_cont(pnl, 0.05) AS q FROM (SELECT stream, coalesce(e - lag(e) OVER (PARTITION BY stream ORDER BY day), 0) AS pnl FROM (
       SELECT stream, CAST(ts AS DATE) AS day, arg_max(equity, ts) AS e FROM hourly GROUP BY 1, 2)) GROUP BY 1) v ON v.stream = p.stream""", "perf", "itrades"))
 def _(spark, d):
-    eq, tr = T.hourly_equity(spark, d), T.intraday_trades(spark, d)
+    eq, tr = settle(T.hourly_equity(spark, d)), settle(T.intraday_trades(spark, d))
     stats = shown_stats(M.trade_stats(tr, ["slot_id"]), "slot_id").join(M.hold_minutes(tr, ["slot_id"]).select("slot_id", rd("avg_hold_min", 4).alias("avg_hold_min")), "slot_id")
     stats = stats.withColumn("stream", F.concat(F.lit("slot_"), F.col("slot_id").cast("string")))
     p = M.performance(eq).select("stream", rd("total_pnl", 4).alias("total_pnl"), rd("cagr", 5).alias("cagr"), rd("sharpe", 4).alias("sharpe"), rd("max_drawdown", 6).alias("max_drawdown"))

@@ -8,6 +8,7 @@ from barlattice.catalog.core import CTES, query, r, sql
 from barlattice.functions.exprs import rd
 from barlattice.operators import pnl as L
 from barlattice.sources import tables as T
+from barlattice.plans.lineage import settle
 
 CTES["barpnl"] = (("slot_hist",), """SELECT run_id, slot_id, ts, coalesce(cum_pnl - lag(cum_pnl) OVER (PARTITION BY slot_id ORDER BY ts), 0) AS pnl
   FROM slot_hist""")
@@ -63,7 +64,8 @@ def _(spark, d):
   JOIN (SELECT run_id, arg_min(total_value, ts) AS v FROM hist GROUP BY 1) h ON h.run_id = s.run_id""", "slot_hist", "hist"))
 def _(spark, d):
     w = spark.createDataFrame(list(T.WEIGHTS.items()), "slot_id INT, weight DOUBLE")
-    return L.slot_equity(T.slot_history(spark, d), T.history(spark, d), w).withColumn("equity", rd("equity", 4))
+    sh = settle(T.slot_history(spark, d))
+    return L.slot_equity(sh, T.run_totals(sh), w).withColumn("equity", rd("equity", 4))
 
 
 @query("l5_daily_pnl", sql(f"SELECT stream, day, {r('equity', 4, 'equity')}, {r('pnl', 4, 'pnl')} FROM daypnl", "daypnl"))

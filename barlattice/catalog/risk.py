@@ -10,6 +10,7 @@ from barlattice.functions.exprs import rd
 from barlattice.operators import pnl as L
 from barlattice.operators import risk as R
 from barlattice.sources import tables as T
+from barlattice.plans.lineage import settle
 
 CTES["dd"] = (("hourly",), """SELECT *, (equity - pk) / nullif(pk, 0) * 100 AS ddp FROM (
   SELECT *, max(equity) OVER (PARTITION BY stream ORDER BY ts) AS pk FROM hourly)""")
@@ -30,7 +31,7 @@ def _(spark, d):
 @query("r2_drawdown_episodes", sql(f"""SELECT stream, start_ts, trough_ts, end_ts, {r('depth', 6, 'depth_pct')}, {r('abs(depth)', 6, 'depth_abs_pct')},
   {r(DAYS, 6, 'duration_days')} FROM episodes""", "episodes"))
 def _(spark, d):
-    e = R.episodes(R.drawdown(T.hourly_equity(spark, d)))
+    e = R.episodes(R.drawdown(settle(T.hourly_equity(spark, d))))
     return e.withColumns({c: rd(c, 6) for c in ("depth_pct", "depth_abs_pct", "duration_days")})
 
 
@@ -111,7 +112,7 @@ def summary(spark, d, eq):
 
 @query("r9_risk_summary", sql(SUMMARY, "daypnl", "episodes"))
 def _(spark, d):
-    return summary(spark, d, T.hourly_equity(spark, d))
+    return summary(spark, d, settle(T.hourly_equity(spark, d)))
 
 
 CTES["weighted"] = (("slot_hist", "hist"), """SELECT 'slot_' || CAST(s.slot_id AS VARCHAR) AS stream, s.ts, s.cum_pnl + h.v * w AS equity FROM slot_hist s
@@ -125,9 +126,11 @@ CTES["weighted"] = (("slot_hist", "hist"), """SELECT 'slot_' || CAST(s.slot_id A
     wep=CTES["episodes"][1].replace("FROM dd)", "FROM wdd)")))
 def _(spark, d):
     w = spark.createDataFrame(list(T.WEIGHTS.items()), "slot_id INT, weight DOUBLE")
-    sh, hi = T.slot_history(spark, d), T.history(spark, d)
+    sh = settle(T.slot_history(spark, d))
+    hi = T.run_totals(sh)
     slots = L.slot_equity(sh, hi, w).select(F.concat(F.lit("slot_"), F.col("slot_id").cast("string")).alias("stream"), "ts", "equity")
-    return summary(spark, d, slots.unionByName(hi.select(F.lit("portfolio").alias("stream"), "ts", F.col("total_value").alias("equity"))))
+    total = hi.select(F.lit("portfolio").alias("stream"), "ts", F.col("total_value").alias("equity"))
+    return summary(spark, d, settle(slots.unionByName(total)))
 
 
 CTES["costs"] = (("trades",), """SELECT 'slot_' || CASE strategy WHEN 'A' THEN '0' WHEN 'N' THEN '1' ELSE '2' END AS stream, CAST(exit_time AS DATE) AS day,

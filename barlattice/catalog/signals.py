@@ -10,6 +10,7 @@ from barlattice.functions.exprs import rd
 from barlattice.operators import brackets as X
 from barlattice.operators import signals as G
 from barlattice.sources import tables as T
+from barlattice.plans.lineage import settle
 
 SIG = ["symbol", "timeframe", "ts", "side"]
 COLS = ["entry_level", "stop", "target"]
@@ -202,13 +203,13 @@ def outcome_cols(df):
 
 @query("x8_bracket_next_open", sql(OUT, "bars", "atr14", g=pullback_sql(20, 60, 1.0, 1.5), s=numbered("g"), x=bracket_sql("s", "next_open")))
 def _(spark, d):
-    b = T.bars(spark, d)
+    b = settle(T.bars(spark, d))
     return outcome_cols(X.outcomes(X.with_id(G.signals(b, "sma_pullback", P8)), b, "next_open"))
 
 
 @query("x8_bracket_resting", sql(OUT, "bars", "atr14", g=pullback_sql(20, 60, 1.0, 1.5), s=numbered("g"), x=bracket_sql("s", "resting")))
 def _(spark, d):
-    b = T.bars(spark, d)
+    b = settle(T.bars(spark, d))
     return outcome_cols(X.outcomes(X.with_id(G.signals(b, "sma_pullback", P8)), b, "resting"))
 
 
@@ -222,7 +223,7 @@ def _(spark, d):
               GROUP BY symbol, CAST(ts AS DATE)) e ON e.symbol = s.symbol AND s.sts < e.ets)
   WHERE cut OR outcome IS NOT NULL""", "bars", "atr14", g=pullback_sql(20, 60, 1.0, 1.5), s=numbered("g"), x=bracket_sql("s", "resting")))
 def _(spark, d):
-    b = T.bars(spark, d)
+    b = settle(T.bars(spark, d))
     x = X.outcomes(X.with_id(G.signals(b, "sma_pullback", P8)), b, "resting", eod_time="20:00")
     return x.where(F.col("outcome").isNotNull()).select(
         "symbol", "timeframe", "ts", "side", "outcome", "exit_ts", rd("exit_price", 5).alias("exit_price"))
@@ -239,7 +240,7 @@ def _(spark, d):
           FROM x JOIN bars5 f ON f.symbol = x.symbol AND f.ts > hit_prev_ts AND f.ts <= hit_ts WHERE stop_touched AND target_touched)
     GROUP BY sid) q ON q.sid = x.sid""", "bars", "bars5", "atr14", g=pullback_sql(20, 60, 1.0, 1.5), s=numbered("g"), x=bracket_sql("s", "resting")))
 def _(spark, d):
-    b = T.bars(spark, d)
+    b = settle(T.bars(spark, d))
     x = X.outcomes(X.with_id(G.signals(b, "sma_pullback", P8)), b, "resting").where(F.col("outcome").isNotNull())
     return X.resolve_ties(x, T.bars(spark, d, "5m"), 300).select("symbol", "timeframe", "ts", "side", "outcome", "resolved_outcome")
 
@@ -249,9 +250,9 @@ ENTRIES = """SELECT symbol, timeframe, n.ts AS entry_ts, side, CASE side WHEN 1
         WHERE g.side <> 0) n WHERE CASE side WHEN 1 THEN high >= entry_level ELSE low <= entry_level END"""
 
 
-def entries(spark, d, name, params):
+def entries(b, name, params):
     """Signals whose stop entry fills on the next bar."""
-    s = G.signals(T.bars(spark, d), name, [params])
+    s = G.signals(b, name, [params])
     up = F.col("side") == 1
     met = F.when(up, F.col("next_high") >= F.col("entry_level")).otherwise(F.col("next_low") <= F.col("entry_level"))
     px = F.when(up, F.greatest("next_open", "entry_level")).otherwise(F.least("next_open", "entry_level"))
@@ -267,8 +268,9 @@ def entries(spark, d, name, params):
   ) h ON h.symbol = e.symbol AND h.side = e.side AND e.entry_ts < h.ts""", "tr", "atr14", "ema200", sh=SHOCK, lv=LEVELS, g=channel_sql(20),
     e=ENTRIES.replace("SELECT symbol, timeframe, n.ts", "SELECT symbol, timeframe, n.ts")))
 def _(spark, d):
-    e = entries(spark, d, "channel_breakout", {"length": 20, "trade_direction": "both"})
-    return X.trailing_exits(e, T.bars(spark, d), 20, 0.01).select(
+    b = settle(T.bars(spark, d))
+    e = entries(b, "channel_breakout", {"length": 20, "trade_direction": "both"})
+    return X.trailing_exits(e, b, 20, 0.01).select(
         "symbol", "timeframe", "entry_ts", "side", rd("entry_price", 5).alias("entry_price"), "exit_ts",
         rd("exit_price", 5).alias("exit_price"))
 
@@ -279,8 +281,9 @@ def _(spark, d):
       WINDOW w AS (PARTITION BY symbol ORDER BY rn)) WHERE nts IS NULL OR CAST(nts AS DATE) <> CAST(ts AS DATE)) l
   ON l.symbol = e.symbol AND CAST(l.ts AS DATE) = CAST(e.entry_ts AS DATE)""", "tr", "atr14", "ema200", sh=SHOCK, g=channel_sql(20), e=ENTRIES))
 def _(spark, d):
-    e = entries(spark, d, "channel_breakout", {"length": 20, "trade_direction": "both"})
-    return X.end_of_day_exits(e, T.bars(spark, d)).select(
+    b = settle(T.bars(spark, d))
+    e = entries(b, "channel_breakout", {"length": 20, "trade_direction": "both"})
+    return X.end_of_day_exits(e, b).select(
         "symbol", "timeframe", "entry_ts", "side", "exit_ts", rd("exit_price", 5).alias("exit_price"))
 
 
@@ -305,7 +308,7 @@ def sweep_sql():
 
 @query("k13_signal_sweep", sweep_sql())
 def _(spark, d):
-    k = X.sweep_kpis(X.sweep(T.bars(spark, d), "sma_pullback", SWEEP))
+    k = X.sweep_kpis(X.sweep(settle(T.bars(spark, d)), "sma_pullback", SWEEP))
     return k.select("symbol", "timeframe", "params_id", "total_trades", *[
         rd(F.when(F.col(c) != float("inf"), F.col(c)), 6).alias(c)
         for c in ("win_rate", "profit_factor", "avg_trade", "avg_win", "avg_loss")])

@@ -12,6 +12,7 @@ from barlattice.operators.predicates import admit_params
 from barlattice.operators.signals import SIGNALS, resolve_column
 from barlattice.plans.blocks import running
 from barlattice.sources import tables as T
+from barlattice.plans.lineage import settle
 
 
 def fold_sql(anchored, gap):
@@ -100,7 +101,7 @@ def _(spark, d):
 
 def oos(spark, d):
     """A fold's parameters are measured on the next fold's trials."""
-    t = scored(spark, d)
+    t = settle(scored(spark, d))
     return K.out_of_sample(K.best_trials(t), t.withColumn("fold_id", ((F.col("fold_id") + 3) % 5 + 1).cast("int")), min_trades=2)
 
 
@@ -198,7 +199,7 @@ def batch_perf(spark, d):
     """Equity of 0.05 units held over every bar, from 1,000."""
     b = T.bars(spark, d).withColumn("step", (F.col("close") - F.col("open")) * 0.05)
     eq = running(b, ["symbol"], "ts", sums={"cum": "step"}).select("symbol", "ts", (F.lit(1000.0) + F.col("cum")).alias("equity"))
-    return M.performance(eq, ["symbol"])
+    return M.performance(settle(eq), ["symbol"])
 
 
 @query("k12_batch_summary", sql(f"SELECT symbol, {r('pnl_pct', 4, 'pnl_pct')}, {r('max_drawdown_pct', 4, 'max_drawdown_pct')} FROM batchsum ORDER BY pnl_pct DESC LIMIT 2", "batchsum"))

@@ -15,6 +15,7 @@ from barlattice.operators.metrics import trade_stats
 from barlattice.operators.pnl import HORIZONS, period_label, resample, spine
 from barlattice.plans.blocks import running
 from barlattice.plans.salt import join_small
+from barlattice.plans.lineage import settle
 
 MIN_PERIODS = 5
 FLAT = 1e-8
@@ -152,7 +153,7 @@ def decomposition(
     wide = bar_pnl.groupBy("run_id", "ts").agg(*[
         F.sum(F.when(F.col("slot_id") == i, F.col("pnl"))).alias(f"p{i}") for i in ids])
     total = reduce(lambda a, c: a + c, [F.coalesce(f"p{i}", F.lit(0.0)) for i in ids])
-    wide = wide.withColumn("total", total)
+    wide = settle(wide.withColumn("total", total))  # read by every part below
     window = drawdown_window(wide.select("run_id", "ts", "total"))
     inside = F.col("ts").between(F.col("dd_start"), F.col("dd_end"))
     bars = join_small(wide, window, run).groupBy(*run).agg(

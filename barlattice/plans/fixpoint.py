@@ -16,23 +16,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlattice.plans.blocks import _BLK, _LO, _OWN, with_halo
+from barlattice.plans.lineage import settle
 
 StepFn = Callable[[pd.DataFrame, dict | None, bool], tuple[pd.DataFrame | None, dict]]
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the cluster's checkpoint folder; a scratch one only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            import tempfile
-
-            shared = tempfile.mkdtemp(prefix="barlattice-")
-        sc.setCheckpointDir(shared)
-    return df.checkpoint()
-
-
 def scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -75,7 +63,7 @@ def scan(
         f"_in_{n}": F.lit(None).cast(part.strip().split(" ")[1])
         for n, part in zip(names, state.split(","))
     })
-    ends = _checkpoint(fresh.groupBy(*keys, _BLK).applyInPandas(run_state, ends_ddl))
+    ends = settle(fresh.groupBy(*keys, _BLK).applyInPandas(run_state, ends_ddl))
     by_block = Window.partitionBy(*keys).orderBy(_BLK)
 
     def handed(ends: DataFrame) -> DataFrame:
@@ -96,7 +84,7 @@ def scan(
                 same = same & F.col(f"n.{g}").eqNullSafe(F.col(f"u.{g}"))
             on = [F.col(f"n.{k}") == F.col(f"u.{k}") for k in (*keys, _BLK)]
             changed = now.alias("n").join(used.alias("u"), on).where(~same).select("n.*")
-        changed = _checkpoint(changed)
+        changed = settle(changed)
         if changed.isEmpty():
             break
         again = (
@@ -104,7 +92,7 @@ def scan(
             .groupBy(*keys, _BLK)
             .applyInPandas(run_state, ends_ddl)
         )
-        ends = _checkpoint(
+        ends = settle(
             ends.join(again.select(*keys, _BLK), [*keys, _BLK], "left_anti").unionByName(again)
         )
         used = now

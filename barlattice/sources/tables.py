@@ -157,12 +157,13 @@ def slot_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def run_totals(slots: DataFrame) -> DataFrame:
+    return slots.groupBy("run_id", "ts").agg(
+        (F.lit(100000.0) + F.sum("cum_pnl")).alias("total_value"))
+
+
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        slot_history(spark, sf_dir)
-        .groupBy("run_id", "ts")
-        .agg((F.lit(100000.0) + F.sum("cum_pnl")).alias("total_value"))
-    )
+    return run_totals(slot_history(spark, sf_dir))
 
 
 def daily_slot_pnl(spark: SparkSession, sf_dir: str) -> DataFrame:
