@@ -82,14 +82,16 @@ def test_running_equals_cumulative(bars, bars_pdf):
 
 @pytest.mark.parametrize("forward", [False, True])
 @pytest.mark.parametrize("strict", [False, True])
-def test_asof_equals_merge_asof(spark, bars, bars_pdf, forward, strict):
+@pytest.mark.parametrize("hot_rows", [3, 10**6])
+def test_asof_equals_merge_asof(spark, bars, bars_pdf, forward, strict, hot_rows):
     rng = np.random.default_rng(5)
     base = bars_pdf.iloc[::3][["symbol", "ts"]].copy()
     base["ts"] = base["ts"] + pd.to_timedelta(rng.integers(-2, 3, len(base)) * 30, unit="min")
     base = pd.concat([base, pd.DataFrame({"symbol": ["A", "B"], "ts": [START - dt.timedelta(days=90), START + dt.timedelta(days=400)]})])
+    base = pd.concat([base, base.iloc[[50] * 40]])  # copies of one timestamp
     base["pid"] = range(len(base))
     probes = to_spark(spark, base, "symbol string, ts timestamp_ntz, pid int")
-    got = asof(probes, bars, ["symbol"], "ts", "ts", {"close": "px"}, forward=forward, strict=strict)
+    got = asof(probes, bars, ["symbol"], "ts", "ts", {"close": "px"}, forward=forward, strict=strict, hot_rows=hot_rows)
     got = got.toPandas().sort_values("pid")
     want = pd.merge_asof(base.sort_values("ts"), bars_pdf[["symbol", "ts", "close"]].sort_values("ts"), on="ts", by="symbol",
                          direction="forward" if forward else "backward", allow_exact_matches=not strict).sort_values("pid")
