@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barlattice.functions.exprs import DAY, falsy, over_zero
 from barlattice.plans.asof import asof
-from barlattice.plans.blocks import Series, running
+from barlattice.plans.blocks import HOT_ROWS, Series, running
 from barlattice.plans.salt import join_small
 
 BOOK = ["run_id", "slot_id", "symbol"]
@@ -31,7 +31,7 @@ def round_trips(
     """
     keys = list(keys)
     cum = running(fills.withColumn("_q", F.col("quantity").cast("double")), [*keys, "side"], "ts",
-                  sums={"_hi": "_q"}, tie=["fill_id"], period_seconds=period_seconds)
+                  sums={"_hi": "_q"}, tie=["fill_id"], period_seconds=period_seconds, hot_rows=HOT_ROWS)
     cum = cum.withColumn("_lo", F.col("_hi") - F.col("_q")).withColumn(
         "_bucket", F.explode(F.sequence(F.floor(F.col("_lo") / bucket), F.ceil(F.col("_hi") / bucket) - 1)))
     reason = "exit_reason" if "exit_reason" in fills.columns else None
@@ -79,7 +79,7 @@ def book_flows(fills: DataFrame, keys: Sequence[str], period_seconds: int = DAY)
     flow = -_signed() * F.col("fill_price") * F.col("multiplier") - F.col("commission")
     step = fills.groupBy(*keys, "ts").agg(F.sum(_signed()).alias("_dq"), F.sum(flow).alias("_dc"))
     return running(step, list(keys), "ts", sums={"position": "_dq", "cash_flow": "_dc"},
-                   period_seconds=period_seconds).drop("_dq", "_dc")
+                   period_seconds=period_seconds, hot_rows=HOT_ROWS).drop("_dq", "_dc")
 
 
 def single_ledger(

@@ -198,6 +198,9 @@ class Series:
         return self.frame().select(*self.keys, self.ts, *columns)
 
 
+HOT_ROWS = 4_000_000  # rows of one key and period above which a period is split
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -207,40 +210,70 @@ def running(
     lasts: dict[str, str] | None = None,
     tie: Sequence[str] = (),
     period_seconds: int = DAY,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Running sum / max / last non-null over a whole series, computed per calendar period.
 
     ``sums``, ``maxes`` and ``lasts`` map output column to input column. Each period is first
     reduced to one row; the running value before a period comes from those rows and is put in
-    front of the period, so no task holds more than one period of one series.
+    front of the period, so no task holds more than one period of one series. That is enough for
+    rows on a bar clock (at most 1,440 a day). For rows without such a bound, like fills, pass
+    ``hot_rows``: a period with more rows is handled the same way by its seconds. The list of such
+    periods has at most one row per ``hot_rows`` input rows, so it is broadcast.
     """
     sums, maxes, lasts = sums or {}, maxes or {}, lasts or {}
     keys = list(keys)
+    outs = [f"_c_{o}" for o in (*sums, *maxes, *lasts)]
     rows = df.withColumn(_P, period_of(ts, period_seconds))
     # The last row is picked on (ts, ties): the tie columns complete the order.
     order = F.struct(ts, *tie)
-    totals = rows.groupBy(*keys, _P).agg(
+    aggs = [
         *[F.sum(c).alias(f"_c_{o}") for o, c in sums.items()],
         *[F.max(c).alias(f"_c_{o}") for o, c in maxes.items()],
         *[
             F.max_by(F.col(c), F.when(F.col(c).isNotNull(), order)).alias(f"_c_{o}")
             for o, c in lasts.items()
         ],
-    )
-    before = Window.partitionBy(*keys).orderBy(_P).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(
-        *keys,
-        _P,
-        *[F.coalesce(F.sum(f"_c_{o}").over(before), F.lit(0)).alias(f"_c_{o}") for o in sums],
-        *[F.max(f"_c_{o}").over(before).alias(f"_c_{o}") for o in maxes],
-        *[F.last(f"_c_{o}", ignorenulls=True).over(before).alias(f"_c_{o}") for o in lasts],
-    )
-    upto = (
-        Window.partitionBy(*keys, _P)
-        .orderBy(ts, *tie)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    out = rows.join(carry, [*keys, _P])
+    ]
+
+    def before(w: WindowSpec) -> list[Column]:
+        w = w.rowsBetween(Window.unboundedPreceding, -1)
+        return [
+            *[F.coalesce(F.sum(f"_c_{o}").over(w), F.lit(0)).alias(f"_c_{o}") for o in sums],
+            *[F.max(f"_c_{o}").over(w).alias(f"_c_{o}") for o in maxes],
+            *[F.last(f"_c_{o}", ignorenulls=True).over(w).alias(f"_c_{o}") for o in lasts],
+        ]
+
+    totals = rows.groupBy(*keys, _P).agg(F.count("*").alias("_n"), *aggs)
+    carry = totals.select(*keys, _P, "_n", *before(Window.partitionBy(*keys).orderBy(_P)))
+    part = [*keys, _P]
+    if hot_rows is not None:
+        hot = F.broadcast(carry.where(F.col("_n") > hot_rows).select(
+            *keys, _P, F.lit(True).alias("_hot"), *[F.col(c).alias(f"_h{c}") for c in outs]))
+        second = period_of(ts, 1)
+        rows = rows.join(hot, [*keys, _P], "left").withColumn(
+            "_sub", F.when(F.col("_hot"), second).otherwise(F.lit(0).cast("long")))
+        kept = [f"_h{c}" for c in outs]
+        inner = rows.where("_hot").groupBy(*keys, _P, "_sub", *kept).agg(*aggs)
+        inner = inner.select(
+            *keys, _P, "_sub", *kept, *before(Window.partitionBy(*keys, _P).orderBy("_sub")))
+        joined = {}
+        for o in sums:
+            joined[f"_c_{o}"] = F.col(f"_h_c_{o}") + F.col(f"_c_{o}")
+        for o in maxes:
+            joined[f"_c_{o}"] = F.greatest(f"_h_c_{o}", f"_c_{o}")
+        for o in lasts:
+            joined[f"_c_{o}"] = F.coalesce(f"_c_{o}", f"_h_c_{o}")
+        carry = (
+            carry.where(F.col("_n") <= hot_rows)
+            .select(*keys, _P, F.lit(0).cast("long").alias("_sub"), *outs)
+            .unionByName(inner.withColumns(joined).select(*keys, _P, "_sub", *outs))
+        )
+        rows = rows.drop("_hot", *kept)
+        part.append("_sub")
+    out = rows.join(carry.select(*part, *outs), part)
+    upto = Window.partitionBy(*part).orderBy(ts, *tie).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
     added = {}
     for o, c in sums.items():
         added[o] = F.col(f"_c_{o}") + F.coalesce(F.sum(c).over(upto), F.lit(0))
@@ -248,4 +281,4 @@ def running(
         added[o] = F.greatest(F.col(f"_c_{o}"), F.max(c).over(upto))
     for o, c in lasts.items():
         added[o] = F.coalesce(F.last(c, ignorenulls=True).over(upto), F.col(f"_c_{o}"))
-    return out.withColumns(added).drop(_P, *[f"_c_{o}" for o in (*sums, *maxes, *lasts)])
+    return out.withColumns(added).drop(_P, "_sub", *outs)

@@ -71,9 +71,10 @@ def test_halo_keeps_each_row_once(bars):
     assert h.select("symbol", "_block").distinct().count() > 10
 
 
-def test_running_equals_cumulative(bars, bars_pdf):
-    got = collect(running(bars, ["symbol"], "ts", sums={"s": "volume"}, maxes={"m": "high"}, lasts={"l": "close"}),
-                  "symbol", "ts")
+@pytest.mark.parametrize("hot_rows", [None, 4, 10**6])
+def test_running_equals_cumulative(bars, bars_pdf, hot_rows):
+    got = collect(running(bars, ["symbol"], "ts", sums={"s": "volume"}, maxes={"m": "high"}, lasts={"l": "close"},
+                          hot_rows=hot_rows), "symbol", "ts")
     p = bars_pdf.sort_values(["symbol", "ts"]).reset_index(drop=True)
     np.testing.assert_allclose(got["s"], p.groupby("symbol")["volume"].cumsum())
     np.testing.assert_allclose(got["m"], p.groupby("symbol")["high"].cummax())
