@@ -118,17 +118,21 @@ def extremes_between(
     start: str,
     end: str,
 ) -> DataFrame:
-    """``(span_id, max_high, min_low, n_parts)`` over bars with start < ts <= end.
+    """``(span_id, max_high, min_low)`` over bars with start < ts <= end.
 
-    Whole inner days come from the daily and 32-day extremes; only the two edge days read bars.
-    Spans without bars give no row.
+    Whole inner days come from the extremes of the span's first and last 32-day bucket and of the
+    buckets between, looked up as small arrays: a span stays one row however long it is. Only its
+    two edge days read bars. Spans without bars give no row.
     """
     on = list(on)
     daily = _daily(bars, on).where(F.col("hi").isNotNull())
-    blocks = daily.select(*on, F.lit(0).alias("_lv"), F.col(_D).alias("_n"), "hi", "lo").unionByName(
+    days = daily.groupBy(*on, _M).agg(F.collect_list(F.struct(_D, "hi", "lo")).alias("_days"))
+    buckets = (
         daily.groupBy(*on, _M)
         .agg(F.max("hi").alias("hi"), F.min("lo").alias("lo"))
-        .select(*on, F.lit(1).alias("_lv"), F.col(_M).alias("_n"), "hi", "lo")
+        .groupBy(*on)
+        .agg(F.collect_list(F.struct(_M, "hi", "lo")).alias("_buckets"))
+        .withColumn(_A, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
     s = (
         spans.where(F.col(start) < F.col(end))
@@ -136,30 +140,33 @@ def extremes_between(
         .withColumn("_a", period_of("_s"))
         .withColumn("_z", period_of("_e"))
     )
-    lo_m = F.ceil((F.col("_a") + 1) / SPAN).cast("long")
-    hi_m = F.floor(F.col("_z") / SPAN).cast("long") - 1
-    empty = F.array().cast("array<bigint>")
-
-    def span(a: Column, z: Column) -> Column:
-        return F.when(a <= z, F.sequence(a, z)).otherwise(empty)
-
-    whole = lo_m <= hi_m
-    months = F.when(whole, F.sequence(lo_m, hi_m)).otherwise(empty)
-    days = F.when(
-        whole,
-        F.concat(
-            span(F.col("_a") + 1, lo_m * SPAN - 1), span((hi_m + 1) * SPAN, F.col("_z") - 1)
-        ),
-    ).otherwise(span(F.col("_a") + 1, F.col("_z") - 1))
-    parts = F.concat(
-        F.transform(days, lambda d: F.struct(F.lit(0).alias("_lv"), d.alias("_n"))),
-        F.transform(months, lambda m: F.struct(F.lit(1).alias("_lv"), m.alias("_n"))),
-    )
+
+    def in_days(array: str) -> Column:
+        return F.filter(array, lambda x: (x[_D] > F.col("_a")) & (x[_D] < F.col("_z")))
+
+    parts = {
+        "_head": in_days("_head_days"),
+        "_foot": in_days("_foot_days"),
+        "_mid": F.filter("_buckets", lambda x: (x[_M] > F.col("_ma")) & (x[_M] < F.col("_mz"))),
+    }
+
+    def each(field: str) -> Column:
+        none = F.array().cast("array<double>")
+        return F.concat(*[
+            F.coalesce(F.transform(p, lambda x: x[field].cast("double")), none) for p in parts])
+
     inner = (
-        s.select("_sid", *on, F.explode(parts).alias("_part"))
-        .select("_sid", *on, "_part._lv", "_part._n")
-        .join(blocks, [*on, "_lv", "_n"])
-        .select("_sid", "hi", "lo")
+        s.where(F.col("_z") - F.col("_a") > 1)
+        .withColumns({
+            "_ma": F.floor(F.col("_a") / SPAN).cast("long"),
+            "_mz": F.floor(F.col("_z") / SPAN).cast("long"),
+            _A: F.pmod(F.xxhash64("_sid"), F.lit(SALTS)).cast("int")})
+        .join(days.withColumnsRenamed({_M: "_ma", "_days": "_head_days"}), [*on, "_ma"], "left")
+        .join(days.withColumnsRenamed({_M: "_mz", "_days": "_foot_days"}), [*on, "_mz"], "left")
+        .join(buckets, [*on, _A], "left")
+        .withColumns(parts)
+        .select("_sid", F.array_max(each("hi")).alias("hi"), F.array_min(each("lo")).alias("lo"))
+        .where(F.col("hi").isNotNull())
     )
     edge = (
         s.withColumn(_D, F.explode(F.array_distinct(F.array("_a", "_z"))))
