@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barlattice.llm import bpe, exact_dedup, media, mixing
+from barlattice.llm import bpe, exact_dedup, html_main, line_dedup, media, mixing, pii, quality, secret_scan, shingle_join
 from barlattice.llm.common import table, written
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -73,3 +73,43 @@ QUERIES: dict[str, QueryFn] = {
     "op10_bpe": op10_bpe,
 }
 SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op9_source_mix": OP9_SQL}
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.linked_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op8_jaccard_join"] = op8_jaccard_join
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest_columns(pii.find(table(spark, sf_dir, "documents")))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest_columns(secret_scan.find(table(spark, sf_dir, "documents")))
+
+
+QUERIES["op1_pii"] = op1_pii
+QUERIES["op7_secrets"] = op7_secrets
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES["op4_quality"] = op4_quality
+
+
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES["op5_main_text"] = op5_main_text
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_summary(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op2_line_dedup"] = op2_line_dedup
