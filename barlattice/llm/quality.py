@@ -122,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "d
 
     # at most 2 * PER_CLASS ids of a few bytes each
     kind = docs.schema[row_id].dataType.simpleString()
-    sample = (docs.join(F.broadcast(chosen), row_id).select(F.col(row_id).alias("id"), "label", whole_text(text).alias("text"))
+    sample = (docs.select(row_id, text).join(F.broadcast(chosen), row_id).select(F.col(row_id).alias("id"), "label", whole_text(text).alias("text"))
               .mapInArrow(rows, f"id {kind}, label int, held binary")
               .groupBy("id", "label").agg(F.min("held").alias("held")).toArrow())  # one row where an id repeats
     sample = sample.take(pa.compute.sort_indices(sample, [("label", "ascending"), ("held", "ascending")]))
@@ -139,20 +139,20 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "d
     return Model(weights, directions, model.embed(matrix), np.asarray(sample.column("label")).astype(np.float64), float(share))
 
 
-def with_scores(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with the column score."""
+def with_scores(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
+    """``docs`` with the column ``score``, in place of one of that name."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c != "score"]
+    names = [c for c in docs.columns if c != score]
     docs = docs.select(*names)
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = sent.value.score(features(batch.column(at).fill_null("")))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*names, score])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, score double")
+    return docs.mapInArrow(run, f"{kinds}, `{score}` double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
@@ -164,5 +164,5 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """The documents that the classifier does not reject."""
-    scored = with_scores(docs, fit(docs, labels, text, row_id), text)
-    return scored.filter(F.col("score") >= THRESHOLD).select(*docs.columns)
+    scored = with_scores(docs, fit(docs, labels, text, row_id), text, "__score")
+    return scored.filter(F.col("__score") >= THRESHOLD).select(*docs.columns)
