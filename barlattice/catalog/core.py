@@ -39,8 +39,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "bars": ((), """
       SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM (
         SELECT event_type AS symbol, '1h' AS timeframe, date_trunc('hour', ts) AS ts,
-               arg_min(value, ts) AS open, max(value) AS high, min(value) AS low,
-               arg_max(value, ts) AS close,
+               arg_min(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low,
+               arg_max(value, row(ts, event_id)) AS close,
                CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS DOUBLE) AS volume,
                avg(value) AS average,
                event_type || '_' || CAST((day(min(ts)) - 1) // 7 AS VARCHAR) AS contract
@@ -48,8 +48,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "bars5": ((), """
       SELECT event_type AS symbol, '5m' AS timeframe,
              time_bucket(INTERVAL '5 minutes', ts) AS ts,
-             arg_min(value, ts) AS open, max(value) AS high, min(value) AS low,
-             arg_max(value, ts) AS close,
+             arg_min(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low,
+             arg_max(value, row(ts, event_id)) AS close,
              CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS DOUBLE) AS volume
       FROM events GROUP BY event_type, time_bucket(INTERVAL '5 minutes', ts)"""),
     "specs": ((), """

@@ -143,8 +143,9 @@ def _(spark, d):
   FROM ords o LEFT JOIN (SELECT order_id, arg_min(bts, rn2) AS bar_ts, arg_min(px, rn2) AS px, arg_min(phase, rn2) AS phase FROM (
       SELECT *, CASE WHEN order_type = 'MARKET' OR px = open THEN 'OPEN' ELSE 'INTRABAR' END AS phase FROM (
         SELECT o.*, b.rn AS rn2, b.ts AS bts, b.open, {FILL} AS px FROM ords o JOIN bars b ON b.symbol = o.symbol AND b.rn > o.rn
-        WHERE order_type IN ('MARKET') AND b.rn = o.rn + 1 OR order_type <> 'MARKET' AND (time_in_force = 'IOC' AND b.rn = o.rn + 1
-          OR time_in_force = 'DAY' AND CAST(b.ts AS DATE) = CAST(placed_at AS DATE) OR time_in_force = 'GTC')) WHERE px IS NOT NULL)
+        WHERE quantity > 0 AND NOT (order_type IN ('LIMIT', 'STOP_LIMIT') AND limit_price IS NULL) AND (
+          order_type IN ('MARKET') AND b.rn = o.rn + 1 OR order_type <> 'MARKET' AND (time_in_force = 'IOC' AND b.rn = o.rn + 1
+          OR time_in_force = 'DAY' AND CAST(b.ts AS DATE) = CAST(placed_at AS DATE) OR time_in_force = 'GTC'))) WHERE px IS NOT NULL)
     GROUP BY order_id) q ON q.order_id = o.order_id""", "ords"))
 def _(spark, d):
     o = E.resting_fills(settle(orders(spark, d)), settle(T.bars(spark, d)))

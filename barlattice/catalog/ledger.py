@@ -39,6 +39,26 @@ def _(spark, d):
                     *[rd(c, 4).alias(c) for c in ("pnl", "commission", "slippage")])
 
 
+def _exact(side: str) -> str:
+    """Intervals of one side's cumulative quantity, in decimals."""
+    return f"""(SELECT *, hi - q AS lo FROM (SELECT *, sum(q) OVER (PARTITION BY slot_id, symbol ORDER BY ts, fill_id) AS hi FROM (
+      SELECT *, CAST(quantity * CASE side WHEN 'BUY' THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END AS DECIMAL(18, 9)) AS q FROM xfills
+      WHERE side = '{side}')))"""
+
+
+@query("x10_fractional_lots", sql(f"""
+  SELECT b.slot_id, b.symbol, CASE WHEN (b.ts, b.fill_id) < (s.ts, s.fill_id) THEN 'LONG' ELSE 'SHORT' END AS direction,
+    b.fill_id AS buy_fill, s.fill_id AS sell_fill, CAST(least(b.hi, s.hi) - greatest(b.lo, s.lo) AS DOUBLE) AS quantity
+  FROM {_exact('BUY')} b JOIN {_exact('SELL')} s
+  ON b.slot_id = s.slot_id AND b.symbol = s.symbol AND b.lo < s.hi AND s.lo < b.hi""", "xfills"))
+def _(spark, d):
+    lots = fills(spark, d).withColumn("quantity", F.col("quantity") * F.when(F.col("side") == "BUY", 0.3).otherwise(0.1))
+    t = L.round_trips(lots)
+    long = F.col("direction") == "LONG"
+    return t.select("slot_id", "symbol", "direction", F.when(long, F.col("entry_fill")).otherwise(F.col("exit_fill")).alias("buy_fill"),
+                    F.when(long, F.col("exit_fill")).otherwise(F.col("entry_fill")).alias("sell_fill"), "quantity")
+
+
 @query("x11_single_ledger", sql(f"""
   SELECT b.symbol, b.ts, coalesce(pos, 0) AS position, {r('100000 + coalesce(cash, 0)', 4, 'cash')}, {r('coalesce(pos, 0) * b.close * m', 4, 'holdings')},
     {r('100000 + coalesce(cash, 0) + coalesce(pos, 0) * b.close * m', 4, 'total_value')}

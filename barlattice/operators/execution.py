@@ -40,7 +40,7 @@ def order_type_column(c: str | Column) -> Column:
 def with_specs(rows: DataFrame, specs: DataFrame) -> DataFrame:
     """Instrument columns with defaults for unknown symbols (one row per symbol)."""
     have = [c for c in DEFAULT_SPEC if c in specs.columns]
-    spread = [c for c in rows.columns if c not in DEFAULT_SPEC and c != "symbol"][:8]
+    spread = [c for c in rows.columns if c not in DEFAULT_SPEC and c != "symbol"]
     out = join_small(rows, specs.select("symbol", *have), ["symbol"], spread or ["symbol"], "left")
     return out.withColumns({
         c: F.coalesce(F.col(c), F.lit(v)) if c in have else F.lit(v) for c, v in DEFAULT_SPEC.items()
@@ -234,10 +234,12 @@ def execute(
 def resting_fills(orders: DataFrame, bars: DataFrame) -> DataFrame:
     """First bar at which each order fills: IOC the next bar, DAY the same date, GTC any later bar.
 
-    Needs a unique ``order_id``; market orders fill on the next bar. Returns the orders with
+    Orders that :func:`preview` rejects never fill. Needs a unique ``order_id``; market orders fill on the next bar. Returns the orders with
     ``bar_ts``, ``raw_price`` and ``fill_phase``, null when they never fill.
     """
-    o = orders.withColumn("_tif", F.upper("time_in_force")).withColumn("order_type", F.upper("order_type"))
+    o = orders.withColumn("_tif", F.upper("time_in_force")).withColumn("_bad", rejection().isNotNull())
+    o = o.withColumn("order_type", F.upper("order_type"))
+    refused, o = o.where("_bad"), o.where(~F.col("_bad"))
     market = F.col("order_type") == "MARKET"
     once = (F.col("_tif") == "IOC") | market
     cols = ["ts", "open", "high", "low", "close"]
@@ -278,7 +280,8 @@ def resting_fills(orders: DataFrame, bars: DataFrame) -> DataFrame:
         "_bot": F.when(buy, F.col("limit_price")).otherwise(F.col("stop_price"))})
     double = _first_fill(
         priced(matching_bars(both, bars, KEYS, "placed_at", "_top", "_bot", cols, "bar_")), orders.columns)
-    rest = both.select(*orders.columns).join(double.select("order_id"), "order_id", "left_anti")
+    rest = both.select(*orders.columns).join(double.select("order_id"), "order_id", "left_anti").unionByName(
+        refused.select(*orders.columns))
     for c in ("bar_ts", "raw_price", "fill_phase"):
         rest = rest.withColumn(c, F.lit(None).cast(double.schema[c].dataType))
     return immediate.unionByName(on_day).unionByName(single).unionByName(double).unionByName(rest)

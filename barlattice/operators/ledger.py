@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from barlattice.functions.exprs import DAY, falsy, over_zero
 from barlattice.plans.asof import asof
-from barlattice.plans.blocks import HOT_ROWS, Series, running
+from barlattice.plans.blocks import Series, running
+from barlattice.plans.lineage import settle
 from barlattice.plans.salt import join_small
 
 BOOK = ["run_id", "slot_id", "symbol"]
+FILL_PARTS = 96  # parts of a period in which the fills of a book are added up
 
 
 def _signed() -> Column:
@@ -20,35 +22,57 @@ def _signed() -> Column:
 
 
 def round_trips(
-    fills: DataFrame, keys: Sequence[str] = BOOK, bucket: float = 256.0, period_seconds: int = DAY
+    fills: DataFrame, keys: Sequence[str] = BOOK, period_seconds: int = DAY, part_rows: int = 10_000
 ) -> DataFrame:
     """First-in-first-out trades of every book.
 
     Under FIFO the k-th unit bought closes against the k-th unit sold. Each fill covers an interval
-    of its side's cumulative quantity; where a buy and a sell interval overlap there is a trade,
-    opened by the earlier fill. Overlaps are found in buckets of ``bucket`` units, so a busy book
-    spreads over many tasks. Needs ``multiplier`` and a ``fill_id`` that orders equal timestamps.
+    of its side's cumulative quantity, in exact decimals. The ends of all intervals of both sides cut
+    the axis; between two cuts one buy meets one sell, opened by the earlier fill, so there are at
+    most as many trades as fills. A cut finds its buy and its sell among the next ends at or above
+    it. The axis of a book is shared out in parts of about ``part_rows`` ends; what a part takes from
+    its neighbours comes from one row per part. Needs ``multiplier`` and a ``fill_id`` that orders
+    equal timestamps; fills without quantity are left out.
     """
     keys = list(keys)
-    cum = running(fills.withColumn("_q", F.col("quantity").cast("double")), [*keys, "side"], "ts",
-                  sums={"_hi": "_q"}, tie=["fill_id"], period_seconds=period_seconds, hot_rows=HOT_ROWS)
-    cum = cum.withColumn("_lo", F.col("_hi") - F.col("_q")).withColumn(
-        "_bucket", F.explode(F.sequence(F.floor(F.col("_lo") / bucket), F.ceil(F.col("_hi") / bucket) - 1)))
+    exact = fills.withColumn("_q", F.col("quantity").cast("decimal(28,9)")).where("_q > 0")
+    cum = running(exact, [*keys, "side"], "ts", sums={"_hi": "_q"}, tie=["fill_id"],
+                  period_seconds=period_seconds, parts=FILL_PARTS)
     reason = "exit_reason" if "exit_reason" in fills.columns else None
-    part = F.struct("ts", "fill_id", "fill_price", "commission", "slippage", "quantity",
+    fill = F.struct("ts", "fill_id", "fill_price", "commission", "slippage", "quantity",
                     (F.col(reason) if reason else F.lit(None).cast("string")).alias("exit_reason"))
-
-    def side(name: str, p: str) -> DataFrame:
-        return cum.where(F.col("side") == name).select(
-            *keys, "_bucket", "multiplier", F.col("_lo").alias(f"_{p}lo"), F.col("_hi").alias(f"_{p}hi"),
-            part.alias(f"_{p}"))
-
-    lo, hi = F.greatest("_blo", "_slo"), F.least("_bhi", "_shi")
-    pairs = (
-        side("BUY", "b").join(side("SELL", "s").drop("multiplier"), [*keys, "_bucket"])
-        .where((lo < hi) & (F.floor(lo / bucket) == F.col("_bucket")))
-        .withColumn("matched", hi - lo)
+    ends = settle(cum.select(*keys, "side", "multiplier", F.col("_hi").cast("decimal(38,9)").alias("_hi"), fill.alias("_f")))
+    books = settle(ends.groupBy(*keys).agg(
+        F.max(F.when(F.col("side") == "BUY", F.col("_hi"))).alias("_bought"),
+        F.max(F.when(F.col("side") == "SELL", F.col("_hi"))).alias("_sold"),
+        F.count(F.lit(1)).alias("_n"), F.max("multiplier").alias("_multiplier")))
+    books = books.where("_bought is not null and _sold is not null").select(
+        *keys, "_multiplier", F.least("_bought", "_sold").alias("_limit"),
+        (F.greatest("_bought", "_sold").cast("double") / F.ceil(F.col("_n") / part_rows)).alias("_width"))
+    cuts = (
+        ends.drop("multiplier").join(books, keys)
+        .withColumn("_part", F.floor(F.col("_hi").cast("double") / F.col("_width")))
+        .groupBy(*keys, "_part", "_hi", "_limit", "_multiplier")
+        .agg(F.max(F.when(F.col("side") == "BUY", F.col("_f"))).alias("_b"),
+             F.max(F.when(F.col("side") == "SELL", F.col("_f"))).alias("_s"))
     )
+    above = Window.partitionBy(*keys).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    below = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    edges = cuts.groupBy(*keys, "_part").agg(
+        F.min_by("_b", F.when(F.col("_b").isNotNull(), F.col("_hi"))).alias("_b"),
+        F.min_by("_s", F.when(F.col("_s").isNotNull(), F.col("_hi"))).alias("_s"), F.max("_hi").alias("_top"))
+    edges = edges.select(
+        *keys, "_part", F.last("_b", ignorenulls=True).over(above).alias("_next_b"),
+        F.last("_s", ignorenulls=True).over(above).alias("_next_s"), F.last("_top").over(below).alias("_below"))
+    inside = Window.partitionBy(*keys, "_part")
+    down = inside.orderBy(F.desc("_hi")).rowsBetween(Window.unboundedPreceding, 0)
+    pairs = cuts.join(edges, [*keys, "_part"]).select(
+        *keys, F.col("_multiplier").alias("multiplier"), "_hi", "_limit",
+        F.coalesce(F.last("_b", ignorenulls=True).over(down), F.col("_next_b")).alias("_b"),
+        F.coalesce(F.last("_s", ignorenulls=True).over(down), F.col("_next_s")).alias("_s"),
+        F.coalesce(F.lag("_hi").over(inside.orderBy("_hi")), F.col("_below"), F.lit(0).cast("decimal(38,9)")).alias("_lo"))
+    pairs = pairs.where(F.col("_hi") <= F.col("_limit")).withColumn(
+        "matched", (F.col("_hi") - F.col("_lo")).cast("double"))
     buy_first = F.struct("_b.ts", "_b.fill_id") < F.struct("_s.ts", "_s.fill_id")
     return _as_trades(pairs, keys, buy_first)
 
@@ -79,7 +103,7 @@ def book_flows(fills: DataFrame, keys: Sequence[str], period_seconds: int = DAY)
     flow = -_signed() * F.col("fill_price") * F.col("multiplier") - F.col("commission")
     step = fills.groupBy(*keys, "ts").agg(F.sum(_signed()).alias("_dq"), F.sum(flow).alias("_dc"))
     return running(step, list(keys), "ts", sums={"position": "_dq", "cash_flow": "_dc"},
-                   period_seconds=period_seconds, hot_rows=HOT_ROWS).drop("_dq", "_dc")
+                   period_seconds=period_seconds, parts=FILL_PARTS).drop("_dq", "_dc")
 
 
 def single_ledger(

@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 
 from barlattice.functions.exprs import DAY, MICROS, micros
 
-_D, _S, _T, _ORD, _V, _ROW, _A = "_day", "_sub", "_t", "_ord", "_v", "_row", "_salt"
-HOT_ROWS = 4_000_000  # rows of one key and period above which the period is split
-SALTS = 64
+_P, _T, _ORD, _V = "_part", "_t", "_ord", "_v"
 
 
 def asof(
@@ -24,96 +22,46 @@ def asof(
     forward: bool = False,
     strict: bool = False,
     period_seconds: int = DAY,
-    hot_rows: int = HOT_ROWS,
+    parts: int = 24,
 ) -> DataFrame:
     """Attach to each probe the last fact at or before it (``forward``: first at or after it).
 
     ``values`` maps fact column to output column. ``strict`` excludes equal timestamps. Facts need
-    unique (key, timestamp).
+    unique (key, timestamp). A probe without key or time gets null.
 
-    Facts and probes meet per (key, calendar period). The fact a period inherits from earlier ones
-    comes from one row per period and is put in front of it. A period with more than ``hot_rows``
-    rows of one key is split by the second, and its probes, which may be copies of one timestamp,
-    by a row hash as well. The list of such periods has at most one row per ``hot_rows`` input
-    rows, so it is broadcast.
+    Facts and the distinct times of the probes are stacked and shuffled once, by key and part of a
+    period (``period_seconds / parts``). What a part inherits from earlier ones comes from one row
+    per key and part. The answers, one row per key and time, are then joined to the probes, so
+    probes that share a time are never one window; Spark splits their partition if it is skewed.
+    Facts are read once and probes twice.
     """
     on = list(on)
     sign = -1 if forward else 1
-    width = period_seconds * MICROS
+    width = float(period_seconds * MICROS // parts)
 
-    def keyed(df: DataFrame, ts: str) -> DataFrame:
-        return df.withColumn(_T, micros(ts) * sign).withColumn(
-            _D, F.floor(F.col(_T) / F.lit(float(width))).cast("long"))
+    def placed(df: DataFrame) -> DataFrame:
+        return df.withColumn(_P, F.floor(F.col(_T) / F.lit(width)).cast("long"))
 
     value = F.struct(*[F.col(c).alias(o) for c, o in values.items()])
-    known = keyed(facts, fact_ts).select(*on, _D, _T, value.alias(_V))
-    asked = keyed(probes, probe_ts)
+    known = facts.select(*on, (micros(fact_ts) * sign).alias(_T), value.alias(_V))
+    asked = probes.withColumn(_T, micros(probe_ts) * sign)
+    times = asked.select(*on, _T).distinct()
     none = F.lit(None).cast(known.schema[_V].dataType)
-    row_type = probes.select(F.struct("*").alias("r")).schema["r"].dataType
-
-    # One row per (key, period) of either side: its size, its last fact, the fact it inherits.
-    spine = (
-        known.groupBy(*on, _D)
-        .agg(F.max_by(_V, _T).alias(_V), F.count("*").alias("_n"), F.lit(False).alias("_asked"))
-        .unionByName(
-            asked.groupBy(*on, _D).agg(F.count("*").alias("_n"), F.lit(True).alias("_asked"))
-            .withColumn(_V, none))
-        .groupBy(*on, _D)
-        .agg(F.max(_V).alias(_V), F.sum("_n").alias("_n"), F.max("_asked").alias("_asked"))
-    )
-    earlier = Window.partitionBy(*on).orderBy(_D).rowsBetween(Window.unboundedPreceding, -1)
-    inherited = spine.withColumn(_V, F.last(_V, ignorenulls=True).over(earlier))
-    hot = F.broadcast(
-        inherited.where(F.col("_n") > hot_rows)
-        .select(*on, _D, F.lit(True).alias("_hot"), F.col(_V).alias("_from"), F.col("_asked").alias("_ask")))
-    second = F.floor((F.col(_T) - F.col(_D) * F.lit(width)) / F.lit(float(MICROS))).cast("long")
-    part = F.when(F.col("_hot"), second).otherwise(F.lit(0).cast("long"))
-    # Facts of a hot period that nobody asks about have done their work in the spine.
-    known = known.join(hot, [*on, _D], "left").where(F.coalesce("_ask", F.lit(True))).withColumn(_S, part)
-    asked = asked.join(hot, [*on, _D], "left").withColumn(_S, part)
-
-    # The same inside hot periods, by second. Usually there are none and this part is empty.
-    parts = (
-        known.where("_hot").groupBy(*on, _D, _S, "_from")
-        .agg(F.max_by(_V, _T).alias(_V), F.lit(False).alias("_asked"))
-        .unionByName(
-            asked.where("_hot").groupBy(*on, _D, _S, "_from").agg(F.lit(True).alias("_asked"))
-            .withColumn(_V, none))
-        .groupBy(*on, _D, _S, "_from")
-        .agg(F.max(_V).alias(_V), F.max("_asked").alias("_asked"))
-    )
-    inside = Window.partitionBy(*on, _D).orderBy(_S).rowsBetween(Window.unboundedPreceding, -1)
-    within = parts.withColumn(
-        _V, F.coalesce(F.last(_V, ignorenulls=True).over(inside), F.col("_from"))).where("_asked")
-    carried = (
-        inherited.where(F.col("_asked") & (F.col("_n") <= hot_rows))
-        .select(*on, _D, F.lit(0).cast("long").alias(_S), F.lit(None).cast("boolean").alias("_hot"), _V)
-        .unionByName(within.select(*on, _D, _S, F.lit(True).alias("_hot"), _V))
-        .where(F.col(_V).isNotNull())
-    )
-
-    copies = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
-        F.array(F.lit(0))))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*probes.columns), F.lit(SALTS)).cast("int")).otherwise(0)
-    no_row = F.lit(None).cast(row_type)
-    stacked = (
-        known.select(*on, _D, _S, copies.alias(_A), _T, F.lit(1).alias(_ORD), _V, no_row.alias(_ROW))
-        .unionByName(
-            carried.select(
-                *on, _D, _S, copies.alias(_A), F.lit(None).cast("long").alias(_T),
-                F.lit(0).alias(_ORD), _V, no_row.alias(_ROW)))
-        .unionByName(
-            asked.select(
-                *on, _D, _S, salt.alias(_A), _T, F.lit(0 if strict else 2).alias(_ORD),
-                none.alias(_V), F.struct(*probes.columns).alias(_ROW)))
-    )
-    upto = (
-        Window.partitionBy(*on, _D, _S, _A)
-        .orderBy(F.col(_T).asc_nulls_first(), _ORD)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return (
-        stacked.withColumn(_V, F.last(_V, ignorenulls=True).over(upto))
-        .where(F.col(_ROW).isNotNull())
-        .select(f"{_ROW}.*", *[F.col(f"{_V}.{o}").alias(o) for o in values.values()])
+    stacked = placed(
+        known.select(*on, _T, F.lit(1).alias(_ORD), _V)
+        .unionByName(times.select(*on, _T, F.lit(0 if strict else 2).alias(_ORD), none.alias(_V)))
+    ).repartition(*on, _P)
+    # the last fact of each part, and from it what the next parts inherit
+    ends = stacked.groupBy(*on, _P).agg(F.max_by(_V, F.when(F.col(_V).isNotNull(), F.col(_T))).alias("_last"))
+    earlier = Window.partitionBy(*on).orderBy(_P).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*on, _P, F.last("_last", ignorenulls=True).over(earlier).alias("_from"))
+    upto = Window.partitionBy(*on, _P).orderBy(_T, _ORD).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    answers = (
+        stacked.join(ends, [*on, _P])
+        .withColumn("_found", F.coalesce(F.last(_V, ignorenulls=True).over(upto), F.col("_from")))
+        .where(F.col(_ORD) != 1)
+        .select(*on, _T, F.col("_found").alias(_V))
     )
+    return asked.join(answers, [*on, _T], "left").select(
+        *probes.columns, *[F.col(f"{_V}.{o}").alias(o) for o in values.values()])

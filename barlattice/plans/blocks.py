@@ -141,7 +141,11 @@ class Series:
         return self.add(name, build, list(x), back=n - 1)
 
     def recurrence(self, name: str, x: str, keep: float, first: float | None = None) -> str:
-        """y(t) = keep * y(t-1) + (1 - keep) * x(t), y(0) = x(0) (or ``first`` scales x(0)).
+        """y(t) = keep * y(t-1) + (1 - keep) * x(t), y = x at the first value (or ``first`` times x).
+
+        Nulls of x keep y and let the old weight decay, as weighted means over gaps do: a value d
+        rows after the one before it weighs 1 - keep against keep**d. Nulls before the first value
+        stay null, and so do nulls more than four runs (see below) after the last value.
 
         Rows are numbered along the whole series and cut into runs of ``b`` rows with
         keep**b near 1e-6. Inside a run y is one scaled running sum; older rows enter through the
@@ -149,30 +153,34 @@ class Series:
         """
         b = max(1, math.floor(math.log(1e6) / -math.log(keep)))
         run = F.floor((F.col(_RN) - 1) / b)
-        i = ((F.col(_RN) - 1) % b).cast("double")
-        weight = F.when(F.col(_RN) == 1, F.lit(1.0 if first is None else first)).otherwise(
-            F.lit(1.0 - keep)
-        )
-        part = f"_{name}_run"
+        here, before = f"_{name}_at", f"_{name}_prev"
+        decay, log, part = f"_{name}_decay", f"_{name}_log", f"_{name}_run"
+        known = F.col(x).isNotNull()
 
-        def inside(f: Frame) -> Column:
-            w = Window.partitionBy(*f.part, run).orderBy(*f.order)
-            w = w.rowsBetween(Window.unboundedPreceding, 0)
-            return F.pow(F.lit(keep), i) * F.sum(
-                weight * F.col(x) * F.pow(F.lit(keep), -i)
-            ).over(w)
+        def in_run(f: Frame) -> WindowSpec:
+            return Window.partitionBy(*f.part, run).orderBy(*f.order).rowsBetween(Window.unboundedPreceding, 0)
 
         def joined(f: Frame) -> Column:
             w = Window.partitionBy(*f.part).orderBy(run)
-            end = F.when(i == b - 1, F.col(part))
+            last = F.col(_RN) % b == 0
             carry = F.lit(0.0)
-            for k in (1, 2, 3):
-                older = F.coalesce(F.sum(end).over(w.rangeBetween(-k, -k)), F.lit(0.0))
-                carry = carry + older * F.lit(keep ** (b * (k - 1)))
-            return F.col(part) + carry * F.pow(F.lit(keep), i + 1)
-
-        self.add(part, inside, [x, _RN], back=4 * b)
-        return self.add(name, joined, [part])
+            for k in (3, 2, 1):
+                ago = w.rangeBetween(-k, -k)
+                end = F.coalesce(F.max(F.when(last, F.col(part))).over(ago), F.lit(0.0))
+                left = F.exp(F.coalesce(F.max(F.when(last, F.col(log))).over(ago), F.lit(0.0)))
+                carry = end + left * carry
+            y = F.coalesce(F.col(part), F.lit(0.0)) + F.exp(F.coalesce(log, F.lit(0.0))) * carry
+            return F.when(F.coalesce(here, before).isNotNull(), y)
+
+        self.add(here, F.when(known, F.col(_RN)), [x, _RN])
+        self.add(before, lambda f: F.last(here, ignorenulls=True).over(
+            f.w.rowsBetween(Window.unboundedPreceding, -1)), [here], back=4 * b)
+        old = F.pow(F.lit(keep), F.col(_RN) - F.col(before))
+        self.add(decay, F.when(known & F.col(before).isNotNull(), old / (old + F.lit(1.0 - keep))), [x, before])
+        self.add(log, lambda f: F.sum(F.coalesce(F.log(decay), F.lit(0.0))).over(in_run(f)), [decay])
+        weight = F.coalesce(F.lit(1.0) - F.col(decay), F.lit(1.0 if first is None else first))
+        self.add(part, lambda f: F.exp(log) * F.sum(weight * F.col(x) * F.exp(-F.col(log))).over(in_run(f)), [log, x])
+        return self.add(name, joined, [part, log])
 
     def ema(self, name: str, x: str, span: int) -> str:
         """Exponential mean with smoothing 2 / (span + 1), seeded by the first value."""
@@ -198,9 +206,6 @@ class Series:
         return self.frame().select(*self.keys, self.ts, *columns)
 
 
-HOT_ROWS = 4_000_000  # rows of one key and period above which a period is split
-
-
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -210,21 +215,20 @@ def running(
     lasts: dict[str, str] | None = None,
     tie: Sequence[str] = (),
     period_seconds: int = DAY,
-    hot_rows: int | None = None,
+    parts: int = 1,
 ) -> DataFrame:
     """Running sum / max / last non-null over a whole series, computed per calendar period.
 
     ``sums``, ``maxes`` and ``lasts`` map output column to input column. Each period is first
     reduced to one row; the running value before a period comes from those rows and is put in
-    front of the period, so no task holds more than one period of one series. That is enough for
-    rows on a bar clock (at most 1,440 a day). For rows without such a bound, like fills, pass
-    ``hot_rows``: a period with more rows is handled the same way by its seconds. The list of such
-    periods has at most one row per ``hot_rows`` input rows, so it is broadcast.
+    front of the period, so no task holds more than one part of a period of one series. One part a
+    day is enough for rows on a bar clock (at most 1,440 a day); for rows without such a bound, like
+    fills, cut the period into more ``parts``. The rows are shuffled once.
     """
     sums, maxes, lasts = sums or {}, maxes or {}, lasts or {}
     keys = list(keys)
     outs = [f"_c_{o}" for o in (*sums, *maxes, *lasts)]
-    rows = df.withColumn(_P, period_of(ts, period_seconds))
+    rows = df.withColumn(_P, period_of(ts, period_seconds // parts)).repartition(*keys, _P)
     # The last row is picked on (ts, ties): the tie columns complete the order.
     order = F.struct(ts, *tie)
     aggs = [
@@ -244,33 +248,9 @@ def running(
             *[F.last(f"_c_{o}", ignorenulls=True).over(w).alias(f"_c_{o}") for o in lasts],
         ]
 
-    totals = rows.groupBy(*keys, _P).agg(F.count("*").alias("_n"), *aggs)
-    carry = totals.select(*keys, _P, "_n", *before(Window.partitionBy(*keys).orderBy(_P)))
+    totals = rows.groupBy(*keys, _P).agg(*aggs)
+    carry = totals.select(*keys, _P, *before(Window.partitionBy(*keys).orderBy(_P)))
     part = [*keys, _P]
-    if hot_rows is not None:
-        hot = F.broadcast(carry.where(F.col("_n") > hot_rows).select(
-            *keys, _P, F.lit(True).alias("_hot"), *[F.col(c).alias(f"_h{c}") for c in outs]))
-        second = period_of(ts, 1)
-        rows = rows.join(hot, [*keys, _P], "left").withColumn(
-            "_sub", F.when(F.col("_hot"), second).otherwise(F.lit(0).cast("long")))
-        kept = [f"_h{c}" for c in outs]
-        inner = rows.where("_hot").groupBy(*keys, _P, "_sub", *kept).agg(*aggs)
-        inner = inner.select(
-            *keys, _P, "_sub", *kept, *before(Window.partitionBy(*keys, _P).orderBy("_sub")))
-        joined = {}
-        for o in sums:
-            joined[f"_c_{o}"] = F.col(f"_h_c_{o}") + F.col(f"_c_{o}")
-        for o in maxes:
-            joined[f"_c_{o}"] = F.greatest(f"_h_c_{o}", f"_c_{o}")
-        for o in lasts:
-            joined[f"_c_{o}"] = F.coalesce(f"_c_{o}", f"_h_c_{o}")
-        carry = (
-            carry.where(F.col("_n") <= hot_rows)
-            .select(*keys, _P, F.lit(0).cast("long").alias("_sub"), *outs)
-            .unionByName(inner.withColumns(joined).select(*keys, _P, "_sub", *outs))
-        )
-        rows = rows.drop("_hot", *kept)
-        part.append("_sub")
     out = rows.join(carry.select(*part, *outs), part)
     upto = Window.partitionBy(*part).orderBy(ts, *tie).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
@@ -281,4 +261,4 @@ def running(
         added[o] = F.greatest(F.col(f"_c_{o}"), F.max(c).over(upto))
     for o, c in lasts.items():
         added[o] = F.coalesce(F.last(c, ignorenulls=True).over(upto), F.col(f"_c_{o}"))
-    return out.withColumns(added).drop(_P, "_sub", *outs)
+    return out.withColumns(added).drop(_P, *outs)

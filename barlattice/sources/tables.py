@@ -24,15 +24,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bars(spark: SparkSession, sf_dir: str, tf: str = "1h") -> DataFrame:
     """OHLCV per event type from event values; the clock unit is ``tf``."""
     e = load(spark, sf_dir, "events").select(
-        "event_type", "ts", "value", F.get_json_object("props", "$.k").cast("long").alias("k")
+        "event_type", "ts", "event_id", "value", F.get_json_object("props", "$.k").cast("long").alias("k")
     )
+    order = F.struct("ts", "event_id")
     return (
         e.groupBy(F.col("event_type").alias("symbol"), floor_to("ts", TF_SECONDS[tf]).alias("bar"))
         .agg(
-            F.min_by("value", "ts").alias("open"),
+            F.min_by("value", order).alias("open"),
             F.max("value").alias("high"),
             F.min("value").alias("low"),
-            F.max_by("value", "ts").alias("close"),
+            F.max_by("value", order).alias("close"),
             F.sum("k").cast("double").alias("volume"),
             F.avg("value").alias("average"),
         )

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barlattice.functions import probability as PR
+from barlattice.plans.blocks import Series
 from barlattice.operators import attribution as A
 from barlattice.operators import bars as B
 from barlattice.operators import brackets as X
@@ -199,6 +200,22 @@ def test_deflated_sharpe_falls_with_trials(spark):
     assert one.max_drawdown == pytest.approx((eq / np.maximum.accumulate(eq) - 1).min())
 
 
+@pytest.mark.parametrize("span", [2, 5, 20])
+@pytest.mark.parametrize("block_rows", [16, 200, None])
+def test_exponential_mean_over_gaps_equals_pandas(spark, span, block_rows):
+    rng = np.random.default_rng(8)
+    x = rng.normal(100, 5, 300)
+    x[:7] = np.nan
+    x[rng.random(300) < 0.2] = np.nan
+    x[120:128] = np.nan
+    rows = [("A", "1h", START + dt.timedelta(hours=i), None if np.isnan(v) else float(v)) for i, v in enumerate(x)]
+    b = spark.createDataFrame(rows, "symbol string, timeframe string, ts timestamp_ntz, x double")
+    s = Series(b, block_rows=block_rows)
+    s.ema("y", "x", span)
+    got = s.select("y").toPandas().sort_values("ts")["y"].astype(float)
+    np.testing.assert_allclose(got, pd.Series(x).ewm(span=span, adjust=False).mean(), rtol=1e-9)
+
+
 def test_trade_stats_edges(spark):
     none = spark.createDataFrame([], "pnl double")
     r = M.trade_stats(none).first()
@@ -239,15 +256,23 @@ def sequential_fifo(pdf):
     return sorted(out)
 
 
-@pytest.mark.parametrize("bucket", [2.0, 256.0])
-def test_round_trips_equal_sequential_fifo(spark, bucket):
+@pytest.mark.parametrize("part_rows", [3, 10_000])
+def test_round_trips_equal_sequential_fifo(spark, part_rows):
     f = fills_frame(spark)
-    got = sorted((r.slot_id, r.entry_fill, r.exit_fill, r.quantity, r.pnl) for r in L.round_trips(f, bucket=bucket).collect())
+    got = sorted((r.slot_id, r.entry_fill, r.exit_fill, r.quantity, r.pnl) for r in L.round_trips(f, part_rows=part_rows).collect())
     want = sequential_fifo(f.toPandas())
     assert [g[:4] for g in got] == [w[:4] for w in want]
     np.testing.assert_allclose([g[4] for g in got], [w[4] for w in want])
 
 
+def test_round_trips_of_fractions_are_exact(spark):
+    """200 buys of 0.3 against 600 sells of 0.1 are 600 trades of 0.1."""
+    rows = [("0", 0, "ES", START + dt.timedelta(minutes=i), i, "BUY" if i < 200 else "SELL", 0.3 if i < 200 else 0.1,
+             100.0, 1.0, 0.01, 5.0, 0.1) for i in range(800)]
+    t = L.round_trips(spark.createDataFrame(rows, fills_frame(spark, n=1).schema), part_rows=50).toPandas()
+    assert len(t) == 600 and set(t.quantity) == {0.1} and t.groupby("entry_fill").size().eq(3).all()
+
+
 def test_ledger_identities(spark):
     f = fills_frame(spark)
     p = f.groupBy("symbol", "ts").agg(F.max("fill_price").alias("close")).cache()

@@ -71,10 +71,10 @@ def test_halo_keeps_each_row_once(bars):
     assert h.select("symbol", "_block").distinct().count() > 10
 
 
-@pytest.mark.parametrize("hot_rows", [None, 4, 10**6])
-def test_running_equals_cumulative(bars, bars_pdf, hot_rows):
+@pytest.mark.parametrize("parts", [1, 24, 1440])
+def test_running_equals_cumulative(bars, bars_pdf, parts):
     got = collect(running(bars, ["symbol"], "ts", sums={"s": "volume"}, maxes={"m": "high"}, lasts={"l": "close"},
-                          hot_rows=hot_rows), "symbol", "ts")
+                          parts=parts), "symbol", "ts")
     p = bars_pdf.sort_values(["symbol", "ts"]).reset_index(drop=True)
     np.testing.assert_allclose(got["s"], p.groupby("symbol")["volume"].cumsum())
     np.testing.assert_allclose(got["m"], p.groupby("symbol")["high"].cummax())
@@ -83,8 +83,8 @@ def test_running_equals_cumulative(bars, bars_pdf, hot_rows):
 
 @pytest.mark.parametrize("forward", [False, True])
 @pytest.mark.parametrize("strict", [False, True])
-@pytest.mark.parametrize("hot_rows", [3, 10**6])
-def test_asof_equals_merge_asof(spark, bars, bars_pdf, forward, strict, hot_rows):
+@pytest.mark.parametrize("parts", [1, 24, 1440])
+def test_asof_equals_merge_asof(spark, bars, bars_pdf, forward, strict, parts):
     rng = np.random.default_rng(5)
     base = bars_pdf.iloc[::3][["symbol", "ts"]].copy()
     base["ts"] = base["ts"] + pd.to_timedelta(rng.integers(-2, 3, len(base)) * 30, unit="min")
@@ -92,13 +92,25 @@ def test_asof_equals_merge_asof(spark, bars, bars_pdf, forward, strict, hot_rows
     base = pd.concat([base, base.iloc[[50] * 40]])  # copies of one timestamp
     base["pid"] = range(len(base))
     probes = to_spark(spark, base, "symbol string, ts timestamp_ntz, pid int")
-    got = asof(probes, bars, ["symbol"], "ts", "ts", {"close": "px"}, forward=forward, strict=strict, hot_rows=hot_rows)
+    got = asof(probes, bars, ["symbol"], "ts", "ts", {"close": "px"}, forward=forward, strict=strict, parts=parts)
     got = got.toPandas().sort_values("pid")
     want = pd.merge_asof(base.sort_values("ts"), bars_pdf[["symbol", "ts", "close"]].sort_values("ts"), on="ts", by="symbol",
                          direction="forward" if forward else "backward", allow_exact_matches=not strict).sort_values("pid")
     np.testing.assert_allclose(got["px"].astype(float), want["close"].astype(float))
 
 
+def test_asof_of_one_busy_day(spark):
+    """One key, one day, most probes at one timestamp; facts are read once and probes at most twice."""
+    day = dt.datetime(2024, 3, 1)
+    facts = spark.createDataFrame([("A", day + dt.timedelta(seconds=i), float(i)) for i in range(3000)],
+                                  "symbol string, ts timestamp_ntz, px double")
+    times = [day + dt.timedelta(seconds=1500.5)] * 5000 + [day + dt.timedelta(seconds=i * 3) for i in range(900)]
+    probes = spark.createDataFrame([("A", t, i) for i, t in enumerate(times)] + [(None, day, -1), ("A", None, -2)],
+                                   "symbol string, ts timestamp_ntz, pid int")
+    got = {r.pid: r.px for r in asof(probes, facts, ["symbol"], "ts", "ts", {"px": "px"}).collect()}
+    assert got == {**{i: 1500.0 for i in range(5000)}, **{5000 + i: float(3 * i) for i in range(900)}, -1: None, -2: None}
+
+
 @pytest.fixture(scope="module")
 def long_bars(spark):
     pdf = make_bars(400, ("A", "B"), seed=9, step_minutes=600, gap_every=9)
