@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from functools import reduce
 
@@ -13,6 +12,7 @@ from barlattice.catalog.core import query, r, sql
 from barlattice.catalog.walkforward import verdicts
 from barlattice.functions.exprs import rd
 from barlattice.operators import metrics as M
+from barlattice.plans.lineage import shared_folder
 from barlattice.sources import artifacts as A
 from barlattice.sources import lake as S
 from barlattice.sources import tables as T
@@ -51,13 +51,6 @@ def _(spark, d):
     return S.inventory(both(spark, d))
 
 
-# File metadata is not visible in SQL.
-@query("s5_file_sizes")
-def _(spark, d):
-    e = T.load(spark, d, "events").select(F.col("event_type").alias("symbol"), F.lit("tick").alias("timeframe"), "_metadata")
-    return S.file_sizes(e).withColumn("size_mb", rd("size_mb", 6))
-
-
 @query("s6_freshness", sql("""SELECT symbol, timeframe, max(ts) AS last_ts, CASE WHEN max(ts) < TIMESTAMP '2024-02-09 22:30:00' - INTERVAL 10 DAY THEN 'stale' ELSE 'fresh' END AS status
   FROM lake GROUP BY 1, 2""", "bars", "bars5", lake=LAKE))
 def _(spark, d):
@@ -155,11 +148,8 @@ def _(spark, d):
 
 
 def scratch(spark):
-    """A new folder under the cluster's shared checkpoint folder, or a local one where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        return tempfile.mkdtemp(prefix="barlattice-")
-    return f"{shared.rstrip('/')}/barlattice-{uuid.uuid4().hex}"
+    """A new folder under the shared folder of the session."""
+    return f"{shared_folder(spark).rstrip('/')}/barlattice-{uuid.uuid4().hex}"
 
 
 @query("s3_save_round_trip", sql(f"SELECT {OHLCV} FROM lake", "bars", "bars5", lake=LAKE))
@@ -169,6 +159,33 @@ def _(spark, d):
     return S.read(spark, root).select(*COLS)
 
 
+@query("s5_file_sizes", sql("SELECT DISTINCT symbol, timeframe, true AS sized FROM lake", "bars", "bars5", lake=LAKE))
+def _(spark, d):
+    """Sizes depend on the writer, so the query states that each saved series has one below a MB a thousand bars."""
+    root = scratch(spark)
+    S.save(both(spark, d), root)
+    bars = S.read(spark, root).groupBy("symbol", "timeframe").agg(F.count(F.lit(1)).alias("bars"))
+    sizes = S.file_sizes(spark, root).join(bars, ["symbol", "timeframe"])
+    return sizes.select("symbol", "timeframe", ((F.col("size_mb") > 0) & (F.col("size_mb") < 0.1 + F.col("bars") / 1000)).alias("sized"))
+
+
+@query("s12_portfolio_artifacts", sql(f"""
+  SELECT 'strategy_pnl_daily' AS artifact, CAST(slot_id AS VARCHAR) AS item, CAST(ts AS DATE) AS day, {r("arg_max(cum_pnl, ts)", 4, "value")} FROM slot_hist GROUP BY 2, 3
+  UNION ALL SELECT 'instrument_closes', symbol, CAST(ts AS DATE), {r('arg_max(close, ts)', 4)} FROM bars GROUP BY 2, 3""", "slot_hist", "bars"))
+def _(spark, d):
+    """The portfolio set written and read back."""
+    root = scratch(spark)
+    day = F.to_date("ts").alias("day")
+    slots = T.slot_history(spark, d)
+    daily = slots.groupBy("run_id", "slot_id", day).agg(F.max_by("cum_pnl", "ts").alias("pnl"))
+    closes = S.daily_closes(T.bars(spark, d)).withColumn("run_id", F.lit("0"))
+    A.write_run(root, {"history": T.history(spark, d), "strategy_pnl_daily": daily, "instrument_closes": closes, "exposure": T.exposure(spark, d)})
+    got = A.load_run(spark, root, "0")
+    rows = [(got["strategy_pnl_daily"], "strategy_pnl_daily", "slot_id", "pnl"), (got["instrument_closes"], "instrument_closes", "symbol", "close")]
+    return reduce(DataFrame.unionByName, [df.select(F.lit(n).alias("artifact"), F.col(k).cast("string").alias("item"), "day", rd(v, 4).alias("value"))
+                                          for df, n, k, v in rows])
+
+
 CURVE = f"""SELECT ts, {r('total_value', 4, 'total_value')} FROM hist"""
 
 
@@ -193,11 +210,19 @@ def _(spark, d):
     return A.load_run(spark, root, "0")["history"].select("ts", rd("total_value", 4).alias("total_value"))
 
 
-# The digest depends on file times of the given tables.
-@query("s18_data_version")
+@query("s18_data_version", sql("""SELECT 2::BIGINT * count(DISTINCT symbol) AS series, 16 AS digest_chars, true AS same, true AS differs FROM bars""", "bars"))
 def _(spark, d):
-    e = T.load(spark, d, "events").select(F.col("event_type").alias("symbol"), F.lit("tick").alias("timeframe"), "_metadata")
-    return S.data_version(S.file_marks(e))
+    """The digest depends on file times, so the query states what must hold of it for a saved lake."""
+    root = scratch(spark)
+    S.save(both(spark, d), root)
+    marks = S.file_marks(spark, root)
+    changed = marks.withColumn("modified", F.when(F.col("symbol") == "view", F.concat("modified", F.lit("1"))).otherwise(F.col("modified")))
+    digests = reduce(DataFrame.unionByName, [S.data_version(x).withColumn("of", F.lit(n)) for x, n in (
+        (marks, "one"), (S.file_marks(spark, root), "two"), (changed, "other"))])
+    one, two, other = (F.max(F.when(F.col("of") == n, F.col("data_version"))) for n in ("one", "two", "other"))
+    series = marks.agg(F.count(F.lit(1)).alias("series"))
+    return (digests.unionByName(series, allowMissingColumns=True)
+            .agg(F.max("series").alias("series"), F.length(one).alias("digest_chars"), (one == two).alias("same"), (one != other).alias("differs")))
 
 
 @query("s19_json_safe", sql(f"""SELECT strategy, CASE WHEN w > 0 AND l = 0 THEN NULL ELSE {r('w / nullif(l, 0)', 6)} END AS profit_factor, n AS total_trades, strftime(first_day, '%Y-%m-%d') AS first_day

@@ -44,7 +44,7 @@ def _(spark, d):
     return shown(G.signals(T.bars(spark, d), "sma_pullback"))
 
 
-@query("g2_three_bar_reversion", sql(sel(", entry_type, tif"), "tr", "atr14", sh=SHOCK, rg=REGIME, g=f"""
+THREE_BAR = f"""
   SELECT *, 'LIMIT' AS entry_type, 'DAY' AS tif, CAST(NULL AS DOUBLE) AS stop, CAST(NULL AS DOUBLE) AS target,
     close - side * y * 0.1::DOUBLE AS entry_level
   FROM (SELECT s.*, a.y, CASE WHEN c1 > close AND c2 > c1 AND low <= lo AND regime AND {shock_ok(1.0, 2.5, 1.75)} AND nx
@@ -53,7 +53,10 @@ def _(spark, d):
             {full('max(high)', 5)} AS hi, lead(ts) OVER w IS NOT NULL AS nx
           FROM sh WINDOW w AS (PARTITION BY symbol ORDER BY rn)) s
     JOIN atr14 a ON a.symbol = s.symbol AND a.rn = s.rn
-    LEFT JOIN rg ON rg.symbol = s.symbol AND rg.day = CAST(s.ts AS DATE))"""))
+    LEFT JOIN rg ON rg.symbol = s.symbol AND rg.day = CAST(s.ts AS DATE))"""
+
+
+@query("g2_three_bar_reversion", sql(sel(", entry_type, tif"), "tr", "atr14", sh=SHOCK, rg=REGIME, g=THREE_BAR))
 def _(spark, d):
     return shown(G.signals(T.bars(spark, d), "three_bar_mr", [{"regime_window": 10, "trade_direction": "both"}]),
                  "entry_type", "tif")
@@ -191,12 +194,13 @@ def numbered(g, pid=0):
       stop, target, n.open AS entry FROM {g} g LEFT JOIN bars n ON n.symbol = g.symbol AND n.rn = g.rn + 1 WHERE side <> 0"""
 
 
-OUT = f"""SELECT symbol, timeframe, ts, side, outcome, stop_touched, target_touched, hit_ts, exit_ts, {r('exit_price', 5, 'exit_price')} FROM x"""
+OUT = f"""SELECT s.symbol, s.timeframe, s.sts AS ts, s.side, outcome, coalesce(stop_touched, false) AS stop_touched,
+    coalesce(target_touched, false) AS target_touched, hit_ts, exit_ts, {r('exit_price', 5, 'exit_price')} FROM s LEFT JOIN x ON x.sid = s.sid"""
 P8 = [{"fast_sma_window": 20, "slow_sma_window": 60, "atr_sl_mult": 1.0, "rr_ratio": 1.5}]
 
 
 def outcome_cols(df):
-    return df.where(F.col("outcome").isNotNull()).select(
+    return df.select(
         "symbol", "timeframe", "ts", "side", "outcome", "stop_touched", "target_touched", "hit_ts", "exit_ts",
         rd("exit_price", 5).alias("exit_price"))
 
@@ -220,18 +224,17 @@ def _(spark, d):
           coalesce(e.ets IS NOT NULL AND (x.hit_ts IS NULL OR e.ets < x.hit_ts), false) AS cut
         FROM s LEFT JOIN x ON x.sid = s.sid
         ASOF LEFT JOIN (SELECT symbol, min(ts) AS ets, arg_min(close, ts) AS ec FROM bars WHERE hour(ts) >= 20
-              GROUP BY symbol, CAST(ts AS DATE)) e ON e.symbol = s.symbol AND s.sts < e.ets)
-  WHERE cut OR outcome IS NOT NULL""", "bars", "atr14", g=pullback_sql(20, 60, 1.0, 1.5), s=numbered("g"), x=bracket_sql("s", "resting")))
+              GROUP BY symbol, CAST(ts AS DATE)) e ON e.symbol = s.symbol AND s.sts < e.ets)""", "bars", "atr14", g=pullback_sql(20, 60, 1.0, 1.5), s=numbered("g"), x=bracket_sql("s", "resting")))
 def _(spark, d):
     b = settle(T.bars(spark, d))
     x = X.outcomes(X.with_id(G.signals(b, "sma_pullback", P8)), b, "resting", eod_time="20:00")
-    return x.where(F.col("outcome").isNotNull()).select(
+    return x.select(
         "symbol", "timeframe", "ts", "side", "outcome", "exit_ts", rd("exit_price", 5).alias("exit_price"))
 
 
 @query("x9_finer_bar_resolution", sql("""
-  SELECT x.symbol, x.timeframe, x.ts, x.side, outcome, coalesce(CASE WHEN n = want AND grid THEN won END, outcome) AS resolved_outcome
-  FROM x LEFT JOIN (
+  SELECT s.symbol, s.timeframe, s.sts AS ts, s.side, outcome, coalesce(CASE WHEN n = want AND grid THEN won END, outcome) AS resolved_outcome
+  FROM s LEFT JOIN x ON x.sid = s.sid LEFT JOIN (
     SELECT sid, count(*) AS n, any_value(want) AS want, bool_and(ongrid) AS grid, arg_min(CASE WHEN fs THEN 'STOP' ELSE 'TARGET' END, fts)
         FILTER (fs OR fg) AS won
     FROM (SELECT x.sid, f.ts AS fts, (epoch_us(hit_ts) - epoch_us(hit_prev_ts)) // 300000000 AS want,
@@ -241,7 +244,7 @@ def _(spark, d):
     GROUP BY sid) q ON q.sid = x.sid""", "bars", "bars5", "atr14", g=pullback_sql(20, 60, 1.0, 1.5), s=numbered("g"), x=bracket_sql("s", "resting")))
 def _(spark, d):
     b = settle(T.bars(spark, d))
-    x = X.outcomes(X.with_id(G.signals(b, "sma_pullback", P8)), b, "resting").where(F.col("outcome").isNotNull())
+    x = X.outcomes(X.with_id(G.signals(b, "sma_pullback", P8)), b, "resting")
     return X.resolve_ties(x, T.bars(spark, d, "5m"), 300).select("symbol", "timeframe", "ts", "side", "outcome", "resolved_outcome")
 
 
@@ -312,3 +315,54 @@ def _(spark, d):
     return k.select("symbol", "timeframe", "params_id", "total_trades", *[
         rd(F.when(F.col(c) != float("inf"), F.col(c)), 6).alias(c)
         for c in ("win_rate", "profit_factor", "avg_trade", "avg_win", "avg_loss")])
+
+
+TRADES = f"""SELECT symbol, timeframe, ts, side, state, entry_ts, {r('entry_price', 5, 'entry_price')}, exit_ts, {r('exit_price', 5, 'exit_price')} FROM x"""
+
+
+def trades(b, name, params):
+    x = X.sweep(b, name, [params])
+    return x.select("symbol", "timeframe", "ts", "side", "state", "entry_ts", rd("entry_price", 5).alias("entry_price"),
+                    "exit_ts", rd("exit_price", 5).alias("exit_price"))
+
+
+STATE = "CASE WHEN entry_ts IS NULL THEN 'UNFILLED' WHEN exit_price IS NOT NULL THEN 'CLOSED' ELSE 'OPEN' END AS state"
+# Stop entries that the next bar decides.
+STOPPED = """SELECT g.*, g.rn + 1 AS ern, CASE WHEN met THEN nts END AS entry_ts,
+    CASE WHEN met THEN CASE side WHEN 1 THEN greatest(nopen, entry_level) ELSE least(nopen, entry_level) END END AS entry_price
+  FROM (SELECT g.*, b.ts AS nts, b.open AS nopen, CASE side WHEN 1 THEN b.high >= entry_level ELSE b.low <= entry_level END AS met
+        FROM g LEFT JOIN bars b ON b.symbol = g.symbol AND b.rn = g.rn + 1 WHERE side <> 0) g"""
+
+
+@query("k13_three_bar_sweep", sql(TRADES, "tr", "atr14", sh=SHOCK, rg=REGIME, g=THREE_BAR, e="""
+  SELECT g.symbol, g.timeframe, g.ts, g.side, q.entry_ts, q.entry_price FROM g LEFT JOIN (
+    SELECT g.symbol, g.rn, min(b.ts) AS entry_ts, arg_min(CASE side WHEN 1 THEN least(b.open, entry_level) ELSE greatest(b.open, entry_level) END, b.rn) AS entry_price
+    FROM g JOIN bars b ON b.symbol = g.symbol AND b.rn > g.rn AND CAST(b.ts AS DATE) = CAST(g.ts AS DATE)
+      AND CASE side WHEN 1 THEN b.low <= entry_level ELSE b.high >= entry_level END WHERE side <> 0 GROUP BY 1, 2) q
+  ON q.symbol = g.symbol AND q.rn = g.rn WHERE side <> 0""", x=f"""
+  SELECT *, {STATE} FROM (SELECT e.*, l.nts AS exit_ts, l.nopen AS exit_price FROM e LEFT JOIN (
+      SELECT symbol, ts, nts, nopen FROM (SELECT *, lead(ts) OVER w AS nts, lead(open) OVER w AS nopen FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY rn))
+      WHERE nts IS NULL OR CAST(nts AS DATE) <> CAST(ts AS DATE)) l ON l.symbol = e.symbol AND CAST(l.ts AS DATE) = CAST(e.entry_ts AS DATE))"""))
+def _(spark, d):
+    return trades(settle(T.bars(spark, d)), "three_bar_mr", {"regime_window": 10, "trade_direction": "both"})
+
+
+@query("k13_channel_sweep", sql(TRADES, "tr", "atr14", "ema200", sh=SHOCK, lv=LEVELS, g=channel_sql(20), e=STOPPED, x=f"""
+  SELECT *, {STATE} FROM (SELECT e.*, h.ts AS exit_ts, h.px AS exit_price FROM e ASOF LEFT JOIN (
+    SELECT symbol, ts, hside, px FROM (SELECT *, unnest([1, -1]) AS hside, unnest([least(open, ls), greatest(open, ss)]) AS px,
+        unnest([coalesce(low <= ls, false), coalesce(high >= ss, false)]) AS hit
+      FROM (SELECT *, lag(sup - 0.01) OVER (PARTITION BY symbol ORDER BY rn) AS ls, lag(res + 0.01) OVER (PARTITION BY symbol ORDER BY rn) AS ss FROM lv)) WHERE hit
+  ) h ON h.symbol = e.symbol AND h.hside = e.side AND e.entry_ts < h.ts)"""))
+def _(spark, d):
+    return trades(settle(T.bars(spark, d)), "channel_breakout", {"length": 20, "entry_buffer_ticks": 1, "trade_direction": "both"})
+
+
+@query("k13_squeeze_sweep", sql(TRADES, "tr", "atr14", bb=BB, sq=squeeze_sql("bb", 60, 0.35, 1.01), lv=LEVELS, v=VR, sh=SHOCK,
+    g=breakout_sql("sq", 1.0, 0.5, 1.75, shock_ok(2.5, 3.5, 2.25)), e=STOPPED,
+    s="""SELECT symbol || '|' || CAST(rn AS VARCHAR) AS sid, symbol, timeframe, ts AS sts, ern AS rn, side, 0 AS params_id, stop, target, entry_price AS entry
+         FROM e WHERE entry_ts IS NOT NULL""", b=bracket_sql("s", "resting"), x=f"""
+  SELECT *, {STATE} FROM (SELECT e.*, b.exit_ts, b.exit_price FROM e LEFT JOIN b ON b.symbol = e.symbol AND b.ts = e.ts)"""))
+def _(spark, d):
+    return trades(settle(T.bars(spark, d)), "bollinger_squeeze_breakout", dict(
+        squeeze_lookback=60, squeeze_quantile=0.35, width_expansion_factor=1.01, breakout_volume_ratio=1.0,
+        shock_max_gap_atr=2.5, trade_direction="both"))

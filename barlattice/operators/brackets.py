@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlattice.functions.exprs import falsy, micros
+from barlattice.operators.execution import fill_price, resting_fills
 from barlattice.operators.indicators import range_levels
 from barlattice.operators.metrics import trade_stats
 from barlattice.operators.predicates import first_at_or_after
-from barlattice.operators.signals import SIGNALS, resolve, signals
+from barlattice.operators.signals import DEFAULT_TICK, SIGNALS, resolve, signals
 from barlattice.plans.asof import asof
 from barlattice.plans.blocks import Series
 from barlattice.plans.touch import first_touch
@@ -140,23 +141,31 @@ def resolve_ties(
 def trailing_exits(
     entries: DataFrame, bars: DataFrame, length: int, buffer: float, block_rows: int | None = None
 ) -> DataFrame:
-    """Exit of each entry at the first later bar that trades through the previous bar's channel stop.
+    """Exit of each entry at the first later bar that trades through the previous bar's channel stop."""
+    out = trailing_exits_of(entries.withColumn("params_id", F.lit(0)), bars, [(length, F.lit(buffer))], block_rows)
+    return out.drop("params_id")
+
+
+def trailing_exits_of(
+    entries: DataFrame, bars: DataFrame, sets: Sequence[tuple[int, Column]], block_rows: int | None = None
+) -> DataFrame:
+    """The same for several (length, buffer); ``params_id`` of an entry is the position in ``sets``.
 
     Whether a bar goes through depends on the bar alone, so the search is an as-of join to the
-    flagged bars of the entry's side.
+    flagged bars of the entry's set and side. All sets are declared on one Series.
     """
     s = Series(bars, block_rows=block_rows)
-    lv = range_levels(s, length)
-    low, high = s.lag(lv["support"]), s.lag(lv["resistance"])
-    f = s.frame()
-    long_stop, short_stop = F.col(low) - buffer, F.col(high) + buffer
-    hits = f.select(*KEYS, "ts", F.explode(F.array_compact(F.array(
-        F.when(falsy(F.col("low") <= long_stop), F.struct(
-            F.lit(1).alias("side"), F.least("open", long_stop).alias("price"))),
-        F.when(falsy(F.col("high") >= short_stop), F.struct(
-            F.lit(-1).alias("side"), F.greatest("open", short_stop).alias("price"))),
-    ))).alias("_x")).select(*KEYS, "ts", "_x.*")
-    return asof(entries, hits, [*KEYS, "side"], "entry_ts", "ts",
+    made = []
+    for i, (length, buffer) in enumerate(sets):
+        lv = range_levels(s, length)
+        long_stop, short_stop = F.col(s.lag(lv["support"])) - buffer, F.col(s.lag(lv["resistance"])) + buffer
+        made += [
+            F.when(falsy(F.col("low") <= long_stop), F.struct(
+                F.lit(i).alias("params_id"), F.lit(1).alias("side"), F.least("open", long_stop).alias("price"))),
+            F.when(falsy(F.col("high") >= short_stop), F.struct(
+                F.lit(i).alias("params_id"), F.lit(-1).alias("side"), F.greatest("open", short_stop).alias("price")))]
+    hits = s.frame().select(*KEYS, "ts", F.explode(F.array_compact(F.array(*made))).alias("_x")).select(*KEYS, "ts", "_x.*")
+    return asof(entries, hits, [*KEYS, "params_id", "side"], "entry_ts", "ts",
                 {"ts": "exit_ts", "price": "exit_price"}, forward=True, strict=True)
 
 
@@ -173,22 +182,71 @@ def with_id(sig: DataFrame) -> DataFrame:
         "|", "symbol", "timeframe", micros("ts").cast("string"), F.col("params_id").cast("string")))
 
 
+def entered(sig: DataFrame, bars: DataFrame) -> DataFrame:
+    """Signals with entry_ts and entry_price, null where the entry order never fills.
+
+    Market and IOC orders are decided by the next bar that the signal carries; DAY orders rest
+    until the end of their day.
+    """
+    up = F.col("side") == 1
+    limit = F.when(F.col("entry_type") == "LIMIT", F.col("entry_level"))
+    stop = F.when(F.col("entry_type") == "STOP", F.col("entry_level"))
+    side = F.when(up, "BUY").otherwise("SELL")
+    price, _ = fill_price(F.col("entry_type"), side, limit, stop, F.col("next_open"), F.col("next_high"), F.col("next_low"))
+    at_once = (F.col("entry_type") == "MARKET") | (F.col("tif") == "IOC")
+    now = sig.where(at_once).withColumn("entry_price", price).withColumn(
+        "entry_ts", F.when(F.col("entry_price").isNotNull(), F.col("next_ts")))
+    later = sig.where(~at_once)
+    orders = later.select(
+        F.col("signal_id").alias("order_id"), *KEYS, F.col("ts").alias("placed_at"), side.alias("side"),
+        F.col("entry_type").alias("order_type"), limit.alias("limit_price"), stop.alias("stop_price"),
+        F.col("tif").alias("time_in_force"), F.lit(1.0).alias("quantity"))
+    met = resting_fills(orders, bars).select(
+        F.col("order_id").alias("signal_id"), F.col("bar_ts").alias("entry_ts"), F.col("raw_price").alias("entry_price"))
+    return now.unionByName(later.join(met, "signal_id"))
+
+
 def sweep(
     bars: DataFrame, name: str, params: Sequence[Mapping[str, Any]], block_rows: int | None = None
 ) -> DataFrame:
-    """Trades of every parameter set: signal, next-open entry, bracket outcome.
+    """Every signal of every parameter set with its entry and exit.
 
-    Each signal stands alone: no shared capital and no limit of one position at a time.
+    The rule's own orders are followed: the entry by its order type and time in force, the exit at
+    its bracket (``next_open``, ``resting``), by its trailing channel stop or at the end of the day.
+    ``state`` is UNFILLED, OPEN or CLOSED; ``pnl`` is set for closed trades. Each signal stands
+    alone: no shared capital and no limit of one position at a time.
     """
-    fill = SIGNALS[resolve(name)].exit_fill
-    sig = with_id(signals(bars, name, params, block_rows)).where(F.col("next_open").isNotNull())
-    out = outcomes(sig, bars, "resting" if fill == "resting" else "next_open", block_rows=block_rows)
-    return out.where(F.col("exit_price").isNotNull()).withColumn(
-        "pnl", F.col("side") * (F.col("exit_price") - F.col("next_open")))
+    signal = SIGNALS[resolve(name)]
+    fill = signal.exit_fill
+    sets = [{**signal.defaults, **p} for p in (params or [{}])]
+    rows = entered(with_id(signals(bars, name, params, block_rows)), bars)
+    kept = [*rows.columns]
+    filled = rows.where(F.col("entry_ts").isNotNull())
+    if fill in ("next_open", "resting"):
+        # a bracket rests from the signal where the entry is at market, else from the fill on
+        start = F.when(F.col("entry_type") == "MARKET", F.col("ts")).otherwise(F.col("entry_ts"))
+        out = outcomes(filled.withColumn("_made", F.col("ts")).withColumn("ts", start), bars, fill, block_rows=block_rows)
+        out = out.withColumn("ts", F.col("_made")).select(*kept, "outcome", "exit_ts", "exit_price")
+    elif fill == "trailing":
+        tick = F.coalesce(F.col("tick_size"), F.lit(DEFAULT_TICK)) if "tick_size" in bars.columns else F.lit(DEFAULT_TICK)
+        stops = [(max(1, int(p["length"])), tick * max(1, int(p["entry_buffer_ticks"]))) for p in sets]
+        out = trailing_exits_of(filled, bars, stops, block_rows).withColumn(
+            "outcome", F.when(F.col("exit_ts").isNotNull(), "TRAIL"))
+    elif fill == "end_of_day":
+        out = end_of_day_exits(filled, bars, block_rows).drop("eod_ts").withColumn(
+            "outcome", F.when(F.col("exit_ts").isNotNull(), "EOD"))
+    else:
+        raise ValueError(f"unknown exit: {fill}")
+    waiting = rows.where(F.col("entry_ts").isNull())
+    all_rows = out.unionByName(waiting, allowMissingColumns=True)
+    closed = F.col("exit_price").isNotNull()
+    return all_rows.withColumns({
+        "state": F.when(F.col("entry_ts").isNull(), "UNFILLED").when(closed, "CLOSED").otherwise("OPEN"),
+        "pnl": F.when(closed, F.col("side") * (F.col("exit_price") - F.col("entry_price")))})
 
 
 def sweep_kpis(trades: DataFrame) -> DataFrame:
-    """Trade statistics per series and parameter set."""
-    return trade_stats(trades, [*KEYS, "params_id"])
+    """Statistics of the closed trades per series and parameter set."""
+    return trade_stats(trades.where("state = 'CLOSED'"), [*KEYS, "params_id"])
 
 

@@ -4,17 +4,31 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the checkpoint folder and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share.
 
-    Reliable: the folder is the shared one named by ``spark.checkpoint.dir``, so lost executors do
-    not lose the rows. A scratch folder is used only where the session names none (local runs).
+    Only a local session, whose executors are in this process, may go without one and gets a
+    scratch folder; on a cluster that is an error, as executors do not see each other's disks.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
+    named = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="barlattice-")
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="barlattice-"))
+        sc.setCheckpointDir(named)
+    return named
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and go on from there.
+
+    Lost executors do not lose the rows. Spark removes the files when the table is no longer used,
+    where spark.cleaner.referenceTracking.cleanCheckpoints is on.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -17,6 +17,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
+# Set when a session is built: checkpoint files go when nothing refers to them any more.
+BUILD_CONF = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -56,6 +58,6 @@ def get_session(app: str = "barlattice", master: str | None = None, **conf: str)
         builder = builder.master(master)
     # Call-site capture costs several gateway calls per column expression; off unless asked for.
     builder = builder.config("spark.python.sql.dataFrameDebugging.enabled", "false")
-    for key, value in {**RUNTIME_CONF, **conf}.items():
+    for key, value in {**BUILD_CONF, **RUNTIME_CONF, **conf}.items():
         builder = builder.config(key, value)
     return configure(builder.getOrCreate())

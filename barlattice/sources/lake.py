@@ -84,10 +84,15 @@ def inventory(
     return grid.join(have, KEYS, "left").withColumn("exists", F.col("bars").isNotNull())
 
 
-def file_sizes(lake: DataFrame) -> DataFrame:
-    """Megabytes per series of a file-backed lake."""
-    files = lake.select(*KEYS, "_metadata.file_path", "_metadata.file_size").distinct()
-    return files.groupBy(*KEYS).agg((F.sum("file_size") / F.lit(1024.0 * 1024.0)).alias("size_mb"))
+def _files(spark: SparkSession, root: str) -> DataFrame:
+    """One row per data file of a lake, from its listing: no file is opened."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(root)
+    return found.select(*[F.col(k).cast("string").alias(k) for k in KEYS], "length", "modificationTime")
+
+
+def file_sizes(spark: SparkSession, root: str) -> DataFrame:
+    """Megabytes per series of a saved lake, from the listing."""
+    return _files(spark, root).groupBy(*KEYS).agg((F.sum("length") / F.lit(1024.0 * 1024.0)).alias("size_mb"))
 
 
 def freshness(lake: DataFrame, as_of: str | dt.datetime, max_days: int = MAX_STALENESS_DAYS) -> DataFrame:
@@ -156,19 +161,17 @@ def daily_closes(bars: DataFrame) -> DataFrame:
 
 
 def data_version(files: DataFrame) -> DataFrame:
-    """Short digest of (symbol, timeframe, modified) rows; it changes with any input file.
-
-    ``files`` has one row per required series, so the list is as short as the requirements.
-    """
-    mark = F.concat_ws(":", "symbol", "timeframe", "modified")
-    return files.agg(F.substring(F.sha2(F.concat_ws("|", F.sort_array(F.collect_list(mark))), 256), 1,
-                                 DIGEST_CHARS).alias("data_version"))
+    """Short digest of (symbol, timeframe, modified) rows; it changes with any row, not with their order."""
+    mark = F.sha2(F.concat_ws(":", "symbol", "timeframe", "modified"), 256)
+    half = [F.conv(F.substring(mark, at, 15), 16, 10).cast("decimal(20,0)") for at in (1, 16)]
+    sums = F.concat_ws("|", F.count(F.lit(1)).cast("string"), *[F.coalesce(F.sum(h), F.lit(0)).cast("string") for h in half])
+    return files.agg(F.substring(F.sha2(sums, 256), 1, DIGEST_CHARS).alias("data_version"))
 
 
-def file_marks(lake: DataFrame) -> DataFrame:
-    """Latest modification time per series of a file-backed lake."""
-    return lake.groupBy(*KEYS).agg(
-        F.unix_micros(F.max("_metadata.file_modification_time")).cast("string").alias("modified"))
+def file_marks(spark: SparkSession, root: str) -> DataFrame:
+    """Latest modification time per series of a saved lake, from the listing."""
+    return _files(spark, root).groupBy(*KEYS).agg(
+        F.unix_micros(F.max("modificationTime")).cast("string").alias("modified"))
 
 
 def json_safe(rows: DataFrame) -> DataFrame:

@@ -432,8 +432,8 @@ def test_lake_round_trip_and_inventory(spark, bars, tmp_path):
     text = one._jdf.queryExecution().toString()
     assert "PartitionFilters" in text and "PushedFilters: [IsNotNull(ts)" in text
     assert [r.symbol for r in LK.list_symbols(lake).collect()] == ["A", "B"]
-    assert LK.file_sizes(lake).where("size_mb > 0").count() == 2
-    assert len(LK.data_version(LK.file_marks(lake)).first()[0]) == LK.DIGEST_CHARS
+    assert LK.file_sizes(spark, root).where("size_mb > 0").count() == 2
+    assert len(LK.data_version(LK.file_marks(spark, root)).first()[0]) == LK.DIGEST_CHARS
     # Saving one series again leaves the other in place.
     LK.save(bars.where("symbol = 'A'").limit(10), root)
     assert LK.read(spark, root).groupBy("symbol").count().orderBy("symbol").collect()[0][1] == 10
