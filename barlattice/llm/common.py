@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barlattice.plans.lineage import settle as settled
+from barlattice.plans.lineage import shared_folder
 from barlattice.session import configure
 
 #: Letters that count as one for equality: A-Z only, so that results do not depend on a locale.
@@ -29,18 +30,6 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a scratch one only where the session names none (tests)."""
-    sc = spark.sparkContext
-    named = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        if not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="barlattice-")
-        sc.setCheckpointDir(named)
-    return named
-
-
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it from there.
 
@@ -52,12 +41,6 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The same for small tables by checkpoint(), whose files Spark can remove by itself."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def with_group_values(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int,
                       share: int = 1000) -> DataFrame:
     """Join one row per group to all rows of the group, without sending a large group to one task.

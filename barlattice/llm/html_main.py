@@ -95,6 +95,7 @@ def blocks(page: str) -> list[Block]:
     """The blocks of a page in order."""
     out: list[Block] = []
     stack: list[tuple[str, bool]] = []  # name, dropped
+    opened: Counter = Counter()
     dropped = links = articles = 0
     seen_article = False
     block = Block("body", "outside", False)
@@ -109,6 +110,7 @@ def blocks(page: str) -> list[Block]:
     def leave() -> str:
         nonlocal dropped, links, articles
         name, was = stack.pop()
+        opened[name] -= 1
         dropped -= was
         links -= name == "a"
         articles -= name in ARTICLES and not was
@@ -137,7 +139,7 @@ def blocks(page: str) -> list[Block]:
             block.parts.append(" ")
             continue
         if found["close"]:
-            if any(n == name for n, _ in stack):
+            if opened[name]:
                 border_needed = False
                 while True:
                     left = leave()
@@ -169,6 +171,7 @@ def blocks(page: str) -> list[Block]:
         is_dropped = _is_dropped(name, found["attrs"])
         if name not in VOID and not found["attrs"].endswith("/"):
             stack.append((name, is_dropped))
+            opened[name] += 1
             dropped += is_dropped
             links += name == "a"
             if name in ARTICLES and not is_dropped:
@@ -196,7 +199,8 @@ class Weights:
         return self.learned.get(f"word {kind} {'link' if link else 'plain'}", -1.0 if link else 1.0)
 
     def tag(self, name: str) -> float:
-        return self.learned.get(f"tag {name}", TAG)
+        # marks within a line say little, and there may be many
+        return self.learned.get(f"tag {name}", TAG) * (0.01 if name in INLINE else 1.0)
 
     def score(self, b: Block) -> float:
         tags = sum(self.tag(t) * n for t, n in b.tags.items())

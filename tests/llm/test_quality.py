@@ -4,15 +4,15 @@ from barlattice.llm import quality
 
 
 def test_held_out_accuracy(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     rows = quality.classify(docs, labels).join(labels, "doc_id").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
     assert all(r.predicted == int(r.score >= 0.3) and 0 <= r.score <= 1 for r in rows)
     test = [r for r in rows if r.held_out]
-    assert sum(r.predicted == r.quality for r in test) >= 0.95 * len(test)
+    assert sum(r.predicted == r.quality for r in test) >= 0.97 * len(test)
     good, bad = [r.score for r in test if r.quality], [r.score for r in test if not r.quality]
-    assert sum((g > b) + (g == b) / 2 for g in good for b in bad) >= 0.95 * len(good) * len(bad)
+    assert sum((g > b) + (g == b) / 2 for g in good for b in bad) >= 0.98 * len(good) * len(bad)
 
 
 def test_held_out_labels_are_never_read(spark):
