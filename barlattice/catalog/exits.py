@@ -146,11 +146,10 @@ def _(spark, d):
     return b.withColumns({"win_rate": rd("win_rate", 6), "avg_pnl": rd("avg_pnl", 4), "total_pnl": rd("total_pnl", 2)})
 
 
-@query("e11_trade_log_page", sql("""SELECT trade_id, strategy, symbol, direction, entry_time, exit_time, round(pnl, 4) + 0.0 AS pnl, exit_reason FROM itrades
+@query("e11_trade_log_page", sql("""SELECT trade_id, strategy, symbol, direction, entry_time, exit_time, round(pnl, 4) + 0.0 AS pnl, exit_reason, (SELECT count(*) FROM itrades) AS total_rows FROM itrades
   ORDER BY entry_time, trade_id LIMIT 50 OFFSET 100""", "itrades"))
 def _(spark, d):
-    page, _total = E.trade_log(T.intraday_trades(spark, d), 3, 50)
-    return page.withColumn("pnl", rd("pnl", 4))
+    return E.trade_log(T.intraday_trades(spark, d), 3, 50).withColumn("pnl", rd("pnl", 4))
 
 
 @query("p7_trades_of_strategy", sql(f"SELECT trade_id, {r('pnl', 4, 'pnl')} FROM itrades WHERE strategy = 'beta'", "itrades"))

@@ -20,7 +20,6 @@ from barlattice.plans.lineage import settle
 MIN_PERIODS = 5
 FLAT = 1e-8
 MIN_TAIL_DAYS = 20
-CHUNK = 24  # columns per side of one correlation aggregate
 
 
 def pair_correlations(
@@ -28,26 +27,33 @@ def pair_correlations(
 ) -> DataFrame:
     """Long correlation matrix over ``names``: (keys, row_label, col_label, n, corr).
 
-    Values are spread into one column per name, so a period is one row and no pairs of rows are
-    formed; all coefficients come from one aggregation (several when there are many names).
+    A period is one row with the values of its names; each pair of names in a period is one input
+    of one aggregation, added up before it is shuffled. The plan is the same for any number of names.
     """
     keys, names = list(keys), list(names)
-    wide = rows.groupBy(*keys, period).agg(*[
-        F.sum(F.when(F.col(label) == F.lit(n), F.col(value))).alias(f"_v{i}") for i, n in enumerate(names)])
-    groups = [range(i, min(i + CHUNK, len(names))) for i in range(0, len(names), CHUNK)]
-    out = None
-    for a, left in enumerate(groups):
-        for right in groups[a:]:
-            cells = [(i, j) for i in left for j in right if i <= j]
-            aggs = [F.struct(
-                F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"),
-                F.count(F.when(F.col(f"_v{j}").isNotNull(), F.col(f"_v{i}"))).alias("n"),
-                (F.when(F.stddev_samp(f"_v{i}") > 0, F.lit(1.0)) if i == j
-                 else F.corr(f"_v{i}", f"_v{j}")).alias("c"),
-            ) for i, j in cells]
-            part = wide.groupBy(*keys).agg(F.array(*aggs).alias("_m")).select(
-                *keys, F.explode("_m").alias("_m"))
-            out = part if out is None else out.unionByName(part)
+    known = F.array(*[F.lit(n) for n in names])
+    per = (
+        rows.withColumn("_i", F.array_position(known, F.col(label)).cast("int") - 1)
+        .where((F.col("_i") >= 0) & F.col(value).isNotNull())
+        .groupBy(*keys, period, "_i").agg(F.sum(value).alias("_v"))
+        .groupBy(*keys, period).agg(F.array_sort(F.collect_list(F.struct("_i", "_v"))).alias("_all"))
+    )
+    pairs = (
+        per.select(*keys, "_all", F.posexplode("_all").alias("_at", "_x"))
+        .select(*keys, "_x", F.explode(F.slice("_all", F.col("_at") + 1, F.size("_all"))).alias("_y"))
+        .groupBy(*keys, F.col("_x._i").alias("_i"), F.col("_y._i").alias("_j"))
+        .agg(F.count(F.lit(1)).alias("n"), F.corr("_x._v", "_y._v").alias("c"), F.stddev_samp("_x._v").alias("_std"))
+    )
+    last = len(names) - 1
+    cells = (
+        rows.select(*keys).distinct()
+        .withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(last))))
+        .withColumn("_j", F.explode(F.sequence(F.col("_i"), F.lit(last))))
+    )
+    one = F.when(F.col("_std") > 0, F.lit(1.0))
+    out = cells.join(pairs, [*keys, "_i", "_j"], "left").select(*keys, F.struct(
+        F.element_at(known, F.col("_i") + 1).alias("a"), F.element_at(known, F.col("_j") + 1).alias("b"),
+        F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.when(F.col("_i") == F.col("_j"), one).otherwise(F.col("c")).alias("c")).alias("_m"))
     both = F.array(F.struct(F.col("_m.a").alias("row_label"), F.col("_m.b").alias("col_label")),
                    F.struct(F.col("_m.b").alias("row_label"), F.col("_m.a").alias("col_label")))
     return out.withColumn("_x", F.explode(F.array_distinct(both))).select(

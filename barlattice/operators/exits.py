@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlattice.functions.exprs import DAY, add_seconds, micros
@@ -211,10 +211,25 @@ LOG_COLUMNS = ["strategy", "symbol", "direction", "entry_time", "exit_time", "pn
                "pnl_decay_60m", "exit_reason"]
 
 
-def trade_log(trades: DataFrame, page: int, page_size: int) -> tuple[DataFrame, int]:
-    """One page of the log in entry order and the number of rows; the page is clamped to the range."""
-    total = trades.count()
-    pages = max(1, -(-total // page_size))
-    at = (max(1, min(page, pages)) - 1) * page_size
+def trade_log(trades: DataFrame, page: int, page_size: int) -> DataFrame:
+    """One page of the log in entry order, with the number of rows in ``total_rows``.
+
+    The page is clamped to the range. Nothing runs while the page is built: trades are counted per
+    day of entry, the days that the page touches follow from running counts (one row per day), and
+    only trades of those days are ranked.
+    """
+    day = F.to_date("entry_time")
+    days = trades.groupBy(day.alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.orderBy(F.col("_day").asc_nulls_first())
+    days = days.withColumns({"_upto": F.sum("_n").over(upto), "total_rows": F.sum("_n").over(Window.partitionBy())})
+    pages = F.greatest(F.lit(1), F.ceil(F.col("total_rows") / page_size))
+    days = days.withColumn("_from", (F.greatest(F.lit(1), F.least(F.lit(page), pages)) - 1) * page_size)
+    days = days.withColumn("_before", F.col("_upto") - F.col("_n")).where(
+        (F.col("_upto") > F.col("_from")) & (F.col("_before") < F.col("_from") + page_size))
     cols = [c for c in LOG_COLUMNS if c in trades.columns]
-    return trades.orderBy("entry_time", "trade_id").offset(at).limit(page_size).select("trade_id", *cols), total
+    days = days.withColumnRenamed("_day", "_on")
+    found = trades.withColumn("_day", day).join(days, F.col("_day").eqNullSafe(F.col("_on")))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_day").orderBy("entry_time", "trade_id"))
+    return found.withColumn("_place", place).where(
+        (F.col("_place") > F.col("_from")) & (F.col("_place") <= F.col("_from") + page_size)
+    ).select("trade_id", *cols, "total_rows").orderBy("entry_time", "trade_id")
