@@ -154,12 +154,16 @@ class Series:
         b = max(1, math.floor(math.log(1e6) / -math.log(keep)))
         run = F.floor((F.col(_RN) - 1) / b)
         here, before = f"_{name}_at", f"_{name}_prev"
-        decay, log, part = f"_{name}_decay", f"_{name}_log", f"_{name}_run"
+        gap, steps, part = f"_{name}_gap", f"_{name}_steps", f"_{name}_run"
         known = F.col(x).isNotNull()
 
         def in_run(f: Frame) -> WindowSpec:
             return Window.partitionBy(*f.part, run).orderBy(*f.order).rowsBetween(Window.unboundedPreceding, 0)
 
+        def factor(c: Column, sign: int = 1) -> Column:
+            """What is left of an old value after the (steps, gap) in ``c``, or its inverse."""
+            return F.pow(F.lit(keep), sign * c["n"]) * F.exp(sign * c["log"])
+
         def joined(f: Frame) -> Column:
             w = Window.partitionBy(*f.part).orderBy(run)
             last = F.col(_RN) % b == 0
@@ -167,20 +171,27 @@ class Series:
             for k in (3, 2, 1):
                 ago = w.rangeBetween(-k, -k)
                 end = F.coalesce(F.max(F.when(last, F.col(part))).over(ago), F.lit(0.0))
-                left = F.exp(F.coalesce(F.max(F.when(last, F.col(log))).over(ago), F.lit(0.0)))
+                left = F.coalesce(factor(F.max(F.when(last, F.col(steps))).over(ago)), F.lit(1.0))
                 carry = end + left * carry
-            y = F.coalesce(F.col(part), F.lit(0.0)) + F.exp(F.coalesce(log, F.lit(0.0))) * carry
+            y = F.coalesce(F.col(part), F.lit(0.0)) + factor(F.col(steps)) * carry
             return F.when(F.coalesce(here, before).isNotNull(), y)
 
         self.add(here, F.when(known, F.col(_RN)), [x, _RN])
         self.add(before, lambda f: F.last(here, ignorenulls=True).over(
             f.w.rowsBetween(Window.unboundedPreceding, -1)), [here], back=4 * b)
-        old = F.pow(F.lit(keep), F.col(_RN) - F.col(before))
-        self.add(decay, F.when(known & F.col(before).isNotNull(), old / (old + F.lit(1.0 - keep))), [x, before])
-        self.add(log, lambda f: F.sum(F.coalesce(F.log(decay), F.lit(0.0))).over(in_run(f)), [decay])
-        weight = F.coalesce(F.lit(1.0) - F.col(decay), F.lit(1.0 if first is None else first))
-        self.add(part, lambda f: F.exp(log) * F.sum(weight * F.col(x) * F.exp(-F.col(log))).over(in_run(f)), [log, x])
-        return self.add(name, joined, [part, log])
+        rows = F.col(_RN) - F.col(before)
+        old = F.pow(F.lit(keep), rows)
+        # a step without gap is the factor ``keep`` itself, so that series without nulls stay exact
+        more = F.when(rows == 1, F.lit(0.0)).otherwise(F.log(old / (old + F.lit(1.0 - keep))) - F.lit(math.log(keep)))
+        follows = known & F.col(before).isNotNull()
+        self.add(gap, F.when(follows, more), [x, before])
+        self.add(steps, lambda f: F.struct(
+            F.count(gap).over(in_run(f)).alias("n"), F.coalesce(F.sum(gap).over(in_run(f)), F.lit(0.0)).alias("log")), [gap])
+        weight = F.when(F.col(gap) == 0, F.lit(1.0 - keep)).otherwise(F.lit(1.0) - F.lit(keep) * F.exp(gap))
+        weight = F.coalesce(weight, F.lit(1.0 if first is None else first))
+        self.add(part, lambda f: factor(F.col(steps)) * F.sum(
+            weight * F.col(x) * factor(F.col(steps), -1)).over(in_run(f)), [steps, x])
+        return self.add(name, joined, [part, steps])
 
     def ema(self, name: str, x: str, span: int) -> str:
         """Exponential mean with smoothing 2 / (span + 1), seeded by the first value."""
