@@ -73,41 +73,55 @@ def upper_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
-def _battery(core: Column, alphabet: str) -> Column:
-    """p-value of a token against random characters of the alphabet."""
-    k, n = len(alphabet), F.length(core).cast("double")
-    counts = [n - F.length(F.translate(core, c, "")) for c in alphabet]
-    chi = sum((c * c for c in counts), F.lit(0.0)) * k / n - n
-    # cube-root normal form of chi-squared with k - 1 degrees of freedom; both directions are odd,
-    # but only too uneven a token speaks for words
-    f = 2.0 / (9.0 * (k - 1))
-    p_chi = upper_tail((F.pow(F.greatest(chi, F.lit(1e-9)) / (k - 1), F.lit(1 / 3)) - (1 - f)) / f ** 0.5)
-    chars = F.split(core, "")
-    place = F.transform(F.filter(chars, lambda c: c != ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
-    mid = k // 2
-    high = F.aggregate(place, F.lit(0), lambda held, v: held + (v >= mid).cast("int")).cast("double")
-    later, earlier = F.slice(place, 2, F.length(core)), F.slice(place, 1, F.length(core) - 1)
-    changes = F.aggregate(F.zip_with(earlier, later, lambda a, b: ((a >= mid) != (b >= mid)).cast("int")),
-                          F.lit(0), lambda held, v: held + v).cast("double")
-    expected = 2 * high * (n - high) / n
-    spread = F.sqrt(F.greatest(expected * (expected * 2 - 1) / F.greatest(n - 1, F.lit(1.0)), F.lit(1e-9)))
-    p_runs = F.when((high == 0) | (high == n), F.lit(0.0)).otherwise(2 * upper_tail(F.abs(changes - expected) / spread))
-    mean = (k - 1) / 2
-    variance = (k * k - 1) / 12
-    product = F.aggregate(F.zip_with(earlier, later, lambda a, b: (a - mean) * (b - mean)),
-                          F.lit(0.0), lambda held, v: held + v)
-    p_serial = 2 * upper_tail(F.abs(product) / (variance * F.sqrt(F.greatest(n - 1, F.lit(1.0)))))
-    return F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial))
+def _squares(place: Column) -> Column:
+    """Sum of the squared counts of each character, from their sorted places."""
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("sum"))
+    closed = lambda held: held["sum"] + held["run"].cast("double") * held["run"]
+    return F.aggregate(F.array_sort(place), start, lambda held, v: F.struct(
+        v.alias("last"), F.when(v == held["last"], held["run"] + 1).otherwise(F.lit(1)).alias("run"),
+        F.when(v == held["last"], held["sum"]).otherwise(closed(held)).alias("sum")), closed)
+
+
+def _in_order(place: Column, k: Column) -> Column:
+    """struct<high, changes, product>: characters in the upper half of the alphabet, changes between
+    halves, and the sum of products of neighbours around the mean."""
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("high"), F.lit(0).alias("changes"), F.lit(0.0).alias("product"))
+    upper = lambda v: v * 2 >= k
+    return F.aggregate(place, start, lambda held, v: F.struct(
+        v.alias("last"), (held["high"] + upper(v).cast("int")).alias("high"),
+        (held["changes"] + ((held["last"] >= 0) & (upper(v) != upper(held["last"]))).cast("int")).alias("changes"),
+        (held["product"] + F.when(held["last"] >= 0, (v - (k - 1) / 2) * (held["last"] - (k - 1) / 2)).otherwise(F.lit(0.0))).alias("product")))
 
 
 def tested(tokens: DataFrame) -> DataFrame:
-    """Distinct tokens with an inferred alphabet: token, alphabet, length class and p."""
+    """Distinct tokens with an inferred alphabet: token, alphabet, length class and p.
+
+    p is three times the smallest of the p-values of the battery, against random characters.
+    """
     core = F.regexp_replace("token", "=+$", "")
     kind = F.coalesce(*[F.when(core.rlike(p), F.lit(name)) for name, p, _ in ALPHABETS])
-    rows = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("uses")).withColumn("alphabet", kind)
-    p = F.coalesce(*[F.when(F.col("alphabet") == name, _battery(core, letters)) for name, _, letters in ALPHABETS])
-    return (rows.filter(F.col("alphabet").isNotNull()).withColumn("p", p)
-            .withColumn("length_class", F.floor(F.log2(F.length(core).cast("double")) * 2).cast("int")))
+    letters = F.coalesce(*[F.when(F.col("alphabet") == name, F.lit(text)) for name, _, text in ALPHABETS])
+    rows = (tokens.groupBy("token").agg(F.count(F.lit(1)).alias("uses")).withColumn("alphabet", kind)
+            .filter(F.col("alphabet").isNotNull()).withColumn("letters", letters))
+    rows = rows.select("token", "alphabet", F.length("letters").cast("double").alias("k"), F.length(core).cast("double").alias("n"),
+                       F.transform(F.filter(F.split(core, ""), lambda c: c != ""), lambda c: F.instr("letters", c) - 1).alias("place"))
+    rows = rows.select("token", "alphabet", "k", "n", _squares(F.col("place")).alias("squares"),
+                       _in_order(F.col("place"), F.col("k")).alias("walk"))
+    rows = rows.select("token", "alphabet", "k", "n", (F.col("squares") * F.col("k") / F.col("n") - F.col("n")).alias("chi"),
+                       F.col("walk.high").alias("high"), F.col("walk.changes").alias("changes"), F.col("walk.product").alias("product"))
+    # cube-root normal form of chi-squared with k - 1 degrees of freedom: too uneven a token speaks for words
+    f = 2.0 / (9.0 * (F.col("k") - 1))
+    even = (F.pow(F.greatest("chi", F.lit(1e-9)) / (F.col("k") - 1), F.lit(1 / 3)) - (1 - f)) / F.sqrt(f)
+    expected = 2.0 * F.col("high") * (F.col("n") - F.col("high")) / F.col("n")
+    rows = rows.withColumn("even", even).withColumn("expected", expected)
+    spread = F.sqrt(F.greatest(F.col("expected") * (F.col("expected") * 2 - 1) / F.greatest(F.col("n") - 1, F.lit(1.0)), F.lit(1e-9)))
+    # characters of one half only: all in one run
+    rows = rows.withColumn("runs", F.when(F.col("expected") == 0, F.lit(40.0)).otherwise(F.abs(F.col("changes") - F.col("expected")) / spread))
+    variance = (F.col("k") * F.col("k") - 1) / 12
+    rows = rows.withColumn("serial", F.abs("product") / (variance * F.sqrt(F.greatest(F.col("n") - 1, F.lit(1.0)))))
+    least = F.least(upper_tail(F.col("even")), 2 * upper_tail(F.col("runs")), 2 * upper_tail(F.col("serial")))
+    return rows.select("token", "alphabet", F.least(F.lit(1.0), 3 * least).alias("p"),
+                       F.floor(F.log2("n") * 2).cast("int").alias("length_class"))
 
 
 def random_tokens(judged: DataFrame) -> DataFrame:
