@@ -31,7 +31,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-©«-±¿-ƺ‐-‧]*")
 #: Pieces whose tokens are kept from one part of a partition to the next, and bytes of a part.
-KEPT_PIECES, PART_BYTES = 400_000, 12_000_000
+KEPT_PIECES, PART_BYTES = 150_000, 4_000_000
 _NONE = np.int32(2 ** 31 - 1)
 
 
