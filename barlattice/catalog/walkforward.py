@@ -42,8 +42,15 @@ def _(spark, d):
     return K.candidates(series, {"fast": (20, 80, 10), "slow": (1.25, 3.0, 0.25), "side": ["both", "long", "short"]})
 
 
-# The sample is chosen by a Spark hash; tests check its size, membership and repeatability.
-@query("k2_sampled_grid")
+@query("k2_sampled_grid", sql("""
+  SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY symbol, timeframe ORDER BY md5(concat_ws('|', '42', fast_sma_window, slow_sma_window,
+      atr_window, atr_sl_mult, rr_ratio, trade_direction)), fast_sma_window, slow_sma_window, atr_window, atr_sl_mult, rr_ratio, trade_direction) AS k
+    FROM (SELECT symbol, timeframe, CAST(fast AS INTEGER) AS fast_sma_window, CAST(slow AS INTEGER) AS slow_sma_window, CAST(aw AS INTEGER) AS atr_window,
+        am AS atr_sl_mult, rr AS rr_ratio, side AS trade_direction FROM (SELECT DISTINCT symbol, timeframe FROM bars)
+      CROSS JOIN (SELECT unnest(range(20, 81, 10)) AS fast) CROSS JOIN (SELECT unnest(range(120, 301, 30)) AS slow)
+      CROSS JOIN (SELECT unnest(range(10, 31, 5)) AS aw) CROSS JOIN (SELECT round(1.25 + unnest(range(0, 8)) * 0.25, 10)::DOUBLE AS am)
+      CROSS JOIN (SELECT round(1.5 + unnest(range(0, 6)) * 0.5, 10)::DOUBLE AS rr) CROSS JOIN (SELECT unnest(['both', 'long', 'short']) AS side)))
+  WHERE k <= 120""", "bars"))
 def _(spark, d):
     series = T.bars(spark, d).select("symbol", "timeframe").distinct()
     return K.candidates(series, SIGNALS["sma_pullback"].space, sample=120, seed=42, keys=["symbol", "timeframe"])

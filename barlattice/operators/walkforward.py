@@ -79,7 +79,7 @@ def candidates(
 ) -> DataFrame:
     """Rows of ``base`` with every parameter combination of ``space`` (one column per parameter).
 
-    With ``sample`` the combinations of each key are thinned to that many, chosen by a seeded hash
+    With ``sample`` the combinations of each key are thinned to that many, chosen by a seeded MD5
     of the parameters (top-k by hash, so map tasks keep at most ``sample`` rows per key).
     """
     out = base
@@ -87,7 +87,7 @@ def candidates(
         out = out.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values_of(bounds)])))
     if sample is None:
         return out
-    h = F.xxhash64(*[F.col(c) for c in space], F.lit(seed))
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in space]).cast("binary"))
     if not keys:
         return out.orderBy(h, *space).limit(sample)
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(h, *space))
