@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,14 @@ _BLANK[[32, 9, 10, 11, 12, 13]] = True
 _powers = np.ones(1, U)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on after their task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser (multiply and xor-shift)."""
     h = h ^ (h >> U(33))
@@ -34,12 +43,12 @@ def powers(n: int) -> np.ndarray:
     return _powers[:n]
 
 
-def slices(texts: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, int]]:
-    """Row ranges whose texts have about ``most`` bytes together, so that memory stays bounded."""
+def slices(texts: pa.Array, most: int = 3_000_000, rows: int = 100_000) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``most`` bytes and at most ``rows`` texts, so that memory stays bounded."""
     sizes = np.diff(np.frombuffer(texts.buffers()[1], _offset_type(texts))[texts.offset:texts.offset + len(texts) + 1])
     start, held = 0, 0
     for i, s in enumerate(sizes):
-        if held and held + s > most:
+        if i > start and (held + s > most or i - start >= rows):
             yield start, i
             start, held = i, 0
         held += int(s)
@@ -77,10 +86,19 @@ def spans(marks: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """One hash per span of bytes."""
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int = 500_000) -> np.ndarray:
+    """One hash per span of bytes, made for about ``most`` bytes at a time."""
     if not len(starts):
         return np.zeros(0, U)
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(starts[0] + most, ends[-1], most)), len(starts)))
+    out, a = [], 0
+    for b in cuts[cuts > 0]:
+        out.append(_hash_spans(data, starts[a:b], ends[a:b]))
+        a = b
+    return np.concatenate(out)
+
+
+def _hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     lengths = ends - starts
     total = int(lengths.sum())
     first = np.cumsum(lengths) - lengths

@@ -42,7 +42,7 @@ def features(texts: pa.Array) -> np.ndarray:
     """Damped relative counts of hashed byte triples, and of triples of byte classes."""
     out = np.zeros((len(texts), FEATURES), np.float32)
     half = FEATURES // 2
-    for a, b in hashing.slices(texts, 4_000_000):
+    for a, b in hashing.slices(texts, 1_000_000, BLOCK):
         data, offsets = hashing.text_bytes(texts.slice(a, b - a))
         if len(data) < 3:
             continue
@@ -115,10 +115,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "d
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = features(batch.column(2)).astype(np.float16)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([x.tobytes() for x in held], pa.binary())],
-                names=["id", "label", "held"])
+            for a, b in hashing.slices(batch.column(2), 1_000_000, BLOCK):
+                held = features(batch.column(2).slice(a, b - a)).astype(np.float16)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([x.tobytes() for x in held], pa.binary())],
+                    names=["id", "label", "held"])
 
     # at most 2 * PER_CLASS ids of a few bytes each
     kind = docs.schema[row_id].dataType.simpleString()
@@ -148,8 +149,11 @@ def with_scores(docs: DataFrame, model: Model, text: str = "text", score: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = sent.value.score(features(batch.column(at).fill_null("")))
+            texts = batch.column(at).fill_null("")
+            scores = np.concatenate([sent.value.score(features(texts.slice(a, b - a)))
+                                     for a, b in hashing.slices(texts, 1_000_000, BLOCK)] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*names, score])
+        hashing.give_back()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{kinds}, `{score}` double")
