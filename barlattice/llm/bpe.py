@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barlattice.llm.hashing import give_back
+
 #: The pre-tokenizer's pattern of byte-level BPE files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same for texts whose characters all pass PLAIN, in the faster standard module.
@@ -214,8 +216,12 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[s
                 start, held, rows = i + 1, 0, []
 
 
-def encode(docs: DataFrame, tokenizer_file: str, text: str = "text", row_id: str = "doc_id") -> DataFrame:
-    """Per row: its id, n_tokens and ids (little-endian unsigned 32-bit integers, one after another)."""
+def encode(docs: DataFrame, tokenizer_file: str, text: str = "text", row_id: str = "doc_id",
+           decoded: bool = False) -> DataFrame:
+    """Per row: its id, n_tokens and ids (little-endian unsigned 32-bit integers, one after another).
+
+    With ``decoded`` the ids are also decoded in the same pass, as :func:`decode` does.
+    """
     spark = docs.sparkSession
     with open(tokenizer_file, "rb") as f:  # a file of a few MB on the driver; its content is sent along
         content = spark.sparkContext.broadcast(f.read())
@@ -224,13 +230,18 @@ def encode(docs: DataFrame, tokenizer_file: str, text: str = "text", row_id: str
         encoder = Encoder(Tokenizer(content.value))
         for ids, texts in _parts(batches):
             tokens = encoder.encode(texts)
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([len(t) for t in tokens], pa.int64()),
-                 pa.array([t.astype("<u4").tobytes() for t in tokens], pa.binary())],
-                names=[row_id, "n_tokens", "ids"])
-
+            columns = [ids, pa.array([len(t) for t in tokens], pa.int64()),
+                       pa.array([t.astype("<u4").tobytes() for t in tokens], pa.binary())]
+            if decoded:
+                columns.append(pa.array([encoder.tokenizer.decode(t.tolist()) for t in tokens], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+        encoder._clear()
+        give_back()
+
+    names = [row_id, "n_tokens", "ids", *(["decoded"] if decoded else [])]
     kind = docs.schema[row_id].dataType.simpleString()
-    return docs.select(row_id, text).mapInArrow(run, f"`{row_id}` {kind}, n_tokens bigint, ids binary")
+    schema = f"`{row_id}` {kind}, n_tokens bigint, ids binary" + ", decoded string" * decoded
+    return docs.select(row_id, text).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, tokenizer_file: str) -> DataFrame:

@@ -32,8 +32,7 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER_FILE)
-    return bpe.digest_columns(bpe.decode(encoded, TOKENIZER_FILE))
+    return bpe.digest_columns(bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER_FILE, decoded=True))
 
 
 OP6_SQL = """

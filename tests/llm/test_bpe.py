@@ -36,6 +36,8 @@ def test_ids_equal_the_library(spark, library, sample):
 
 
 def test_digests(documents, library):
+    two = bpe.decode(bpe.encode(documents(["hello", None, "é"]), FILE), FILE).collect()
+    assert two == bpe.encode(documents(["hello", None, "é"]), FILE, decoded=True).collect()
     r = bpe.digest_columns(bpe.decode(bpe.encode(documents(["hello"]), FILE), FILE)).first()
     ids = np.array(library.encode("hello", add_special_tokens=False).ids, "<u4")
     assert r.ids_sha256 == hashlib.sha256(ids.tobytes()).hexdigest()
