@@ -39,7 +39,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the text decoded from them, one row per copy."""
     configure(spark)
-    return bpe.digest_columns(bpe.decode(bpe.encode(docs, TOKENIZER_FILE), TOKENIZER_FILE))
+    return bpe.digest_columns(bpe.encode(docs, TOKENIZER_FILE, decoded=True))
 
 
 STAGES = [
