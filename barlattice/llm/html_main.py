@@ -254,7 +254,11 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(pages: DataFrame, column: str = "html") -> Weights:
     """Weights from at most SAMPLE labelled pages; one row per known feature comes to the driver."""
     labelled = pages.filter(F.lower(F.col(column)).rlike("<(?:article|main)[\\s>]"))
-    sample = labelled.select(column).orderBy(F.md5(F.col(column).cast("binary"))).limit(SAMPLE)
+    digest = F.md5(F.col(column).cast("binary"))
+    # a share by digest first, so that ordering the sample never gathers more than about its size
+    share = 0.8 * SAMPLE / max(labelled.count(), 1)
+    place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    sample = labelled.select(column).filter(place < share).orderBy(digest).limit(SAMPLE)
     rows = (sample.mapInArrow(_counts, "feature string, inside bigint, outside bigint")
             .groupBy("feature").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).collect())
     return Weights({r.feature: _weight(r.feature, r.inside, r.outside) for r in rows})
