@@ -1,7 +1,8 @@
 """Secrets: patterns, and tokens that a battery of randomness tests cannot tell from random ones.
 
-Candidates are whole tokens of ``MIN_LENGTH`` characters or more whose alphabet is inferred: hex,
-base 32 or base 64, with the kinds of characters that a random token of the alphabet has. The
+Candidates are whole tokens of ``MIN_LENGTH`` characters or more, also values after '=', whose alphabet
+is inferred: hex, base 32 or base 64, with the kinds of characters that a random token of the alphabet
+has, or letters alone, in one case or both. The
 hypothesis that a token is random is tested three ways: chi-squared of its characters against the
 uniform alphabet, runs above and below the middle of the alphabet, and correlation of neighbours.
 The smallest of the three p-values, times three, is the token's.
@@ -33,7 +34,8 @@ ASSIGN = (r"(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE
 ASSIGN_KEY = r"^[A-Za-z_]+[\"']?\x20*[:=]\x20*[\"']?"
 ACCESS = r"AKIA[A-Z0-9]++"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}+"
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"
+#: A whole run of token characters; '=' counts only as padding at the end, so that values of names are tokens.
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?"
 MIN_LENGTH, RATE, GRID = 20, 0.05, 400
 KINDS = ("assign", "access", "hex")
 #: Alphabets, in the order they are tried: name, pattern of the token, characters in order.
@@ -44,8 +46,12 @@ ALPHABETS = (
     ("base32", r"^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+$", _UPPER + "234567"),
     ("base36", r"^(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+$", _DIGITS + _UPPER),
     ("lower36", r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9]+$", _DIGITS + _LOWER),
-    ("base64", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/]+$", _UPPER + _LOWER + _DIGITS + "+/"),
-    ("base64url", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_-]+$", _UPPER + _LOWER + _DIGITS + "-_"),
+    # random characters without a digit are random ones of the letters
+    ("upper", r"^[A-Z]+$", _UPPER),
+    ("lower", r"^[a-z]+$", _LOWER),
+    ("letters", r"^(?=.*[a-z])(?=.*[A-Z])[A-Za-z]+$", _UPPER + _LOWER),
+    ("base64", r"^(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/]+$", _UPPER + _LOWER + _DIGITS + "+/"),
+    ("base64url", r"^(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_-]+$", _UPPER + _LOWER + _DIGITS + "-_"),
 )
 
 
@@ -150,7 +156,7 @@ def find(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFra
                              .otherwise(_order(a["kind"]) - _order(b["kind"]))))
     none = F.array().cast("array<struct<start:int,end:int,found:string>>")
     tokens = F.when(F.col("text").rlike(r"[A-Za-z0-9+/_-]{20}"), F.filter(
-        matches(F.col("text"), TOKEN), lambda t: t["found"].rlike("[0-9]") & ~F.exists(
+        matches(F.col("text"), TOKEN), lambda t: ~F.exists(
             "base", lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))).otherwise(none)
     table = written(rows.select(F.monotonically_increasing_id().alias("row"), row_id, "base", tokens.alias("tokens")))
     uses = table.select("row", F.explode("tokens").alias("t")).select("row", "t.start", "t.end", F.col("t.found").alias("token"))

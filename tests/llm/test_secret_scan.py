@@ -41,6 +41,22 @@ def test_random_tokens_are_told_from_words(documents):
     assert sum(t in found for t in plain) <= 0.02 * len(plain)
 
 
+def test_tokens_after_equals_signs_and_without_digits(documents):
+    random.seed(8)
+    b64 = string.ascii_letters + string.digits + "+/"
+    forms = ["AWS_SECRET_ACCESS_KEY={}", "export private_key={}\nexport PORT=80", "https://x.org/f?a=1&sig={}&x=1", "k: {}==", "{}=1"]
+    tokens = [[f, "".join(random.choice(b64[:52] if i % 3 == 0 else b64) for _ in range(40))] for f in forms for i in range(30)]
+    tokens += [["see {} there", "".join(random.choice(a) for _ in range(40))]
+               for a in (string.ascii_letters, string.ascii_lowercase, string.ascii_uppercase) for _ in range(30)]
+    texts = [f.format(t) for f, t in tokens]
+    found = {}
+    for r in secret_scan.find(documents(texts)).collect():
+        found[r.doc_id] = {texts[r.doc_id][x.start:x.end].rstrip("=") for x in r.random}
+    for form in {f for f, _ in tokens}:
+        hits = [t in found[i] for i, (f, t) in enumerate(tokens) if f == form]
+        assert sum(hits) >= 0.8 * len(hits), form
+
+
 def test_tail_is_the_normal_one(spark):
     from pyspark.sql import functions as F
     rows = spark.createDataFrame([(x / 4,) for x in range(-16, 25)], "z double").select("z", secret_scan.upper_tail(F.col("z")).alias("p"))
