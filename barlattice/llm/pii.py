@@ -9,7 +9,7 @@ judged in the stretch of ``WINDOW`` code points on both sides of each mention, a
 where N counts all terms of the corpus, n(t) the uses of t, n(e) the mentions of e, and n(t,e) the
 mentions of e with t beside them. It is 1 where t is only ever used beside e. With the support of
 ``MIN_CONTEXTS`` different stretches of text, terms at ``REMOVE`` or more are removed, and at
-``GENERALISE`` or more replaced by a word for their class. One mention proves nothing, so documents
+``GENERALISE`` or more replaced by a word for their class, in every text and wherever they stand. One mention proves nothing, so documents
 without repeated entities keep all their words, and copies of a text count as one stretch.
 
 Defined cases: null and empty texts have no spans; rows that repeat an id are searched one by one;
@@ -22,7 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barlattice.llm.common import whole_text, written
+from barlattice.llm.common import whole_text, with_group_values, written
+from barlattice.llm.exact_dedup import field_bits
 from barlattice.llm.native_spans import joined, matches, of_kind, replaced
 
 WINDOW, MIN_CONTEXTS, REMOVE, GENERALISE = 60, 2, 0.9, 0.75
@@ -109,7 +110,7 @@ def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def disclosing_terms(found: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """(kind, value, term, disclosure, action) of the terms over the thresholds."""
+    """(kind, value, term, disclosure, uses, action) of the terms over the thresholds."""
     each = found.select(F.explode("beside").alias("m")).select(
         "m.kind", "m.value", F.array_distinct(F.transform("m.terms", lambda t: t["term"])).alias("terms"))
     # mentions in the same surroundings are one context
@@ -126,23 +127,62 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, text: str = "text") -> D
     pmi = F.log(F.col("together") * F.lit(float(max(total, 1))) / (F.col("uses") * F.col("entity_mentions")))
     judged = judged.withColumn("disclosure", F.when(information > 0, pmi / information).otherwise(F.lit(0.0)))
     return judged.filter(F.col("disclosure") >= GENERALISE).select(
-        "kind", "value", "term", "disclosure",
+        "kind", "value", "term", "disclosure", "uses",
         F.when(F.col("disclosure") >= REMOVE, "removed").otherwise("generalised").alias("action"))
 
 
 def find(docs: DataFrame, text: str = "text", row_id: str = "doc_id", keep_text: bool = False) -> DataFrame:
-    """One row per row of ``docs``: its id, base spans, term spans (kinds removed and generalised)."""
-    found = mentions(docs, text, row_id, keep_text)
-    flagged = written(disclosing_terms(found, docs, text))
-    uses = found.select("row", F.explode("beside").alias("m")).select(
-        "row", "m.kind", "m.value", F.explode("m.terms").alias("t"))
-    uses = uses.select("row", "kind", "value", "t.term", "t.start", "t.end").join(flagged, ["kind", "value", "term"])
-    per_row = (uses.groupBy("row", "start", "end").agg(F.max("action").alias("kind"))  # removed outranks generalised
-               .groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("terms")))
-    per_row = per_row.withColumn("terms", F.concat(F.filter("terms", lambda x: x["kind"] == "removed"),
-                                                   F.filter("terms", lambda x: x["kind"] == "generalised")))
-    return found.join(per_row, "row", "left").select(
-        row_id, "base", F.coalesce("terms", F.array().cast(_SPANS)).alias("terms"), *(["text"] if keep_text else []))
+    """One row per row of ``docs``: its id, base spans, term spans (kinds removed and generalised).
+
+    A flagged term is marked wherever a text uses it, by the strongest of its actions.
+    """
+    found = mentions(docs, text, row_id, keep_text=True)
+    flagged = disclosing_terms(found, docs, text)
+    flagged = written(flagged.groupBy("term").agg(F.max("action").alias("action"), F.max("uses").alias("uses")))  # removed outranks generalised
+    held = _flagged_of_rows(found, flagged)
+    rows = found.join(held, "row", "left").withColumn("terms", F.when(
+        F.col("held").isNotNull(), _placed(F.col("text"), F.col("held"), F.col("base"))).otherwise(F.array().cast(_SPANS)))
+    return rows.select(row_id, "base", "terms", *(["text"] if keep_text else []))
+
+
+def _placed(text: Column, held: Column, base: Column) -> Column:
+    """array<struct<kind, start, end>> of the terms of ``held`` outside all base spans, removed ones first.
+
+    One fold over the stretches between terms and the terms, so that long texts take linear time.
+    """
+    none = F.array().cast("array<struct<rank:int,start:int,end:int,kind:string>>")
+    steps = F.zip_with(F.transform(F.split(text, TERM, -1), lambda x: F.length(x)), F.regexp_extract_all(text, F.lit(TERM), 0),
+                       lambda gap, word: F.struct(gap.alias("gap"), word.alias("word")))
+
+    def step(at: Column, x: Column) -> Column:
+        start = at["at"] + x["gap"]
+        end = start + F.coalesce(F.length(x["word"]), F.lit(0))
+        kind = F.try_element_at(held, F.lower(x["word"]))
+        hit = F.struct(F.when(kind == "removed", 0).otherwise(1).alias("rank"), start.alias("start"), end.alias("end"), kind.alias("kind"))
+        return F.struct(end.alias("at"), F.when(kind.isNotNull(), F.concat(at["hits"], F.array(hit))).otherwise(at["hits"]).alias("hits"))
+
+    hits = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("hits")), step, lambda at: at["hits"])
+    apart = F.filter(hits, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
+    return F.transform(F.array_sort(apart), lambda t: F.struct(
+        t["kind"].alias("kind"), t["start"].alias("start"), t["end"].alias("end")))
+
+
+def _flagged_of_rows(found: DataFrame, flagged: DataFrame) -> DataFrame:
+    """(row, held) of the rows that use flagged terms: a map of their terms to actions.
+
+    A bit field of the flagged terms, which is broadcast, keeps nearly all other words from the shuffle.
+    """
+    bits = field_bits(flagged.count())
+    slot = F.xxhash64("term").bitwiseAND(F.lit(bits - 1))
+    words = (flagged.select(slot.alias("slot")).groupBy(F.shiftrightunsigned("slot", 6).alias("word"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, int(slot & 63))")).alias("mask")))
+    used = found.select("row", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TERM), 0))).alias("term"))
+    used = used.select("row", F.lower("term").alias("term")).withColumn("slot", slot)
+    used = (used.join(F.broadcast(words), F.shiftrightunsigned("slot", 6) == F.col("word"))
+            .filter(F.expr("shiftrightunsigned(mask, int(slot & 63)) & 1") == 1).select("row", "term"))
+    used = written(used)
+    named = with_group_values(used, flagged, "term", "uses", used.count())
+    return named.groupBy("row").agg(F.map_from_entries(F.collect_set(F.struct("term", "action"))).alias("held"))
 
 
 def sanitise(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:

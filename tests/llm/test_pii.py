@@ -53,6 +53,19 @@ def test_terms_that_disclose(documents):
     assert clean[404] == "Zanthor met [EMAIL] once" and clean[405] == "" and clean[10] == texts[10]
 
 
+def test_flagged_terms_are_marked_everywhere(documents):
+    """Far from the mention in the same text, and in a text that does not repeat the entity."""
+    near, common = "quorbix writes to ann@x.org every day about {}", "every day somebody writes about tea and bread "
+    texts = [near.format(w) for w in ("tea", "bread", "stones", "tea")] + [common * 5] * 400
+    texts += [near.format("tea") + " " + common * 5 + "says Quorbix", "it was QUORBIX, not quorbixes"]
+    docs = documents(texts)
+    marked = {r.doc_id: [(texts[r.doc_id][x.start:x.end], x.kind) for x in r.terms] for r in pii.find(docs).collect() if r.terms}
+    one = ("quorbix", "removed")
+    assert marked == {**{i: [one] for i in range(4)}, 404: [one, ("Quorbix", "removed")], 405: [("QUORBIX", "removed")]}
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean[405] == "it was , not quorbixes" and clean[404].endswith("bread says ")
+
+
 def test_repeated_rows_and_empty_table(documents):
     rows = pii.find(documents(["me@a.org"] * 3, ids=[1, 1, None])).collect()
     assert len(rows) == 3 and all(len(r.base) == 1 for r in rows)
