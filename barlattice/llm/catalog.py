@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlattice.llm import (bpe, exact_dedup, html_main, line_dedup, media, merkle, mixing, pii, quality, resample, secret_scan,
+from barlattice.llm import (bpe, exact_dedup, html_main, license_scan, line_dedup, media, merkle, mixing, pii, quality, resample, secret_scan,
                             shingle_join)
 from barlattice.llm.common import table, written
 
@@ -116,6 +116,13 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op2_line_dedup"] = op2_line_dedup
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest_columns(license_scan.find(table(spark, sf_dir, "documents")))
+
+
+QUERIES["op11_licenses"] = op11_licenses
+
+
 def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
