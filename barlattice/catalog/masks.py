@@ -9,7 +9,7 @@ from barlattice.functions.exprs import rd
 from barlattice.operators import predicates as P
 from barlattice.operators.execution import with_specs
 from barlattice.plans.asof import asof
-from barlattice.plans.touch import extremes_between
+from barlattice.plans.ranges import extremes_between
 from barlattice.sources import tables as T
 
 

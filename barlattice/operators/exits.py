@@ -11,7 +11,7 @@ from barlattice.functions.exprs import DAY, add_seconds, micros
 from barlattice.operators.indicators import vol_percentile
 from barlattice.plans.asof import asof
 from barlattice.plans.blocks import Series
-from barlattice.plans.touch import extremes_between
+from barlattice.plans.ranges import extremes_between
 from barlattice.plans.salt import join_small
 
 # Minutes after entry at which a trade is valued.

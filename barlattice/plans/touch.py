@@ -1,4 +1,4 @@
-"""Searches along a price path: first bar that reaches a level, extremes between two times.
+"""Searches along a price path: first bar that reaches a level, days that span two levels.
 
 Both use bar extremes per day and per 32-day bucket, so a search that runs over years reads a few
 small arrays instead of all bars in between, without any limit on how far it may run.
@@ -110,82 +110,6 @@ def first_touch(
     )
 
 
-def extremes_between(
-    spans: DataFrame,
-    bars: DataFrame,
-    on: Sequence[str],
-    span_id: str,
-    start: str,
-    end: str,
-) -> DataFrame:
-    """``(span_id, max_high, min_low)`` over bars with start < ts <= end.
-
-    Whole inner days come from the extremes of the span's first and last 32-day bucket and of the
-    buckets between, looked up as small arrays: a span stays one row however long it is. Only its
-    two edge days read bars. Spans without bars give no row.
-    """
-    on = list(on)
-    daily = _daily(bars, on).where(F.col("hi").isNotNull())
-    days = daily.groupBy(*on, _M).agg(F.collect_list(F.struct(_D, "hi", "lo")).alias("_days"))
-    buckets = (
-        daily.groupBy(*on, _M)
-        .agg(F.max("hi").alias("hi"), F.min("lo").alias("lo"))
-        .groupBy(*on)
-        .agg(F.collect_list(F.struct(_M, "hi", "lo")).alias("_buckets"))
-        .withColumn(_A, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    )
-    s = (
-        spans.where(F.col(start) < F.col(end))
-        .select(*on, F.col(span_id).alias("_sid"), F.col(start).alias("_s"), F.col(end).alias("_e"))
-        .withColumn("_a", period_of("_s"))
-        .withColumn("_z", period_of("_e"))
-    )
-
-    def in_days(array: str) -> Column:
-        return F.filter(array, lambda x: (x[_D] > F.col("_a")) & (x[_D] < F.col("_z")))
-
-    parts = {
-        "_head": in_days("_head_days"),
-        "_foot": in_days("_foot_days"),
-        "_mid": F.filter("_buckets", lambda x: (x[_M] > F.col("_ma")) & (x[_M] < F.col("_mz"))),
-    }
-
-    def each(field: str) -> Column:
-        none = F.array().cast("array<double>")
-        return F.concat(*[
-            F.coalesce(F.transform(p, lambda x: x[field].cast("double")), none) for p in parts])
-
-    inner = (
-        s.where(F.col("_z") - F.col("_a") > 1)
-        .withColumns({
-            "_ma": F.floor(F.col("_a") / SPAN).cast("long"),
-            "_mz": F.floor(F.col("_z") / SPAN).cast("long"),
-            _A: F.pmod(F.xxhash64("_sid"), F.lit(SALTS)).cast("int")})
-        .join(days.withColumnsRenamed({_M: "_ma", "_days": "_head_days"}), [*on, "_ma"], "left")
-        .join(days.withColumnsRenamed({_M: "_mz", "_days": "_foot_days"}), [*on, "_mz"], "left")
-        .join(buckets, [*on, _A], "left")
-        .withColumns(parts)
-        .select("_sid", F.array_max(each("hi")).alias("hi"), F.array_min(each("lo")).alias("lo"))
-        .where(F.col("hi").isNotNull())
-    )
-    edge = (
-        s.withColumn(_D, F.explode(F.array_distinct(F.array("_a", "_z"))))
-        .join(
-            bars.select(*on, period_of("ts").alias(_D), "ts", F.col("high").alias("hi"),
-                        F.col("low").alias("lo")),
-            [*on, _D],
-        )
-        .where((F.col("ts") > F.col("_s")) & (F.col("ts") <= F.col("_e")))
-        .select("_sid", "hi", "lo")
-    )
-    return (
-        inner.unionByName(edge)
-        .groupBy("_sid")
-        .agg(F.max("hi").alias("max_high"), F.min("lo").alias("min_low"))
-        .withColumnRenamed("_sid", span_id)
-    )
-
-
 def matching_bars(
     probes: DataFrame,
     bars: DataFrame,

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from barlattice.operators import indicators as I
 from barlattice.plans.asof import asof
 from barlattice.plans.blocks import Series, running, with_halo
-from barlattice.plans.touch import extremes_between, first_touch
+from barlattice.plans.ranges import extremes_between
+from barlattice.plans.touch import first_touch
 from tests.conftest import START, make_bars, to_spark
 
 
@@ -154,3 +155,30 @@ def test_extremes_equal_scan(spark, long_bars):
             assert got.loc[r.sid, "max_high"] == w.high.max() and got.loc[r.sid, "min_low"] == w.low.min()
         else:
             assert r.sid not in got.index
+
+
+def test_extremes_within_a_day_and_over_years(spark):
+    rng = np.random.default_rng(8)
+    pdf = make_bars(3000, ("A", "B"), seed=11, step_minutes=7, gap_every=13)
+    far = pdf[pdf.symbol == "A"].iloc[:40].assign(ts=lambda x: x.ts + pd.Timedelta(days=1900))
+    pdf = pd.concat([pdf, far], ignore_index=True)
+    pdf.loc[pdf.index % 17 == 0, ["high", "low"]] = None
+    b = spark.createDataFrame([(r.symbol, r.ts.to_pydatetime(), None if pd.isna(r.high) else r.high, None if pd.isna(r.low) else r.low)
+                               for r in pdf.itertuples()], "symbol string, ts timestamp_ntz, high double, low double")
+    t0 = pdf.ts.min()
+    minutes = rng.integers(-300, 20000, 150)
+    width = rng.choice([0, 1, 7, 30, 59, 60, 61, 200, 1000, 1440, 1441, 9000, 1900 * 1440, 2500 * 1440], 150)
+    a = pd.DataFrame({"symbol": rng.choice(["A", "B", "C"], 150), "ts": [t0 + pd.Timedelta(minutes=int(m)) for m in minutes]})
+    a["end"] = a["ts"] + pd.to_timedelta(width, unit="m")
+    a["sid"] = range(len(a))
+    got = extremes_between(to_spark(spark, a, "symbol string, entry timestamp_ntz, done timestamp_ntz, sid int"), b, ["symbol"], "sid", "entry", "done")
+    got = got.toPandas().set_index("sid")
+    seen = 0
+    for r in a.itertuples():
+        w = pdf[(pdf.symbol == r.symbol) & (pdf.ts > r.ts) & (pdf.ts <= r.end)]
+        if w.high.notna().any():
+            seen += 1
+            assert got.loc[r.sid, "max_high"] == w.high.max() and got.loc[r.sid, "min_low"] == w.low.min()
+        else:
+            assert r.sid not in got.index or pd.isna(got.loc[r.sid, "max_high"])
+    assert seen > 40
