@@ -45,6 +45,22 @@ def _(spark, d):
     return out(s, ema=I.ema(s, 50))
 
 
+# Closes of a few days each month and single ones are missing, so gaps have up to hundreds of rows.
+@query("i2_ema_gaps", f"""
+WITH RECURSIVE b AS (SELECT *, CASE WHEN day(ts) BETWEEN 4 AND 3 + 5 * (month(ts) % 5) OR hour(ts) % 7 = 3 THEN NULL ELSE close END AS x FROM ({sql("SELECT * FROM bars", "bars")})),
+k AS (SELECT symbol, rn, x, row_number() OVER (PARTITION BY symbol ORDER BY rn) AS i, rn - lag(rn) OVER (PARTITION BY symbol ORDER BY rn) AS d
+      FROM b WHERE x IS NOT NULL),
+e(symbol, rn, i, y) AS (SELECT symbol, rn, i, x FROM k WHERE i = 1
+  UNION ALL SELECT k.symbol, k.rn, k.i, (pow(9 / 11.0::DOUBLE, k.d) * e.y + 2 / 11.0::DOUBLE * k.x) / (pow(9 / 11.0::DOUBLE, k.d) + 2 / 11.0::DOUBLE)
+    FROM e JOIN k ON k.symbol = e.symbol AND k.i = e.i + 1)
+SELECT b.symbol, b.timeframe, b.ts, {r('last_value(e.y IGNORE NULLS) OVER (PARTITION BY b.symbol ORDER BY b.rn)', 6, 'ema')}
+FROM b LEFT JOIN e ON e.symbol = b.symbol AND e.rn = b.rn""")
+def _(spark, d):
+    missing = F.dayofmonth("ts").between(F.lit(4), 3 + 5 * (F.month("ts") % 5)) | (F.hour("ts") % 7 == 3)
+    s = Series(T.bars(spark, d).withColumn("x", F.when(~missing, F.col("close"))))
+    return out(s, ema=I.ema(s, 10, "x"))
+
+
 @query("i3_atr", sql(f"""SELECT {K}, {r('b.tr', 6, 'tr')}, {r('e.y', 6, 'atr')} FROM tr b JOIN atr14 e
   ON b.symbol = e.symbol AND b.rn = e.rn""", "tr", "atr14"))
 def _(spark, d):

@@ -14,7 +14,9 @@ by the data.
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -34,12 +36,16 @@ def with_halo(
     ahead: int = 0,
     block_rows: int | None = None,
     period_seconds: int = DAY,
+    known: Sequence[Column] = (),
 ) -> DataFrame:
     """Rows of ``df`` plus their halo copies.
 
     Adds ``_block``, ``_own`` (true for the one original of each row) and ``_lo`` (rows of the
     series before this row's period). A block sees at least the ``back`` rows before its first
     row and the ``ahead`` rows after its last row.
+
+    ``known`` are conditions of which a block must see the last row before it where they hold, and the
+    ``back`` rows before that row, however far back it is. Rows between it and the halo may be absent.
     """
     keys = list(keys)
     size = block_rows or max(BLOCK_ROWS, 8 * back)
@@ -47,7 +53,7 @@ def with_halo(
     by_period = Window.partitionBy(*keys).orderBy(_P)
     layout = (
         rows.groupBy(*keys, _P)
-        .agg(F.count(F.lit(1)).alias("_n"))
+        .agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(c).alias(f"_k{i}") for i, c in enumerate(known)])
         .withColumn(_LO, F.sum("_n").over(by_period) - F.col("_n"))
         .withColumn("_mine", F.floor(F.col(_LO) / size).cast("long"))
     )
@@ -57,7 +63,28 @@ def with_halo(
     if ahead:
         near = F.min("_mine").over(by_period.rowsBetween(-ahead, -1))
         first = F.least(F.col("_mine"), F.coalesce(near, F.col("_mine")))
-    layout = layout.select(*keys, _P, _LO, "_mine", F.sequence(first, last).alias("_targets"))
+    targets = F.sequence(first, last)
+    if known and back:
+        # A period is needed up to the block of the first known period that begins ``back`` rows or more
+        # after it, if one nearer by is known: until then that one is the last known of the blocks. The
+        # windows run over the periods backwards.
+        part, end = Window.partitionBy(*keys), F.max("_mine").over(Window.partitionBy(*keys))
+        later = part.orderBy(-F.col(_LO))
+        beyond = later.rangeBetween(Window.unboundedPreceding, -back)
+        none = F.array().cast("array<bigint>")
+        far = []
+        layout = layout.withColumns({"_first": first, "_last": last})
+        for i in range(len(known)):
+            hit = F.when(F.col(f"_k{i}") > 0, F.col("_mine"))
+            layout = layout.withColumns({
+                f"_all{i}": F.count(hit).over(later.rowsBetween(Window.unboundedPreceding, 0)),
+                f"_far{i}": F.struct(F.count(hit).over(beyond).alias("n"), F.last(hit, ignorenulls=True).over(beyond).alias("block"))})
+            layout = layout.withColumn(f"_far{i}", F.lag(f"_far{i}").over(later))  # of the next period, which begins where this one ends
+            upto = F.greatest("_mine", F.coalesce(F.col(f"_far{i}.block"), end))
+            needed = F.col(f"_all{i}") > F.coalesce(F.col(f"_far{i}.n"), F.lit(0))
+            far.append(F.when(needed, F.sequence("_mine", upto)).otherwise(none))
+        targets = F.array_distinct(F.concat(F.sequence("_first", "_last"), *far))
+    layout = layout.select(*keys, _P, _LO, "_mine", targets.alias("_targets"))
     return (
         rows.join(layout, [*keys, _P])
         .withColumn(_BLK, F.explode("_targets"))
@@ -104,6 +131,8 @@ class Series:
         self._back = {c: 0 for c in df.columns} | {_RN: 0}
         self._ahead = dict(self._back)
         self._level = dict(self._back)
+        self._from: dict[str, frozenset[str]] = {c: frozenset([c]) for c in df.columns} | {_RN: frozenset()}
+        self._carried: list[str] = []  # inputs of recurrences
         self._steps: list[tuple[int, str, Callable[[Frame], Column]]] = []
 
     def add(
@@ -118,6 +147,7 @@ class Series:
         if name in self._level:
             return name
         self._level[name] = 1 + max((self._level[u] for u in uses), default=0)
+        self._from[name] = frozenset().union(*[self._from[u] for u in uses])
         self._back[name] = back + max((self._back[u] for u in uses), default=0)
         self._ahead[name] = ahead + max((self._ahead[u] for u in uses), default=0)
         fn = build if callable(build) and not isinstance(build, Column) else (lambda _f, c=build: c)
@@ -145,17 +175,24 @@ class Series:
 
         Nulls of x keep y and let the old weight decay, as weighted means over gaps do: a value d
         rows after the one before it weighs 1 - keep against keep**d. Nulls before the first value
-        stay null, and so do nulls more than four runs (see below) after the last value.
+        stay null.
 
         Rows are numbered along the whole series and cut into runs of ``b`` rows with
         keep**b near 1e-6. Inside a run y is one scaled running sum; older rows enter through the
-        ends of the three runs before it. What is left out weighs less than 1e-18.
+        ends of the three runs before it. What is left out weighs less than 1e-18. Behind a gap longer
+        than that the new value stands alone, so all that must cross such a gap is the value that is
+        held, which the last row with a value brings into every block (see :func:`with_halo`).
         """
         b = max(1, math.floor(math.log(1e6) / -math.log(keep)))
         run = F.floor((F.col(_RN) - 1) / b)
-        here, before = f"_{name}_at", f"_{name}_prev"
+        here, before, at = f"_{name}_at", f"_{name}_prev", f"_{name}_y"
         gap, steps, part = f"_{name}_gap", f"_{name}_steps", f"_{name}_run"
-        known = F.col(x).isNotNull()
+        reach = self._back[x]
+
+        def place(f: Frame) -> Column:
+            """The row number where x is known; rows without the rows that x looks back on do not count."""
+            whole = F.lag(_RN, reach).over(f.w) == F.col(_RN) - reach if reach else F.lit(True)
+            return F.when(F.col(x).isNotNull() & ((F.col(_RN) <= reach) | whole), F.col(_RN))
 
         def in_run(f: Frame) -> WindowSpec:
             return Window.partitionBy(*f.part, run).orderBy(*f.order).rowsBetween(Window.unboundedPreceding, 0)
@@ -174,24 +211,29 @@ class Series:
                 left = F.coalesce(factor(F.max(F.when(last, F.col(steps))).over(ago)), F.lit(1.0))
                 carry = end + left * carry
             y = F.coalesce(F.col(part), F.lit(0.0)) + factor(F.col(steps)) * carry
-            return F.when(F.coalesce(here, before).isNotNull(), y)
+            return F.when(F.col(here).isNotNull(), y)
 
-        self.add(here, F.when(known, F.col(_RN)), [x, _RN])
+        self._carried.append(x)
+        self.add(here, place, [x, _RN])
         self.add(before, lambda f: F.last(here, ignorenulls=True).over(
             f.w.rowsBetween(Window.unboundedPreceding, -1)), [here], back=4 * b)
         rows = F.col(_RN) - F.col(before)
         old = F.pow(F.lit(keep), rows)
-        # a step without gap is the factor ``keep`` itself, so that series without nulls stay exact
-        more = F.when(rows == 1, F.lit(0.0)).otherwise(F.log(old / (old + F.lit(1.0 - keep))) - F.lit(math.log(keep)))
-        follows = known & F.col(before).isNotNull()
-        self.add(gap, F.when(follows, more), [x, before])
+        # a step without gap is the factor ``keep`` itself, so that series without nulls stay exact; a
+        # gap so long that nothing is left counts as exp(-80)
+        more = F.when(rows == 1, F.lit(0.0)).otherwise(F.coalesce(F.greatest(
+            F.log(old / (old + F.lit(1.0 - keep))) - F.lit(math.log(keep)), F.lit(-80.0)), F.lit(-80.0)))
+        follows = F.col(here).isNotNull() & F.col(before).isNotNull()
+        self.add(gap, F.when(follows, more), [here, before])
         self.add(steps, lambda f: F.struct(
             F.count(gap).over(in_run(f)).alias("n"), F.coalesce(F.sum(gap).over(in_run(f)), F.lit(0.0)).alias("log")), [gap])
         weight = F.when(F.col(gap) == 0, F.lit(1.0 - keep)).otherwise(F.lit(1.0) - F.lit(keep) * F.exp(gap))
         weight = F.coalesce(weight, F.lit(1.0 if first is None else first))
-        self.add(part, lambda f: factor(F.col(steps)) * F.sum(
-            weight * F.col(x) * factor(F.col(steps), -1)).over(in_run(f)), [steps, x])
-        return self.add(name, joined, [part, steps])
+        self.add(part, lambda f: factor(F.col(steps)) * F.sum(F.when(
+            F.col(here).isNotNull(), weight * F.col(x) * factor(F.col(steps), -1))).over(in_run(f)), [steps, x])
+        self.add(at, joined, [part, steps])
+        return self.add(name, lambda f: F.last(at, ignorenulls=True).over(
+            f.w.rowsBetween(Window.unboundedPreceding, 0)), [at])
 
     def ema(self, name: str, x: str, span: int) -> str:
         """Exponential mean with smoothing 2 / (span + 1), seeded by the first value."""
@@ -202,12 +244,15 @@ class Series:
     def frame(self) -> DataFrame:
         """All source and declared columns, one row per source row."""
         back, ahead = max(self._back.values()), max(self._ahead.values())
+        sources = {self._from[x] for x in self._carried} - {frozenset()}
+        known = [functools.reduce(operator.and_, [F.col(c).isNotNull() for c in sorted(cols)]) for cols in sorted(sources, key=sorted)]
         df = with_halo(
-            self.df, self.keys, self.ts, back, ahead, self.block_rows, self.period_seconds
+            self.df, self.keys, self.ts, back, ahead, self.block_rows, self.period_seconds, known
         )
-        f = Frame(self.keys, [self.ts, *self.tie])
-        start = F.min(_LO).over(Window.partitionBy(*f.part))
-        df = df.withColumn(_RN, F.row_number().over(f.w) + start)
+        # periods may be missing between the rows shipped in, so rows are numbered from their period's start
+        f = Frame(self.keys, [_LO, self.ts, *self.tie])
+        period = F.rank().over(Window.partitionBy(*f.part).orderBy(_LO))
+        df = df.withColumn(_RN, F.row_number().over(f.w) - period + 1 + F.col(_LO))
         for level in sorted({s[0] for s in self._steps}):
             df = df.withColumns({n: fn(f) for lv, n, fn in self._steps if lv == level})
         return df.where(_OWN).drop(_OWN, _BLK, _LO)

@@ -216,6 +216,29 @@ def test_exponential_mean_over_gaps_equals_pandas(spark, span, block_rows):
     np.testing.assert_allclose(got, pd.Series(x).ewm(span=span, adjust=False).mean(), rtol=1e-9)
 
 
+@pytest.mark.parametrize("block_rows", [24, 500])
+def test_exponential_means_carry_over_any_gap(spark, block_rows):
+    rng = np.random.default_rng(4)
+    x = [np.nan] * 3
+    for gap in (1, 2, 7, 40, 130, 400, 1500, 10_000, 5, 90):
+        x += [*rng.normal(100, 5, int(rng.integers(1, 60))), *[np.nan] * gap]
+    x = np.array(x + [100.0] * 5)
+    rows = [("A", "1h", START + dt.timedelta(hours=i), None if np.isnan(v) else float(v), 1.0) for i, v in enumerate(x)]
+    b = spark.createDataFrame(rows, "symbol string, timeframe string, ts timestamp_ntz, x double, one double")
+    s = Series(b, block_rows=block_rows)
+    for span in (2, 14):
+        s.ema(f"y{span}", "x", span)
+    s.add("z", F.col("x") - F.col(s.lag("x")), ["x", s.lag("x")])  # looks back one row
+    s.ema("ez", "z", 3)
+    s.ema("eo", "one", 5)
+    got = s.select("y2", "y14", "ez", "eo").toPandas().sort_values("ts").astype({c: float for c in ("y2", "y14", "ez", "eo")})
+    p = pd.Series(x)
+    for name, want in (("y2", p.ewm(span=2, adjust=False).mean()), ("y14", p.ewm(span=14, adjust=False).mean()),
+                       ("ez", p.diff().ewm(span=3, adjust=False).mean())):
+        np.testing.assert_allclose(got[name], want, rtol=1e-9, atol=1e-9, err_msg=name)
+    assert len(got) == len(x) and np.allclose(got["eo"], 1.0)
+
+
 def test_trade_stats_edges(spark):
     none = spark.createDataFrame([], "pnl double")
     r = M.trade_stats(none).first()
