@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from barlattice.functions.exprs import MICROS, from_micros, half_even, micros, seconds_between
 from barlattice.plans.asof import asof
 from barlattice.plans.blocks import Series, running
-from barlattice.plans.fixpoint import scan
+from barlattice.plans.prefix import prefix_scan
 from barlattice.plans.salt import join_small
 
 KEYS = ["symbol", "timeframe"]
@@ -76,45 +76,84 @@ def range_bars(
     """
     size = ticks * tick_size
 
-    def step(rows: pd.DataFrame, state: dict | None, last: bool):
-        o, h, lo = rows["open"].to_numpy(), rows["high"].to_numpy(), rows["low"].to_numpy()
+    def closes(h, lo, c, begin: int, top: float, low: float):
+        """First row from ``begin`` on at which the bar closes (None if none), and its extremes there."""
+        width = 64
+        while True:
+            end = min(begin + width, len(c))
+            hh = np.maximum(top, np.maximum.accumulate(h[begin:end]))
+            ll = np.minimum(low, np.minimum.accumulate(lo[begin:end]))
+            hit = np.flatnonzero(hh - ll >= size)
+            if len(hit):
+                return begin + int(hit[0]), hh[hit[0]], ll[hit[0]]
+            if end == len(c):
+                return None, hh[-1] if len(hh) else top, ll[-1] if len(ll) else low
+            width *= 4
+
+    def summarise(rows: pd.DataFrame) -> dict:
+        """What the block does to the bar it is entered with.
+
+        That bar can only close where the block makes a new high or low, and does so before the block
+        alone spans the size. For each of these rows: the extremes up to it, and the bar that is open
+        at the end of the block if the first close is there. Bars that meet at a close stay together,
+        so each close is followed up once.
+        """
+        h, lo = rows["high"].to_numpy(), rows["low"].to_numpy()
+        c, v = rows["close"].to_numpy(), rows["volume"].to_numpy()
+        top, low = np.maximum.accumulate(h), np.minimum.accumulate(lo)
+        new = np.append(True, (np.diff(top) > 0) | (np.diff(low) < 0))
+        wide = np.flatnonzero(top - low >= size)
+        at = np.flatnonzero(new[:int(wide[0]) + 1] if len(wide) else new)
+        ends: dict[int, tuple] = {}
+        for first in at.tolist():
+            path, i = [], first
+            while i not in ends:
+                path.append(i)
+                nxt, hh, ll = closes(h, lo, c, i + 1, c[i], c[i])
+                if nxt is None:
+                    ends[i] = (c[i], hh, ll, float(v[i + 1:].sum()))
+                    break
+                i = nxt
+            for p in path:
+                ends[p] = ends[i]
+        left = np.array([ends[i] for i in at.tolist()])
+        return {"first": rows["open"].iloc[0], "top": top[-1], "low": low[-1], "volume": float(v.sum()),
+                "tops": top[at], "lows": low[at], **{f"end_{n}": left[:, j] for j, n in enumerate("ohlv")}}
+
+    def begin(first: pd.Series) -> dict:
+        return {"o": first["first"], "h": first["first"], "l": first["first"], "v": 0.0, "any": False}
+
+    def advance(held: dict, block: pd.Series) -> dict:
+        hit = np.flatnonzero(np.maximum(held["h"], block["tops"]) - np.minimum(held["l"], block["lows"]) >= size)
+        if len(hit):
+            return {n: block[f"end_{n}"][hit[0]] for n in "ohlv"} | {"any": True}
+        return {**held, "h": max(held["h"], block["top"]), "l": min(held["l"], block["low"]), "v": held["v"] + block["volume"]}
+
+    def run(rows: pd.DataFrame, state: dict, last: bool) -> pd.DataFrame:
+        h, lo = rows["high"].to_numpy(), rows["low"].to_numpy()
         c, v, ts = rows["close"].to_numpy(), rows["volume"].to_numpy(), rows["ts"].to_numpy()
-        if state is None:
-            state = {"o": o[0], "h": o[0], "l": o[0], "v": 0.0, "any": False}
         first, top, low, vol, any_bar = (state[k] for k in ("o", "h", "l", "v", "any"))
-        begin, out = 0, []
-        while begin < len(c):
-            # Extremes since the restart, searched with one vector pass per emitted bar.
-            width = 64
-            while True:
-                end = min(begin + width, len(c))
-                hh = np.maximum(top, np.maximum.accumulate(h[begin:end]))
-                ll = np.minimum(low, np.minimum.accumulate(lo[begin:end]))
-                hit = np.flatnonzero(hh - ll >= size)
-                if len(hit) or end == len(c):
-                    break
-                width *= 4
-            if not len(hit):
-                top, low, vol = hh[-1], ll[-1], vol + float(v[begin:].sum())
+        start, out = 0, []
+        while start < len(c):
+            at, hh, ll = closes(h, lo, c, start, top, low)
+            if at is None:
+                top, low, vol = hh, ll, vol + float(v[start:].sum())
                 break
-            at = begin + int(hit[0])
-            out.append((ts[at], first, hh[hit[0]], ll[hit[0]], c[at],
-                        vol + float(v[begin:at + 1].sum())))
+            out.append((ts[at], first, hh, ll, c[at], vol + float(v[start:at + 1].sum())))
             first = top = low = c[at]
-            vol, any_bar, begin = 0.0, True, at + 1
-        end_state = {"o": float(first), "h": float(top), "l": float(low), "v": float(vol),
-                     "any": bool(any_bar)}
+            vol, any_bar, start = 0.0, True, at + 1
         if last and vol > 0 and any_bar and not (out and out[-1][0] == ts[-1]):
             out.append((ts[-1], first, top, low, c[-1], vol))
         made = pd.DataFrame(out, columns=["ts", "open", "high", "low", "close", "volume"])
         for k in reversed(KEYS):
             made.insert(0, k, rows[k].iloc[0])
-        return made, end_state
+        return made
 
     cols = [*KEYS, "ts", "open", "high", "low", "close", "volume"]
-    return scan(
-        bars.select(*cols), KEYS, "ts", step,
-        "o double,h double,l double,v double,any boolean",
+    arrays = ", ".join(f"{n} array<double>" for n in ("tops", "lows", "end_o", "end_h", "end_l", "end_v"))
+    return prefix_scan(
+        bars.select(*cols), KEYS, "ts", summarise, f"first double, top double, low double, volume double, {arrays}",
+        begin, advance, "o double, h double, l double, v double, any boolean", run,
         "symbol string, timeframe string, ts timestamp_ntz, open double, high double, low double, "
         "close double, volume double",
         block_rows,

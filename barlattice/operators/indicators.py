@@ -7,17 +7,18 @@ a mean share the work. Windows with fewer rows than asked give null unless state
 from __future__ import annotations
 
 import math
+from functools import partial
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barlattice.functions import kalman
 from barlattice.functions.exprs import falsy, over_zero, truthy
 from barlattice.functions.probability import adf_pvalue
 from barlattice.operators.bars import daily_close, slow_last
 from barlattice.plans.asof import asof
 from barlattice.plans.blocks import Series
-from barlattice.plans.fixpoint import scan
+from barlattice.plans.prefix import prefix_scan
 from barlattice.plans.salt import join_small
 
 EPS = 1e-9
@@ -193,31 +194,12 @@ def kalman_beta(
     both = x.select("pair_id", "ts", F.col("close").cast("double").alias("x")).join(
         y.select("pair_id", "ts", F.col("close").cast("double").alias("y")), ["pair_id", "ts"]
     )
-    first = both.groupBy("pair_id").agg(F.min_by("x", "ts").alias("_f"))
+    first = both.groupBy("pair_id").agg(F.min_by("x", "ts").alias("_f"), F.min("ts").alias("_start"))
     scaled = join_small(both, first, ["pair_id"]).withColumn("_f", F.when(F.col("_f") == 0, 1.0).otherwise(F.col("_f")))
 
-    def step(rows: pd.DataFrame, state: dict | None, last: bool):
-        a, b, p, c, d = (0.0, 1.0, 1.0, 0.0, 1.0) if state is None else (
-            state["a"], state["b"], state["p"], state["c"], state["d"])
-        before = None if state is None else b
-        xs = (rows["x"] / rows["_f"]).tolist()
-        ys = (rows["y"] / rows["_f"]).tolist()
-        out = []
-        for xi, yi in zip(xs, ys):
-            out.append(before)
-            # Covariance [[p, c], [c, d]] stays symmetric, so three numbers carry it.
-            p, d = p + q_var, d + q_var
-            u, v = p + xi * c, c + xi * d
-            gain = u + xi * v + r_var
-            err = yi - a - b * xi
-            a, b = a + u * err / gain, b + v * err / gain
-            p, c, d = p - u * u / gain, c - u * v / gain, d - v * v / gain
-            before = b
-        made = rows[["pair_id", "ts"]].assign(beta=pd.Series(out, index=rows.index, dtype="float64"))
-        return made, {"a": a, "b": b, "p": p, "c": c, "d": d}
-
-    return scan(
-        scaled, ["pair_id"], "ts", step, "a double,b double,p double,c double,d double",
+    return prefix_scan(
+        scaled, ["pair_id"], "ts", partial(kalman.summarise, q_var=q_var, r_var=r_var), kalman.SUMMARY,
+        kalman.begin, kalman.advance, kalman.STATE, partial(kalman.run, q_var=q_var, r_var=r_var),
         "pair_id string, ts timestamp_ntz, beta double", block_rows,
     )
 

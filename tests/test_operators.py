@@ -95,6 +95,43 @@ def test_range_bars_equal_loop(bars, bars_pdf, block_rows):
         np.testing.assert_allclose(got[c], want[c], err_msg=c)
 
 
+def test_range_bars_without_a_close_and_in_a_trend(spark):
+    """Blocks that close no bar, bars that span many blocks, and blocks in which every row makes a new high."""
+    n = 3000
+    rng = np.random.default_rng(2)
+    quiet = 100 + 0.2 * np.sin(np.arange(n))
+    quiet[-1] = 160.0  # the only close, at the very end
+    frames = []
+    for s, c in (("Q", quiet), ("T", 100 + 0.01 * np.arange(n)), ("W", 100 + np.cumsum(rng.normal(0, 0.6, n)))):
+        frames.append(pd.DataFrame({"symbol": s, "timeframe": "1h", "ts": [START + dt.timedelta(hours=i) for i in range(n)],
+                                    "open": c, "high": c, "low": c, "close": c, "volume": 1.0, "average": c, "contract": "x"}))
+    pdf = pd.concat(frames, ignore_index=True)
+    b = to_spark(spark, pdf)
+    got = {k: B.range_bars(b, 700, 0.01, k).toPandas().sort_values(["symbol", "ts"]).reset_index(drop=True) for k in (30, 10**6)}
+    pd.testing.assert_frame_equal(got[30], got[10**6])
+    assert got[30].groupby("symbol").size().to_dict()["Q"] == 1 and (got[30].symbol == "W").sum() > 20
+
+
+def test_kalman_over_many_blocks(spark):
+    rng = np.random.default_rng(6)
+    n = 5000
+    x = 50 + np.cumsum(rng.normal(0, 0.3, n))
+    y = 3 + np.linspace(0.5, 2.5, n) * x + rng.normal(0, 1, n)
+    rows = [START + dt.timedelta(minutes=i) for i in range(n)]
+    fx, fy = (spark.createDataFrame([("p", t, float(v)) for t, v in zip(rows, z)], "pair_id string, ts timestamp_ntz, close double") for z in (x, y))
+    got = {k: I.kalman_beta(fx, fy, block_rows=k).toPandas().sort_values("ts")["beta"].to_numpy() for k in (200, 10**6)}
+    a, b, p, c, d = 0.0, 1.0, 1.0, 0.0, 1.0
+    want = [np.nan]
+    for xi, yi in zip(x / x[0], y / x[0]):
+        p, d = p + 1e-5, d + 1e-5
+        u, v = p + xi * c, c + xi * d
+        g, e = u + xi * v + 0.1, yi - a - b * xi
+        a, b, p, c, d = a + u * e / g, b + v * e / g, p - u * u / g, c - u * v / g, d - v * v / g
+        want.append(b)
+    for k in got:
+        np.testing.assert_allclose(got[k], want[:-1], rtol=1e-9)
+
+
 @pytest.mark.parametrize("block_rows", [25, None])
 def test_kalman_equals_loop(spark, bars_pdf, block_rows):
     a, b = (bars_pdf[bars_pdf.symbol == s][["ts", "close"]] for s in ("A", "B"))
