@@ -12,6 +12,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,38 +121,26 @@ _ADF_SMALL = [0.038269, 1.4412, 2.1659]
 _ADF_LARGE = [-0.010368, -0.12745, 0.93202, 1.7339]
 
 
-def adf_p_np(tau: np.ndarray) -> np.ndarray:
-    tau = np.asarray(tau, dtype=float)
-    z = np.where(tau <= _ADF_STAR, np.polyval(_ADF_SMALL, tau), np.polyval(_ADF_LARGE, tau))
-    p = norm_cdf_np(np.where(np.isnan(z), 0.0, z))
-    p = np.where(tau > _ADF_MAX, 1.0, np.where(tau < _ADF_MIN, 0.0, p))
-    return np.where(np.isnan(tau), np.nan, p)
-
-
-def adf_tau_np(window: np.ndarray) -> np.ndarray:
-    """t statistic of the lagged level in rows of equal length, one lagged difference, constant."""
-    y = np.asarray(window, dtype=float)
-    dy = np.diff(y, axis=1)
-    lhs = dy[:, 1:]
-    x = np.stack([y[:, 1:-1], dy[:, :-1], np.ones_like(lhs)], axis=2)
-    n, k = x.shape[1], 3
-    # Centre the level column so the normal equations stay well conditioned.
-    x[:, :, 0] -= x[:, :, 0].mean(axis=1, keepdims=True)
-    xtx = np.einsum("rni,rnj->rij", x, x)
-    xty = np.einsum("rni,rn->ri", x, lhs)
-    out = np.full(y.shape[0], np.nan)
-    det = np.linalg.det(xtx)
-    ok = np.isfinite(det) & (np.abs(det) > 0.0)
-    if ok.any():
-        inv = np.linalg.inv(xtx[ok])
-        beta = np.einsum("rij,rj->ri", inv, xty[ok])
-        res = lhs[ok] - np.einsum("rni,ri->rn", x[ok], beta)
-        s2 = (res * res).sum(axis=1) / (n - k)
-        with np.errstate(all="ignore"):
-            out[ok] = beta[:, 0] / np.sqrt(s2 * inv[:, 0, 0])
+def normal_cdf(z: Column) -> Column:
+    """Normal distribution function in column arithmetic: its power series, to double precision."""
+    x = F.least(F.greatest(z, F.lit(-8.0)), F.lit(8.0))
+    series = F.aggregate(F.sequence(F.lit(100), F.lit(1), F.lit(-1)), F.lit(1.0), lambda held, k: 1.0 + held * x * x / (2 * k + 1))
+    return F.lit(0.5) + x * F.exp(-x * x / 2) / F.lit(math.sqrt(2 * math.pi)) * series
+
+
+def _polynomial(coefficients: list[float], x: Column) -> Column:
+    out = F.lit(0.0)
+    for c in coefficients:
+        out = out * x + F.lit(c)
     return out
 
 
+def adf_p(tau: Column) -> Column:
+    """p-value of the unit-root statistic with a constant, in column arithmetic."""
+    z = F.when(tau <= _ADF_STAR, _polynomial(_ADF_SMALL, tau)).otherwise(_polynomial(_ADF_LARGE, tau))
+    return F.when(tau > _ADF_MAX, 1.0).when(tau < _ADF_MIN, 0.0).when(tau.isNotNull(), normal_cdf(z))
+
+
 def _null(values: np.ndarray) -> pd.Series:
     return pd.Series(values, dtype="float64").where(~np.isnan(values), None)
 
@@ -174,13 +163,3 @@ def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
             t.to_numpy(dtype=float, na_value=np.nan), df.to_numpy(dtype=float, na_value=np.nan)
         )
     )
-
-
-@F.pandas_udf(T.DoubleType())
-def adf_pvalue(windows: pd.Series) -> pd.Series:
-    """p-value per row of an equally long window array; null arrays give null."""
-    out = np.full(len(windows), np.nan)
-    ok = windows.notna().to_numpy()
-    if ok.any():
-        out[ok] = adf_p_np(adf_tau_np(np.stack(windows[ok].to_list())))
-    return _null(out)

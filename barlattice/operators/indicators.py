@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from barlattice.functions import kalman
 from barlattice.functions.exprs import falsy, over_zero, truthy
-from barlattice.functions.probability import adf_pvalue
+from barlattice.functions.order_stats import rolling_quantile, rolling_rank
+from barlattice.functions.probability import adf_p
 from barlattice.operators.bars import daily_close, slow_last
 from barlattice.plans.asof import asof
 from barlattice.plans.blocks import Series
@@ -54,18 +55,8 @@ def atr(s: Series, span: int = 14) -> str:
 def vol_percentile(s: Series, regime: int, history: int) -> str:
     """Percent rank of the current close deviation among the last ``history`` deviations."""
     vol = s.roll(f"_vol_{regime}", F.stddev_samp("close"), ["close"], regime, regime // 2)
-
-    def rank(f) -> Column:
-        w = f.rows(history)
-        seen = F.collect_list(vol).over(w)
-        below = F.aggregate(
-            seen, F.lit(0.0),
-            lambda acc, x: acc + F.when(x < F.col(vol), 1.0).when(x == F.col(vol), 0.5).otherwise(0.0),
-        )
-        n = F.size(seen)
-        return F.when((n >= max(1, history // 2)) & F.col(vol).isNotNull(), (below + 0.5) / n)
-
-    return s.add(f"vol_pct_{regime}_{history}", rank, [vol], back=history - 1)
+    rank = partial(rolling_rank, n=history, need=max(1, history // 2))
+    return s.arrays(f"vol_pct_{regime}_{history}", rank, [vol], back=history - 1)
 
 
 def vol_regime(
@@ -162,17 +153,37 @@ def half_life(
     return out, ok
 
 
+def unit_root_tau(s: Series, n: int, x: str = "close") -> str:
+    """t statistic of the lagged level over the ``n`` values before each row, one lagged difference, constant.
+
+    The regression of the change d on the level l and the change z before it needs no more than the six
+    rolling (co)variances, so it is solved in column arithmetic. Null where a value is missing, the
+    window is flat or the line fits exactly.
+    """
+    level = s.lag(x)
+    d = s.add(f"_ur_d_{x}", F.col(x) - F.col(level), [x, level])
+    z = s.lag(d)
+    rows = n - 2
+
+    def solved(f) -> Column:
+        w = f.between(-rows, -1)
+        ll, lz, zz, ld, zd, dd = (F.covar_pop(a, b).over(w) * rows for a, b in (
+            (level, level), (level, z), (z, z), (level, d), (z, d), (d, d)))
+        det = F.nullif(ll * zz - lz * lz, F.lit(0.0))
+        slope, other = (zz * ld - lz * zd) / det, (ll * zd - lz * ld) / det
+        variance = (dd - slope * ld - other * zd) / F.lit(rows - 3) * zz / det
+        return F.when((F.count(z).over(w) == rows) & (F.count(d).over(w) == rows) & (variance > 0), slope / F.sqrt(variance))
+
+    return s.add(f"_ur_tau_{x}_{n}", solved, [level, d, z], back=rows)
+
+
 def adf(
     bars: DataFrame, n: int = 72, seconds: int = 3600, max_p: float = 0.05,
     block_rows: int | None = None,
 ) -> DataFrame:
     """Bars with the previous bar's unit-root p-value of a slower close series, and the gate."""
     slow = Series(slow_last(bars, "close", seconds), ts="slow_ts", block_rows=block_rows)
-    slow.add("_win", lambda f: F.collect_list("close").over(f.between(-n, -1)), ["close"], back=n)
-    p = slow.frame().select(
-        *KEYS, "slow_ts",
-        adf_pvalue(F.when(F.size("_win") == n, F.col("_win"))).alias("_p"),
-    )
+    p = slow.select(adf_p(F.col(unit_root_tau(slow, n))).alias("_p"))
     s = Series(asof(bars, p, KEYS, "ts", "slow_ts", {"_p": "_p"}), block_rows=block_rows)
     s.lag("_p")
     return (
@@ -335,7 +346,7 @@ def compression(
     """Width at or below its rolling quantile, such a bar within memory, and width growing now."""
     need = min(lookback, max(5, lookback // 2))
     tag = f"{width}_{lookback}_{q}".replace(".", "_")
-    limit = s.roll(f"_lim_{tag}", F.percentile(width, F.lit(q)), [width], lookback, need)
+    limit = s.arrays(f"_lim_{tag}", partial(rolling_quantile, n=lookback, need=need, q=q), [width], back=lookback - 1)
     tight = s.add(f"_tight_{tag}", falsy(F.col(width) <= F.col(limit)), [width, limit])
     recent = s.add(
         f"_recent_{tag}_{memory}",

@@ -9,10 +9,14 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barlattice.functions.exprs import DAY, MICROS, finite, loss, micros, over_zero
+from barlattice.functions.order_stats import rolling_tail
 from barlattice.operators.pnl import (
     daily_equity, period_label, spine, tail_columns, tail_stats, with_daily_change, with_tails,
 )
@@ -78,30 +82,33 @@ def _need(n: int) -> int:
     return min(n, max(n // 2, 5))
 
 
-def _at_most(values: str, limit: Column) -> Column:
-    return F.filter(values, lambda x: x <= limit)
-
-
 def rolling_var_es(
     daily: DataFrame, n: int, primary: float, tail: float, keys: Sequence[str] = ("stream",)
 ) -> DataFrame:
-    """Rolling historical VaR, ES and breach flags of daily PnL."""
-    w = _window(keys, n)
-    enough = F.count("pnl").over(w) >= _need(n)
-    out = daily.where(F.col("pnl").isNotNull()).withColumns({
-        "_seen": F.when(enough, F.collect_list("pnl").over(w)),
-        **{f"_q_{k}": F.when(enough, F.percentile("pnl", F.lit(round(1.0 - c, 12))).over(w))
-           for k, c in (("primary", primary), ("tail", tail))},
-    })
+    """Rolling historical VaR, ES and breach flags of daily PnL.
+
+    The days of a stream are one task, as in all daily tables; the window is asked for order statistics
+    and sums, so its length does not matter.
+    """
+    levels = {"primary": primary, "tail": tail}
+    made = T.StructType([*daily.schema.fields, *[T.StructField(f"_{x}_{k}", T.DoubleType()) for k in levels for x in ("q", "es")]])
+
+    def tails(days: pa.Table) -> pa.Table:
+        days = days.sort_by("day")
+        pnl = np.asarray(days.column("pnl").cast(pa.float64()).to_numpy(), float)
+        found = rolling_tail(pnl, n, _need(n), [round(1.0 - c, 12) for c in levels.values()])
+        for k, pair in zip(levels, found):
+            for x, values in zip(("q", "es"), pair):
+                days = days.append_column(f"_{x}_{k}", pa.array(values, pa.float64(), mask=np.isnan(values)))
+        return days
+
+    out = daily.where(F.col("pnl").isNotNull()).groupBy(*keys).applyInArrow(tails, made)
     cols: dict[str, Column] = {}
-    for k in ("primary", "tail"):
-        q = F.col(f"_q_{k}")
-        low = _at_most("_seen", q)
-        total = F.aggregate(low, F.lit(0.0), lambda a, x: a + x)
-        cols[f"var_{k}"] = loss(q)
-        cols[f"es_{k}"] = loss(total / F.nullif(F.size(low), F.lit(0)))
-        cols[f"breach_{k}"] = F.coalesce(F.col("pnl") <= -loss(q), F.lit(False))
-    return out.withColumns(cols).drop("_seen", "_q_primary", "_q_tail")
+    for k in levels:
+        cols[f"var_{k}"] = loss(F.col(f"_q_{k}"))
+        cols[f"es_{k}"] = loss(F.col(f"_es_{k}"))
+        cols[f"breach_{k}"] = F.coalesce(F.col("pnl") <= -loss(F.col(f"_q_{k}")), F.lit(False))
+    return out.withColumns(cols).drop(*[f"_{x}_{k}" for k in levels for x in ("q", "es")])
 
 
 def _rolling_vol_columns(windows: Sequence[int], keys: Sequence[str]) -> dict[str, Column]:

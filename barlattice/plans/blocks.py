@@ -19,8 +19,11 @@ import math
 import operator
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barlattice.functions.exprs import DAY, period_of
 
@@ -134,6 +137,7 @@ class Series:
         self._from: dict[str, frozenset[str]] = {c: frozenset([c]) for c in df.columns} | {_RN: frozenset()}
         self._carried: list[str] = []  # inputs of recurrences
         self._steps: list[tuple[int, str, Callable[[Frame], Column]]] = []
+        self._arrays: list[tuple[int, str, Callable[..., np.ndarray], list[str]]] = []
 
     def add(
         self,
@@ -154,6 +158,17 @@ class Series:
         self._steps.append((self._level[name], name, fn))
         return name
 
+    def arrays(self, name: str, fn: Callable[..., np.ndarray], uses: Sequence[str], back: int = 0) -> str:
+        """Declare a double column that ``fn`` makes from the columns ``uses`` of a whole block.
+
+        For what no window expression does well. Columns are float arrays in row order, NaN for null.
+        """
+        if name not in self._level:
+            self.add(name, F.lit(None), uses, back)
+            level = self._steps.pop()[0]
+            self._arrays.append((level, name, fn, list(uses)))
+        return name
+
     def lag(self, x: str, n: int = 1) -> str:
         return self.add(f"_{x}_lag{n}", lambda f: F.lag(x, n).over(f.w), [x], back=n)
 
@@ -253,8 +268,11 @@ class Series:
         f = Frame(self.keys, [_LO, self.ts, *self.tie])
         period = F.rank().over(Window.partitionBy(*f.part).orderBy(_LO))
         df = df.withColumn(_RN, F.row_number().over(f.w) - period + 1 + F.col(_LO))
-        for level in sorted({s[0] for s in self._steps}):
+        for level in sorted({s[0] for s in (*self._steps, *self._arrays)}):
             df = df.withColumns({n: fn(f) for lv, n, fn in self._steps if lv == level})
+            made = [a[1:] for a in self._arrays if a[0] == level]
+            if made:
+                df = _with_arrays(df, f.part, made)
         return df.where(_OWN).drop(_OWN, _BLK, _LO)
 
     def select(self, *columns: str | Column) -> DataFrame:
@@ -262,6 +280,21 @@ class Series:
         return self.frame().select(*self.keys, self.ts, *columns)
 
 
+def _with_arrays(df: DataFrame, part: Sequence[str], made: Sequence[tuple]) -> DataFrame:
+    """``df`` with columns of doubles that numpy functions make from the rows of each block."""
+    schema = T.StructType([*df.schema.fields, *[T.StructField(name, T.DoubleType()) for name, _, _ in made]])
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.sort_by(_RN)
+        for name, fn, uses in made:
+            given = [np.asarray(block.column(u).cast(pa.float64()).to_numpy(), float) for u in uses]
+            out = fn(*given)
+            block = block.append_column(name, pa.array(out, pa.float64(), mask=np.isnan(out)))
+        return block
+
+    return df.groupBy(*part).applyInArrow(run, schema)
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],

@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from barlattice.functions import order_stats as OS
 from barlattice.functions import probability as PR
 from barlattice.plans.blocks import Series
 from barlattice.operators import attribution as A
@@ -151,20 +152,76 @@ def test_kalman_equals_loop(spark, bars_pdf, block_rows):
     np.testing.assert_allclose(got, want[:-1], rtol=1e-9)
 
 
-def test_unit_root_statistic_equals_least_squares():
+@pytest.mark.parametrize("block_rows", [30, None])
+def test_unit_root_statistic_equals_least_squares(spark, block_rows):
     rng = np.random.default_rng(0)
-    y = np.cumsum(rng.normal(size=(4, 60)), axis=1) + 500
-    got = PR.adf_tau_np(y)
-    for k in range(4):
-        dy = np.diff(y[k])
-        x = np.column_stack([y[k][1:-1], dy[:-1], np.ones(len(dy) - 1)])
+    y = np.cumsum(rng.normal(size=260)) + 500
+    y[100:175] = 480.0  # flat
+    rows = [("A", "1h", START + dt.timedelta(hours=i), None if i == 220 else float(v)) for i, v in enumerate(y)]
+    s = Series(spark.createDataFrame(rows, "symbol string, timeframe string, ts timestamp_ntz, close double"), block_rows=block_rows)
+    got = s.select(F.col(I.unit_root_tau(s, 60)).alias("tau")).toPandas().sort_values("ts")["tau"].astype(float).to_numpy()
+    seen = 0
+    for i in range(len(y)):
+        w = y[max(0, i - 60):i]
+        if len(w) < 60 or i - 60 <= 220 < i or len(set(w)) == 1:
+            assert np.isnan(got[i]), i
+            continue
+        dy = np.diff(w)
+        x = np.column_stack([w[1:-1], dy[:-1], np.ones(len(dy) - 1)])
         beta, *_ = np.linalg.lstsq(x, dy[1:], rcond=None)
         res = dy[1:] - x @ beta
         s2 = res @ res / (len(res) - 3)
-        se = math.sqrt(s2 * np.linalg.inv(x.T @ x)[0, 0])
-        assert got[k] == pytest.approx(beta[0] / se, rel=1e-6)
+        if res @ res < 1e-9 or np.linalg.matrix_rank(x) < 3:  # fits exactly, or flat but for its end: no statistic
+            continue
+        want = beta[0] / math.sqrt(s2 * np.linalg.inv(x.T @ x)[0, 0])
+        assert got[i] == pytest.approx(want, rel=1e-5), i
+        seen += 1
+    assert seen > 100
+    p = spark.createDataFrame([(-2.86,), (-3.43,), (None,), (3.0,), (-19.0,)], "t double").select(PR.adf_p(F.col("t")).alias("p"))
+    have = [r.p for r in p.collect()]
     # Published 5% and 1% points of the constant-only test.
-    np.testing.assert_allclose(PR.adf_p_np([-2.86, -3.43]), [0.05, 0.01], atol=2e-3)
+    np.testing.assert_allclose(have[:2], [0.05, 0.01], atol=2e-3)
+    assert have[2:] == [None, 1.0, 0.0]
+    z = spark.range(161).select(((F.col("id") - 80) / 10.0).alias("z")).select("z", PR.normal_cdf(F.col("z")).alias("p")).toPandas()
+    np.testing.assert_allclose(z["p"], [0.5 * math.erfc(-v / math.sqrt(2)) for v in z["z"]], atol=1e-14)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 64, 65, 300])
+def test_order_statistics_of_windows(n):
+    rng = np.random.default_rng(n)
+    x = np.round(rng.normal(size=n), 1)
+    x[1::5] = np.nan
+    for width in (1, 2, 5, 40, 500):
+        rank = OS.rolling_rank(x, width, 1)
+        quantile = OS.rolling_quantile(x, width, 2, 0.3)
+        tails = OS.rolling_tail(x, width, 1, [0.05, 0.5])
+        for i in range(n):
+            seen = x[max(0, i - width + 1):i + 1]
+            seen = seen[~np.isnan(seen)]
+            want = ((seen < x[i]).sum() + 0.5 * (seen == x[i]).sum() + 0.5) / len(seen) if not np.isnan(x[i]) else np.nan
+            assert rank[i] == pytest.approx(want, nan_ok=True)
+            assert quantile[i] == pytest.approx(np.quantile(seen, 0.3) if len(seen) > 1 else np.nan, nan_ok=True)
+            for q, (limit, mean) in zip((0.05, 0.5), tails):
+                cut = np.quantile(seen, q) if len(seen) else np.nan
+                assert limit[i] == pytest.approx(cut, nan_ok=True)
+                assert not len(seen) or not (seen <= limit[i]).any() or mean[i] == pytest.approx(seen[seen <= limit[i]].mean())
+
+
+@pytest.mark.parametrize("history, block_rows", [(500, 100), (500, None), (5000, None)])
+def test_volatility_percentile_at_long_histories(spark, history, block_rows):
+    rng = np.random.default_rng(3)
+    c = np.round(100 + np.cumsum(rng.normal(size=7000)), 1)
+    rows = [("A", "1h", START + dt.timedelta(hours=i), float(v)) for i, v in enumerate(c)]
+    s = Series(spark.createDataFrame(rows, "symbol string, timeframe string, ts timestamp_ntz, close double"), block_rows=block_rows)
+    name = I.vol_percentile(s, 10, history)
+    got = s.select(F.col(name).alias("p"), "_vol_10").toPandas().sort_values("ts")
+    vol = got["_vol_10"].astype(float).to_numpy()
+    have = got["p"].astype(float).to_numpy()
+    for i in [*range(0, 400, 7), *range(400, 7000, 211)]:
+        seen = vol[max(0, i - history + 1):i + 1]
+        seen = seen[~np.isnan(seen)]
+        want = ((seen < vol[i]).sum() + 0.5 * (seen == vol[i]).sum() + 0.5) / len(seen) if len(seen) >= history // 2 else np.nan
+        assert have[i] == pytest.approx(want, nan_ok=True), i
 
 
 def test_distribution_functions():
