@@ -169,6 +169,16 @@ def _(spark, d):
     return sizes.select("symbol", "timeframe", ((F.col("size_mb") > 0) & (F.col("size_mb") < 0.1 + F.col("bars") / 1000)).alias("sized"))
 
 
+@query("s5_inventory_sizes")
+def _(spark, d):
+    """The sizes themselves, next to what the inventory says of each saved series; they depend on the writer, so there is no SQL."""
+    root = scratch(spark)
+    S.save(both(spark, d), root)
+    bars = S.read(spark, root).groupBy("symbol", "timeframe").agg(
+        F.count(F.lit(1)).alias("bars"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return S.file_sizes(spark, root).join(bars, ["symbol", "timeframe"])
+
+
 @query("s12_portfolio_artifacts", sql(f"""
   SELECT 'strategy_pnl_daily' AS artifact, CAST(slot_id AS VARCHAR) AS item, CAST(ts AS DATE) AS day, {r("arg_max(cum_pnl, ts)", 4, "value")} FROM slot_hist GROUP BY 2, 3
   UNION ALL SELECT 'instrument_closes', symbol, CAST(ts AS DATE), {r('arg_max(close, ts)', 4)} FROM bars GROUP BY 2, 3""", "slot_hist", "bars"))
@@ -225,6 +235,15 @@ def _(spark, d):
             .agg(F.max("series").alias("series"), F.length(one).alias("digest_chars"), (one == two).alias("same"), (one != other).alias("differs")))
 
 
+@query("s18_digest")
+def _(spark, d):
+    """The digest of a saved lake with what it is made from; it depends on file times, so there is no SQL."""
+    root = scratch(spark)
+    S.save(both(spark, d), root)
+    marks = S.file_marks(spark, root)
+    return marks.withColumn("data_version", S.data_version(marks).scalar())
+
+
 @query("s19_json_safe", sql(f"""SELECT strategy, CASE WHEN w > 0 AND l = 0 THEN NULL ELSE {r('w / nullif(l, 0)', 6)} END AS profit_factor, n AS total_trades, strftime(first_day, '%Y-%m-%d') AS first_day
   FROM (SELECT l_suppkey AS strategy, count(*) AS n, coalesce(sum(x) FILTER (x > 0), 0) AS w, abs(coalesce(sum(x) FILTER (x <= 0), 0)) AS l, CAST(min(l_shipdate) AS DATE) AS first_day
     FROM (SELECT *, l_extendedprice * (0.0999::DOUBLE - l_discount) AS x FROM lineitem) GROUP BY 1)"""))

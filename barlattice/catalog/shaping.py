@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlattice.catalog.core import ema_cte, query, r, sql
+from barlattice.catalog.core import SQL, ema_cte, query, r, sql
 from barlattice.functions.exprs import rd
 from barlattice.operators import bars as B
+from barlattice.plans.lineage import settle
 from barlattice.sources import tables as T
 
 OHLC = ["open", "high", "low", "close"]
@@ -16,12 +20,6 @@ def rounded(df, digits, *cols):
     return df.withColumns({c: rd(c, digits) for c in cols})
 
 
-@query("b1_build_dispatch", sql("""
-  SELECT symbol, timeframe, ts, open, high, low, close, volume FROM bars""", "bars"))
-def _(spark, d):
-    return B.build(T.bars(spark, d), "volume", 0.0).select("symbol", "timeframe", "ts", *OHLC, "volume")
-
-
 HA_IN = """SELECT *, coalesce(lag(hc) OVER (PARTITION BY symbol ORDER BY rn), open) AS x
   FROM (SELECT *, (open + high + low + close) / 4 AS hc FROM bars)"""
 
@@ -60,6 +58,25 @@ def _(spark, d):
     return B.range_bars(T.bars(spark, d, "5m"), 20000.0, 0.01)
 
 
+TYPES = {"time": None, "heikin_ashi": None, "volume": 1000.0, "range": 200.0, "unheard_of": 5.0}
+COLS = ", ".join(["symbol", "timeframe", "ts", *OHLC, "volume"])
+
+
+def rounded_sql(src):
+    return f"SELECT symbol, timeframe, ts, {', '.join(r(c, 6, c) for c in OHLC)}, volume FROM ({src})"
+
+
+# Each type through the one entry point; a type that is not known leaves the bars as they are.
+@query("b1_build_dispatch", " UNION ALL ".join(f"SELECT '{t}' AS bar_type, {COLS} FROM ({rounded_sql(q)})" for t, q in {
+    "time": sql("SELECT * FROM bars5", "bars5"), "heikin_ashi": SQL["b2_heikin_ashi"],
+    "volume": SQL["b3_volume_bars"], "range": SQL["b4_range_bars"], "unheard_of": sql("SELECT * FROM bars", "bars")}.items()))
+def _(spark, d):
+    hours, minutes = settle(T.bars(spark, d)), settle(T.bars(spark, d, "5m"))
+    made = [B.build(minutes if t in ("time", "range") else hours, t, size or 0.0).withColumn("bar_type", F.lit(t)) for t, size in TYPES.items()]
+    every = [rounded(x.select("bar_type", "symbol", "timeframe", "ts", *OHLC, F.col("volume").cast("double").alias("volume")), 6, *OHLC) for x in made]
+    return reduce(DataFrame.unionByName, every)
+
+
 def contracts(spark, d):
     return T.bars(spark, d).groupBy("symbol", "contract").agg(F.to_date(F.max("ts")).alias("expiry"))
 

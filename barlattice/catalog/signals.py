@@ -8,6 +8,7 @@ from barlattice.catalog.core import CTES, ema_cte, query, r, sql
 from barlattice.catalog.indicators import BB, FRACTAL, KC, LEVELS, LINE, REGIME, SHOCK, VOL, VR, full, squeeze_sql
 from barlattice.functions.exprs import rd
 from barlattice.operators import brackets as X
+from barlattice.operators import indicators as I
 from barlattice.operators import signals as G
 from barlattice.sources import tables as T
 from barlattice.plans.lineage import settle
@@ -366,3 +367,33 @@ def _(spark, d):
     return trades(settle(T.bars(spark, d)), "bollinger_squeeze_breakout", dict(
         squeeze_lookback=60, squeeze_quantile=0.35, width_expansion_factor=1.01, breakout_volume_ratio=1.0,
         shock_max_gap_atr=2.5, trade_direction="both"))
+
+
+# A rule of a user's own, registered as any other: crossings of the close and its mean, with a bracket in percent.
+def crossing(s, p):
+    mean, close = I.sma(s, p["window"]), F.col("close")
+    was = s.add(f"_was_above_{p['window']}", F.col(s.lag("close")) > F.col(s.lag(mean)), [s.lag("close"), s.lag(mean)])
+    above = close > F.col(mean)
+    side = F.when(above & ~F.col(was), 1).when((close < F.col(mean)) & F.col(was), -1).otherwise(0)
+    return G.Rule(side, "MARKET", "GTC", F.lit(None).cast("double"), close * (1 - side * p["stop"]), close * (1 + side * p["target"]))
+
+
+CROSSING = [dict(window=10), dict(window=25, stop=0.2, target=0.1)]
+
+
+def crossing_sql(n, stop, target):
+    return f"""SELECT *, close * (1 - side * {stop}::DOUBLE) AS stop, close * (1 + side * {target}::DOUBLE) AS target FROM (
+      SELECT *, CASE WHEN close > m AND NOT was THEN 1 WHEN close < m AND was THEN -1 ELSE 0 END AS side FROM (
+        SELECT *, lag(close > m) OVER (PARTITION BY symbol ORDER BY rn) AS was FROM (SELECT *, {full('avg(close)', n)} AS m FROM bars)))"""
+
+
+@query("u1_user_rule_sweep", sql(f"""
+  SELECT s.symbol, s.timeframe, s.sts AS ts, s.params_id, s.side, x.exit_ts, {r('s.entry', 5, 'entry_price')}, {r('x.exit_price', 5, 'exit_price')}
+  FROM s LEFT JOIN x ON x.sid = s.sid AND s.entry IS NOT NULL""", "bars", g0=crossing_sql(10, 0.1, 0.15), g1=crossing_sql(25, 0.2, 0.1),
+    s=f"{numbered('g0', 0)} UNION ALL {numbered('g1', 1)}", x=bracket_sql("s", "next_open")))
+def _(spark, d):
+    G.register("user_crossing", G.Signal("ucross", dict(window=20, stop=0.1, target=0.15), crossing,
+                                         {"window": (5, 50, 5), "stop": (0.05, 0.3, 0.05)}, "next_open"))
+    x = X.sweep(settle(T.bars(spark, d)), "user_crossing", CROSSING)
+    return x.select("symbol", "timeframe", "ts", "params_id", "side", "exit_ts", rd("entry_price", 5).alias("entry_price"),
+                    rd("exit_price", 5).alias("exit_price"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -13,9 +13,10 @@ from barlattice.operators.execution import fill_price, resting_fills
 from barlattice.operators.indicators import range_levels
 from barlattice.operators.metrics import trade_stats
 from barlattice.operators.predicates import first_at_or_after
-from barlattice.operators.signals import DEFAULT_TICK, SIGNALS, resolve, signals
+from barlattice.operators.signals import DEFAULT_TICK, SIGNALS, resolve, signals_with_orders
 from barlattice.plans.asof import asof
 from barlattice.plans.blocks import Series
+from barlattice.plans.lineage import settle
 from barlattice.plans.touch import first_touch
 
 KEYS = ["symbol", "timeframe"]
@@ -182,11 +183,17 @@ def with_id(sig: DataFrame) -> DataFrame:
         "|", "symbol", "timeframe", micros("ts").cast("string"), F.col("params_id").cast("string")))
 
 
-def entered(sig: DataFrame, bars: DataFrame) -> DataFrame:
+def rests(kind: tuple[str, str]) -> bool:
+    """Whether an order of this type and time in force may wait beyond the next bar."""
+    return kind[0] != "MARKET" and kind[1] != "IOC"
+
+
+def entered(sig: DataFrame, bars: DataFrame, kinds: Collection[tuple[str, str]] | None = None) -> DataFrame:
     """Signals with entry_ts and entry_price, null where the entry order never fills.
 
     Market and IOC orders are decided by the next bar that the signal carries; DAY orders rest
-    until the end of their day.
+    until the end of their day. ``kinds`` names the (order type, time in force) pairs that occur, so
+    that nothing is planned for others.
     """
     up = F.col("side") == 1
     limit = F.when(F.col("entry_type") == "LIMIT", F.col("entry_level"))
@@ -196,14 +203,17 @@ def entered(sig: DataFrame, bars: DataFrame) -> DataFrame:
     at_once = (F.col("entry_type") == "MARKET") | (F.col("tif") == "IOC")
     now = sig.where(at_once).withColumn("entry_price", price).withColumn(
         "entry_ts", F.when(F.col("entry_price").isNotNull(), F.col("next_ts")))
+    if kinds is not None and not any(map(rests, kinds)):
+        return now
     later = sig.where(~at_once)
     orders = later.select(
         F.col("signal_id").alias("order_id"), *KEYS, F.col("ts").alias("placed_at"), side.alias("side"),
         F.col("entry_type").alias("order_type"), limit.alias("limit_price"), stop.alias("stop_price"),
         F.col("tif").alias("time_in_force"), F.lit(1.0).alias("quantity"))
-    met = resting_fills(orders, bars).select(
+    met = resting_fills(orders, bars, None if kinds is None else {k for k in kinds if rests(k)}).select(
         F.col("order_id").alias("signal_id"), F.col("bar_ts").alias("entry_ts"), F.col("raw_price").alias("entry_price"))
-    return now.unionByName(later.join(met, "signal_id"))
+    filled = later.join(met, "signal_id")
+    return filled.select(*now.columns) if kinds is not None and all(map(rests, kinds)) else now.unionByName(filled)
 
 
 def sweep(
@@ -219,7 +229,11 @@ def sweep(
     signal = SIGNALS[resolve(name)]
     fill = signal.exit_fill
     sets = [{**signal.defaults, **p} for p in (params or [{}])]
-    rows = entered(with_id(signals(bars, name, params, block_rows)), bars)
+    found, kinds = signals_with_orders(bars, name, params, block_rows)
+    # every branch below reads the signals, so they are found once
+    rows = entered(settle(with_id(found)), bars, kinds)
+    if any(map(rests, kinds)):
+        rows = settle(rows)
     kept = [*rows.columns]
     filled = rows.where(F.col("entry_ts").isNotNull())
     if fill in ("next_open", "resting"):

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Callable, Collection, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -231,11 +232,14 @@ def execute(
             -F.col("fill_price") * F.col("exec_quantity")))
 
 
-def resting_fills(orders: DataFrame, bars: DataFrame) -> DataFrame:
+def resting_fills(
+    orders: DataFrame, bars: DataFrame, kinds: Collection[tuple[str, str]] | None = None
+) -> DataFrame:
     """First bar at which each order fills: IOC the next bar, DAY the same date, GTC any later bar.
 
     Orders that :func:`preview` rejects never fill. Needs a unique ``order_id``; market orders fill on the next bar. Returns the orders with
-    ``bar_ts``, ``raw_price`` and ``fill_phase``, null when they never fill.
+    ``bar_ts``, ``raw_price`` and ``fill_phase``, null when they never fill. ``kinds`` names the (order
+    type, time in force) pairs that occur, in upper case; other kinds are not planned for.
     """
     o = orders.withColumn("_tif", F.upper("time_in_force")).withColumn("_bad", rejection().isNotNull())
     o = o.withColumn("order_type", F.upper("order_type"))
@@ -255,36 +259,42 @@ def resting_fills(orders: DataFrame, bars: DataFrame) -> DataFrame:
         return df.select(*orders.columns, F.when(hit, F.col("bar_ts")).alias("bar_ts"),
                          "raw_price", "fill_phase")
 
-    immediate = finish(priced(next_bar(o.where(once), bars)))
-
-    same_day = o.where(~once & (F.col("_tif") == "DAY")).withColumn("_d", F.to_date("placed_at"))
-    day_bars = bars.select(*[F.col(k).alias(f"_k_{k}") for k in KEYS], F.to_date("ts").alias("_bd"),
-                           *[F.col(c).alias(f"bar_{c}") for c in cols])
-    on = [F.col(k) == F.col(f"_k_{k}") for k in KEYS] + [
-        F.col("_d") == F.col("_bd"), F.col("bar_ts") > F.col("placed_at")]
-    on_day = _first_fill(priced(same_day.join(day_bars, on, "left")), orders.columns)
-
+    def occurs(test: Callable[[str, str], bool]) -> bool:
+        return kinds is None or any(test(t, f) for t, f in kinds)
+
+    made = []
+    if occurs(lambda t, f: t == "MARKET" or f == "IOC"):
+        made.append(finish(priced(next_bar(o.where(once), bars))))
+    if occurs(lambda t, f: t != "MARKET" and f == "DAY"):
+        same_day = o.where(~once & (F.col("_tif") == "DAY")).withColumn("_d", F.to_date("placed_at"))
+        day_bars = bars.select(*[F.col(k).alias(f"_k_{k}") for k in KEYS], F.to_date("ts").alias("_bd"),
+                               *[F.col(c).alias(f"bar_{c}") for c in cols])
+        on = [F.col(k) == F.col(f"_k_{k}") for k in KEYS] + [
+            F.col("_d") == F.col("_bd"), F.col("bar_ts") > F.col("placed_at")]
+        made.append(_first_fill(priced(same_day.join(day_bars, on, "left")), orders.columns))
     gtc = o.where(~once & (F.col("_tif") != "DAY"))
     buy = F.col("side") == "BUY"
-    plain = gtc.where(F.col("order_type") != "STOP_LIMIT")
-    level = F.when(F.col("order_type") == "LIMIT", F.col("limit_price")).otherwise(F.col("stop_price"))
-    upward = buy == (F.col("order_type") == "STOP")
-    touched = first_touch(
-        plain.withColumns({"_up": F.when(upward, level), "_down": F.when(~upward, level)}),
-        bars, KEYS, "order_id", "placed_at", "_up", "_down", cols, prefix="bar_")
-    single = finish(priced(touched))
-
-    # A stop-limit needs both levels inside a bar, so candidate days must span both of them.
-    both = gtc.where(F.col("order_type") == "STOP_LIMIT").withColumns({
-        "_top": F.when(buy, F.col("stop_price")).otherwise(F.col("limit_price")),
-        "_bot": F.when(buy, F.col("limit_price")).otherwise(F.col("stop_price"))})
-    double = _first_fill(
-        priced(matching_bars(both, bars, KEYS, "placed_at", "_top", "_bot", cols, "bar_")), orders.columns)
-    rest = both.select(*orders.columns).join(double.select("order_id"), "order_id", "left_anti").unionByName(
-        refused.select(*orders.columns))
-    for c in ("bar_ts", "raw_price", "fill_phase"):
-        rest = rest.withColumn(c, F.lit(None).cast(double.schema[c].dataType))
-    return immediate.unionByName(on_day).unionByName(single).unionByName(double).unionByName(rest)
+    if occurs(lambda t, f: t in ("LIMIT", "STOP") and f not in ("DAY", "IOC")):
+        plain = gtc.where(F.col("order_type") != "STOP_LIMIT")
+        level = F.when(F.col("order_type") == "LIMIT", F.col("limit_price")).otherwise(F.col("stop_price"))
+        upward = buy == (F.col("order_type") == "STOP")
+        touched = first_touch(
+            plain.withColumns({"_up": F.when(upward, level), "_down": F.when(~upward, level)}),
+            bars, KEYS, "order_id", "placed_at", "_up", "_down", cols, prefix="bar_")
+        made.append(finish(priced(touched)))
+    none = refused.select(*orders.columns)
+    if occurs(lambda t, f: t == "STOP_LIMIT" and f not in ("DAY", "IOC")):
+        # A stop-limit needs both levels inside a bar, so candidate days must span both of them.
+        both = gtc.where(F.col("order_type") == "STOP_LIMIT").withColumns({
+            "_top": F.when(buy, F.col("stop_price")).otherwise(F.col("limit_price")),
+            "_bot": F.when(buy, F.col("limit_price")).otherwise(F.col("stop_price"))})
+        double = _first_fill(
+            priced(matching_bars(both, bars, KEYS, "placed_at", "_top", "_bot", cols, "bar_")), orders.columns)
+        made.append(double)
+        none = both.select(*orders.columns).join(double.select("order_id"), "order_id", "left_anti").unionByName(none)
+    never = none.withColumns({"bar_ts": F.lit(None).cast(bars.schema["ts"].dataType), "raw_price": F.lit(None).cast("double"),
+                              "fill_phase": F.lit(None).cast("string")})
+    return reduce(DataFrame.unionByName, [*made, never])
 
 
 def _first_fill(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -306,31 +306,37 @@ def signals(
     All sets are declared on one Series, so bars are read and shuffled once whatever their number.
     Next-bar time and open come along for entries.
     """
+    return signals_with_orders(bars, name, params, block_rows)[0]
+
+
+def signals_with_orders(
+    bars: DataFrame, name: str, params: Sequence[Mapping[str, Any]] | None = None,
+    block_rows: int | None = None,
+) -> tuple[DataFrame, set[tuple[str, str]]]:
+    """:func:`signals`, and the (order type, time in force) pairs the rule enters by."""
     sig = SIGNALS[resolve(name)]
     sets = [{**sig.defaults, **p} for p in (params or [{}])]
     if sig.table:
         made = [sig.table(bars, p, block_rows).withColumn("params_id", F.lit(i))
                 for i, p in enumerate(sets)]
-        return reduce(DataFrame.unionByName, made)
+        return reduce(DataFrame.unionByName, made), {("MARKET", "GTC")}
     if sig.prepare:
         bars = sig.prepare(bars, sets)
     s = Series(bars, block_rows=block_rows)
     for c in ("ts", "open", "high", "low"):
         s.lead(c)
-    made = []
-    for i, p in enumerate(sets):
-        r = sig.rule(s, p)
-        made.append(F.struct(
-            F.lit(i).alias("params_id"), r.side.alias("side"), F.lit(r.entry_type).alias("entry_type"),
-            F.lit(r.tif).alias("tif"), r.entry.alias("entry_level"), r.stop.alias("stop"),
-            r.target.alias("target"),
-        ))
+    rules = [sig.rule(s, p) for p in sets]
+    made = [F.struct(
+        F.lit(i).alias("params_id"), r.side.alias("side"), F.lit(r.entry_type).alias("entry_type"),
+        F.lit(r.tif).alias("tif"), r.entry.alias("entry_level"), r.stop.alias("stop"),
+        r.target.alias("target")) for i, r in enumerate(rules)]
     hits = F.filter(F.array(*made), lambda x: x["side"] != 0)
-    return s.frame().select(
+    found = s.frame().select(
         *KEYS, "ts", "close", F.explode(hits).alias("_s"),
         F.col("_ts_lead1").alias("next_ts"), F.col("_open_lead1").alias("next_open"),
         F.col("_high_lead1").alias("next_high"), F.col("_low_lead1").alias("next_low"),
     ).select(*KEYS, "ts", "close", "_s.*", "next_ts", "next_open", "next_high", "next_low")
+    return found, {(r.entry_type, r.tif) for r in rules}
 
 
 def order_blocks(
