@@ -4,14 +4,15 @@ Documents are counts of hashed letter triples and of byte classes, damped and we
 each feature is in the sample. The sample's leading singular directions make the latent space.
 The sample's vectors and labels are broadcast: at most ``PER_CLASS`` of each label, with ``DIMS``
 numbers each. Every document is compared with all of them, in blocks of documents, and its score is
-the mean label of the ``NEIGHBOURS`` most similar ones, weighted by similarity.
+the mean label of the ``NEIGHBOURS`` most similar ones, weighted by similarity. Sample rows as similar
+as the last of these (to five decimals) all vote, so no order among ties matters.
 
 The sample are the labelled rows with the smallest digests of their ids; labels of the rows held out
 (crc32 of the id modulo ``FOLDS`` is 0) are never read. The score depends on the text alone.
 
 Defined cases: null and empty texts have the zero vector and get the share of label 1 in the sample's
-labelled rows; equal texts get equal scores; rows that repeat an id are scored one by one; without
-labelled rows every score is 0.5; an empty table gives an empty result; long texts count whole.
+labelled rows; equal texts get equal scores; rows that repeat an id are scored one by one; of several
+labels of one id the least counts, and labels other than 0 and 1 do not; without labelled rows every score is 0.5; an empty table gives an empty result; long texts count whole.
 """
 
 from __future__ import annotations
@@ -87,9 +88,9 @@ class Model:
             block[:len(held)] = held
             latent = self.embed(block)
             alike = np.round(latent @ self.vectors.T, 5)
-            near = np.argpartition(-alike, k - 1, axis=1)[:, :k]
-            weight = np.maximum(np.take_along_axis(alike, near, axis=1), 0).astype(np.float64)
-            votes = (weight * self.labels[near]).sum(axis=1)
+            last = np.partition(alike, -k, axis=1)[:, -k, None]
+            weight = np.where(alike >= last, np.maximum(alike, 0), 0).astype(np.float64)
+            votes = (weight * self.labels).sum(axis=1)
             total = weight.sum(axis=1)
             found = np.divide(votes, total, out=np.full(BLOCK, self.prior), where=total > 0)
             out[start:start + len(held)] = found[:len(held)]
@@ -105,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "d
     """Fit on at most PER_CLASS rows of each label; only these come to the driver, as features."""
     usable = (labels.select(F.col(row_id), F.col(label).cast("int").alias("label"))
               .filter(F.col("label").isin(0, 1) & F.col(row_id).isNotNull() & ~held_out(row_id))
-              .dropDuplicates([row_id]))
+              .groupBy(row_id).agg(F.min("label").alias("label")))
     order = F.md5(F.col(row_id).cast("string").cast("binary"))
     chosen = None
     for value in (0, 1):
@@ -168,5 +169,6 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str
 
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """The documents that the classifier does not reject."""
-    scored = with_scores(docs, fit(docs, labels, text, row_id), text, "__score")
-    return scored.filter(F.col("__score") >= THRESHOLD).select(*docs.columns)
+    held = "score" + "_" * max(map(len, docs.columns))  # longer than any name of docs
+    scored = with_scores(docs, fit(docs, labels, text, row_id), text, held)
+    return scored.filter(F.col(held) >= THRESHOLD).select(*docs.columns)
