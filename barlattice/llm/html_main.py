@@ -4,14 +4,20 @@ A page is read as words and tags. Words score by the block they stand in, by whe
 text and by whether they lie inside the page's article, tags score negative; the weights are
 log-odds counted on labelled pages, which are those that mark their article themselves (``article``
 or ``main``), at most ``SAMPLE`` of them. One pass over the blocks finds the contiguous region with
-the largest sum. Blocks of menus, forms, notices and the like, told by their element or their class,
-score ``OUTSIDE`` a word and are left out of the text even within the region.
+the largest sum. Blocks of menus, forms, notices and the like score ``OUTSIDE`` a word and are left
+out of the text even within the region. They are told by their element, or by a class word.
+
+A class word is a whole class or id, or a part of one that names no state of the layout
+(``has-sidebar`` says nothing about its element). A marked element that holds more than ``HALF`` of
+the page's plain words is no such part after all, unless an article stands outside of it or readers'
+comments are what it is marked as; words of such comments are not counted here. An ``article`` counts as the page's only where all of them hold
+``TEASER`` of its plain words or more; with less they are teasers, and blocks score by their own.
 
 Defined cases: null and empty pages have the empty text; unclosed elements end with their parent;
 pages without an article are scored by their blocks alone; the first of equal regions is taken;
 without labelled pages every word of a block scores 1 and every tag ``TAG``; extra columns and
 repeated rows do not matter; an empty table gives an empty result; long pages are read whole in
-linear time.
+linear time. Dropped parts within a line (a button, a marked ``span``) do not cut the line.
 """
 
 from __future__ import annotations
@@ -29,6 +35,8 @@ from pyspark.sql import functions as F
 
 #: Labelled pages at most; bounds of a learned weight; weight of the article; of dropped words; of tags.
 SAMPLE, MOST, ARTICLE, OUTSIDE, TAG = 500, 3.0, 6.0, -3.0, -0.1
+#: Shares of the page's plain words.
+HALF, TEASER = 0.5, 0.25
 
 #: Elements by what they are for.
 BLOCKS = frozenset("address article blockquote body caption center dd details dialog div dl dt fieldset figcaption figure "
@@ -38,15 +46,19 @@ DROPPED = frozenset("aside audio button canvas dialog fieldset footer form head
 RAW = frozenset("script style textarea title noscript template iframe svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a b code em i img small span strong sub sup u".split())
+#: Dropped elements that stand within a line.
+WITHIN = frozenset("audio button canvas input label map object option select video".split())
 ARTICLES = frozenset(("article", "main"))
 NEVER_BY_CLASS = frozenset(("html", "body", "main"))
 #: Class and id words, and roles, of parts that are not the article.
 CLASS_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline comment comments "
-    "commentlist consent cookie cookies copyright disclaimer disqus footer gdpr header login masthead menu modal nav "
-    "navbar navigation newsletter notice notices notification pagination pager popup promo promotion recommended "
-    "related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe "
+    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs consent cookie cookies footer "
+    "gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager "
+    "popup promo recommended related search share sharing sidebar signup skip social sponsor sponsored subscribe "
     "subscription toolbar widget".split())
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies reply respond".split())
+#: Parts of a class that tell a state of the layout.
+STATES = frozenset("has no not with without layout is enabled disabled".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Tags that an opening tag of the key ends where they are open.
 _ENDS = {"p": {"p"}, "li": {"p", "li"}, "dt": {"p", "dt", "dd"}, "dd": {"p", "dt", "dd"}, "tr": {"p", "tr", "td", "th"},
@@ -56,7 +68,7 @@ _SCOPE = frozenset("ul ol table article section div body html main td th blockqu
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)"""
                     r"""(?P<attrs>(?:[^>"']|"[^"]*+"|'[^']*+')*+)>""", re.DOTALL)
-_ATTR = re.compile(r"""(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?(?=[\s/]|\Z)""", re.IGNORECASE)
+_ATTR = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?""")
 _LETTERS = re.compile(r"[a-z]+")
 
 
@@ -65,8 +77,9 @@ class Block:
     """Text between two block borders, with what its score needs."""
 
     kind: str
-    place: str  # inside or outside the article, none where the page has none
+    node: int  # innermost marked element or article around it, 0 if none
     dropped: bool
+    place: str = "none"  # inside or outside the article, none where the page has none
     words: int = 0
     link_words: int = 0
     tags: Counter = field(default_factory=Counter)
@@ -76,47 +89,97 @@ class Block:
         return " ".join("".join(self.parts).split())
 
 
-def _is_dropped(name: str, attrs: str) -> bool:
+@dataclass
+class Node:
+    """An element that its class marks, or an article."""
+
+    up: int
+    mark: str
+    article: bool
+    words: int = 0
+    articles: int = 0  # articles within it
+
+
+def _mark(name: str, attrs: str) -> str:
+    """drop for elements that never count, else class or comment for those with such a class, or nothing."""
     if name in DROPPED:
-        return True
+        return "drop"
     if not attrs or name in NEVER_BY_CLASS:
-        return False
+        return ""
+    mark = ""
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'").lower()
-        if key in ("class", "id") and not CLASS_WORDS.isdisjoint(_LETTERS.findall(value)):
-            return True
         if (key == "role" and value in ROLES) or key == "hidden" or (key == "aria-hidden" and value == "true") or (
                 key == "style" and "display:none" in value.replace(" ", "")):
-            return True
-    return False
+            return "drop"
+        if key in ("class", "id"):
+            for whole in value.split():
+                parts = _LETTERS.findall(whole)
+                if whole not in CLASS_WORDS and not STATES.isdisjoint(parts):
+                    continue
+                if not COMMENT_WORDS.isdisjoint(parts):
+                    mark = "comment"
+                elif not CLASS_WORDS.isdisjoint(parts):
+                    mark = mark or "class"
+    return mark
+
+
+def _judge(out: list[Block], nodes: list[Node]) -> None:
+    """Settle which marked elements are dropped, and which blocks lie in the page's article."""
+    for b in out:
+        if not b.dropped:
+            nodes[b.node].words += b.words - b.link_words
+    for n in reversed(nodes[1:]):  # inner ones come later
+        if n.mark != "comment":  # comments may be longer than all else
+            nodes[n.up].words += n.words
+            nodes[n.up].articles += n.articles + n.article
+    total, articles = nodes[0].words, nodes[0].articles
+    gone, inside = [False] * len(nodes), [False] * len(nodes)
+    for i, n in enumerate(nodes[1:], 1):
+        kept = n.words > HALF * total and n.articles + n.article == articles and n.mark == "class"
+        gone[i] = gone[n.up] or (n.mark != "" and not kept)
+        inside[i] = not gone[i] and (inside[n.up] or n.article)
+    plain = held = 0
+    for b in out:
+        b.dropped |= gone[b.node]
+        if not b.dropped:
+            plain += b.words - b.link_words
+            held += (b.words - b.link_words) * inside[b.node]
+    if any(inside) and held >= TEASER * plain:
+        for b in out:
+            b.place = "inside" if inside[b.node] else "outside"
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool]] = []  # name, dropped
+    stack: list[tuple[str, str, int]] = []  # name, what it does, the node around it
     opened: Counter = Counter()
-    dropped = links = articles = 0
-    seen_article = False
-    block = Block("body", "outside", False)
+    nodes = [Node(0, "", False)]
+    dropped = links = muted = node = 0
+    block = Block("body", 0, False)
 
     def border() -> None:
         nonlocal block
         if block.words or block.tags:
             out.append(block)
-        kind = next((n for n, _ in reversed(stack) if n in BLOCKS), "body")
-        block = Block(kind, "inside" if articles else "outside", dropped > 0)
+        kind = next((n for n, _, _ in reversed(stack) if n in BLOCKS), "body")
+        block = Block(kind, node, dropped > 0)
 
-    def leave() -> str:
-        nonlocal dropped, links, articles
-        name, was = stack.pop()
+    def leave() -> bool:
+        """Close the innermost element; whether that ends a block."""
+        nonlocal dropped, links, muted, node
+        name, does, node = stack.pop()
         opened[name] -= 1
-        dropped -= was
+        dropped -= does == "drop"
+        muted -= does == "mute"
         links -= name == "a"
-        articles -= name in ARTICLES and not was
-        return name
+        return does != "mute" and (name in BLOCKS or does != "")
 
     def say(raw: str) -> None:
+        if muted:
+            block.parts.append(" ")
+            return
         text = html.unescape(raw)
         n = len(text.split())
         block.parts.append(text)
@@ -140,13 +203,12 @@ def blocks(page: str) -> list[Block]:
             continue
         if found["close"]:
             if opened[name]:
-                border_needed = False
-                while True:
-                    left = leave()
-                    border_needed |= left in BLOCKS or left in DROPPED
-                    if left == name:
-                        break
-                if border_needed:
+                ends = False
+                last = None
+                while last != name:
+                    last = stack[-1][0]
+                    ends |= leave()
+                if ends:
                     border()
             block.tags[name] += 1
             continue
@@ -168,24 +230,26 @@ def blocks(page: str) -> list[Block]:
         if name == "body":  # an unclosed head ends here
             while stack and stack[-1][0] == "head":
                 leave()
-        is_dropped = _is_dropped(name, found["attrs"])
+        mark = _mark(name, found["attrs"])
+        does = mark
+        if name in WITHIN or (mark and name in INLINE):
+            does = "mute"
         if name not in VOID and not found["attrs"].endswith("/"):
-            stack.append((name, is_dropped))
+            stack.append((name, does, node))
             opened[name] += 1
-            dropped += is_dropped
+            dropped += does == "drop"
+            muted += does == "mute"
             links += name == "a"
-            if name in ARTICLES and not is_dropped:
-                articles += 1
-                seen_article = True
-        if name in BLOCKS or is_dropped:
+            if not dropped and not muted and (mark or name in ARTICLES):
+                nodes.append(Node(node, mark, name in ARTICLES))
+                node = len(nodes) - 1
+        if does != "mute" and (name in BLOCKS or does):
             border()
         block.tags[name] += 1
     if at < len(page):
         say(page[at:])
     border()
-    if not seen_article:
-        for b in out:
-            b.place = "none"
+    _judge(out, nodes)
     return out
 
 

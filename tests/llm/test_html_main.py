@@ -31,6 +31,47 @@ def test_pages_without_article():
     assert html_main.main_text(page, FIXED) == "Here are many words of text\nand some more of them"
 
 
+def test_layout_classes_on_wrappers():
+    body = "<h1>Title here</h1><p>One two three four five six.</p><p>Seven eight nine ten.</p>"
+    want = "Title here\nOne two three four five six.\nSeven eight nine ten."
+    menu = "<div class='sidebar-left'><a href=1>Menu</a> and more words beside</div>"
+    for wrapper in ("div class='content has-sidebar'", "div class='no-sidebar'", "div class=layout-header-fixed",
+                    "div class='page sidebar-page'", "div id='main' data-id='search-1'", "div title='it is hidden here'",
+                    "article class='post share-enabled'", "section aria-label=\"menu class='ad'\""):
+        page = f"<body>{menu}<{wrapper}>{body}</{wrapper.split()[0]}><footer>none</footer>"
+        assert html_main.main_text(page, FIXED) == want, wrapper
+        page = f"<body>{menu}<{wrapper}><article>{body}</article></{wrapper.split()[0]}><div class='comments'><p>{'c ' * 99}</div>"
+        assert html_main.main_text(page, FIXED) == want, wrapper
+
+
+def test_parts_of_the_article_stay():
+    page = "<article><p class=byline>By me</p><p>Some text.</p><p class='disclaimer'>No advice.</p><p class=promotion>Her promotion came.</p></article>"
+    assert html_main.main_text(page, FIXED) == "By me\nSome text.\nNo advice.\nHer promotion came."
+
+
+def test_teasers_are_not_the_article():
+    text = "\n".join(f"Paragraph {i} of the long text that this page is about." for i in range(6))
+    page = ("<body><article><p>A teaser here</p></article><nav><a href=1>x</a></nav><div>"
+            + "".join(f"<p>{x}</p>" for x in text.split("\n")) + "</div>")
+    assert text in html_main.main_text(page, FIXED)
+
+
+def test_dropped_parts_within_a_line():
+    page = "<article><p>Hello <span class='share'>Share</span>big <button>Push</button>world, <b>bold</b> text.</p></article>"
+    assert html_main.main_text(page, FIXED) == "Hello big world, bold text."
+
+
+def test_comments_of_a_page_without_article():
+    page = ("<body><div><p>The text of the page, a few words.</p></div><div id='comment-list'>"
+            + "<p>First! Many more words than the text has.</p>" * 9 + "</div>")
+    assert html_main.main_text(page, FIXED) == "The text of the page, a few words."
+
+
+def test_deep_marks_are_read_in_linear_time():
+    page = "<div class='ad x'>a " * 20_000 + "<p>last"
+    assert html_main.main_text(page, FIXED) is not None
+
+
 def test_given_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     import html
