@@ -1,34 +1,36 @@
-"""Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, connected groups.
+"""Fuzzy line deduplication: SimHash blocks, deletion neighbourhoods, edit similarity, connected groups.
 
 Lines are compared in normal form: A-Z in lower case, white space as single blanks, ends trimmed.
-Equal lines are one line from the start. Each line has a SimHash of ``BITS`` = 256 bits of its
-different tokens: runs of letters and digits, or its words where it has none. A line is listed under
-blocks of the SimHash, which are disjoint as long as they fit into its bits. The lines of a list that
-differ in at most ``FAR`` of the first 128 bits are candidates, and a candidate is a link if the edit
-distance is at most ``EDITS`` percent of the longer line. Of each group that links connect, the
+Equal lines are one line from the start. Two lines are a link if their edit distance is at most
+``EDITS`` percent of the longer one, and that alone decides. Of each group that links connect, the
 occurrence with the smallest (id, line number) stays.
 
-Blocks are as wide as keeps the mean list short, one bit more for every doubling of the lines, and as
-many as find a pair that differs in ``APART`` of its bits with a chance of 1 - ``MISS``. So recall is
-the same at every size; blocks grow with about the fifth root of the lines. Random lines differ in 40
-to 50% of their bits, lines within 20% of edits in 9% (median) to 15%, lines of few words in more.
+Candidates are the lines of a list. Lines of up to ``SHORT`` characters are listed under what is left
+when as many characters are deleted as such a link has edits, which finds every link between them.
+All lines are listed under the blocks of a SimHash of their different tokens: runs of letters and
+digits, or words where a line has none. A block is the majority vote of a sample of the tokens, those
+with the smallest hashes of that block, so lines that share most tokens mostly have equal blocks.
+A pair that shares ``SHARED`` of its tokens has no equal block with a chance of ``MISS``; samples grow
+with the logarithm of the lines, and blocks with them, so this is the same at every size.
 
-A list does not give all its pairs: each line is first tried with the smallest line near to it, and
-of the other near pairs only those that this leaves in different groups are tried then. So no link
-that could join two groups is missed, and thousands of variants of a line stay cheap. Lists of up to
-``LIST`` lines are compared all at once, longer ones line by line.
+Every pair of a list is settled: each line is first tried with the smallest line of a list, and all
+pairs that this leaves in different groups are tried then. Lists of up to ``LIST`` lines are compared
+at once, longer ones line by line; none is cut.
 
 Defined cases: blank lines have no normal form and always stay; null and empty texts have one blank
 line; equal rows of an id stand for one document, whose lines stay or go together, and different
 texts of an id are judged each by its own lines; null ids rank last; an empty table gives an empty
 result; long lines are compared whole.
 
-Not whole: SimHash blocks find near lines with a probability; see the README for the recall.
+Not whole: links of longer lines that share few tokens, as with typing errors in most words, are
+found with a probability only; see the README for the recall.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import combinations
 from math import ceil, log, log1p, log2
 
 import numpy as np
@@ -38,58 +40,86 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlattice.llm import hashing
-from barlattice.llm.common import BLANK, ascii_lower, settled, whole_text, with_group_values, written
+from barlattice.llm.common import settled, whole_text, with_group_values, written
 from barlattice.llm.components import components
 
-EDITS, LIST = 20, 256
-#: Bits of a SimHash; most different bits of a candidate among the first 128.
-BITS, FAR = 256, 32
-#: Share of different bits that the blocks are laid out for, and the chance to miss such a pair.
-APART, MISS = 0.12, 0.15
+EDITS, LIST, SHORT = 20, 256, 14
+#: Share of common tokens that the blocks are laid out for, and the chance to miss such a pair.
+SHARED, MISS = 0.75, 0.01
+#: Bits of a block for each token of its sample, and the chance of one bit to differ that this gives.
+_BITS = 7
+APART = 1 - SHARED ** (1 / _BITS)
 _U = np.uint64
+_ALL = _U(2 ** 64 - 1)
 #: Bytes of letters and digits, and all bytes of other characters than ASCII.
 _TELLING = np.array([b > 127 or chr(b).isalnum() for b in range(256)])
 _TOKEN_BITS = _U(34)
+#: Tokens of so many bytes come into a sample eight times as easily as shorter ones, which most lines share.
+_LONG = 6
 
 
 def layout(lines: int) -> tuple[int, int]:
-    """Width and number of the blocks for a table of ``lines`` different lines."""
-    width = max(16, ceil(log2(lines + 1)) - 4)
+    """Width and number of the blocks for a table of ``lines`` lines."""
+    width = _BITS * max(4, ceil((log2(lines + 1) - 6) / 4))
     return width, ceil(log(MISS) / log1p(-(1 - APART) ** width))
 
 
 def _places(width: int, tables: int) -> np.ndarray:
-    """The bits of each block: the SimHash in order, then again in other orders."""
+    """The bits of a token's hash that vote in each block."""
     random = np.random.default_rng(0)
-    rounds = -(-width * tables // BITS)
-    orders = [np.arange(BITS), *(random.permutation(BITS) for _ in range(rounds - 1))]
-    return np.concatenate(orders)[:width * tables].reshape(tables, width)
+    return np.stack([random.permutation(64)[:width] for _ in range(tables)])
 
 
-def simhash(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """SimHash, as rows of bytes, of runs of token hashes that start at ``first``; ties give 0 bits."""
+def _vote(samples: np.ndarray) -> np.ndarray:
+    """Bits that most of the hashes in a row have; a hash of the row decides ties."""
+    n = samples.shape[1]
+    reached = [np.zeros(len(samples), _U) for _ in range(n)]  # bits with more than so many votes
+    for k, hashes in enumerate(samples.T):
+        for votes in range(k, 0, -1):
+            reached[votes] |= reached[votes - 1] & hashes
+        reached[0] |= hashes
+    if n % 2:
+        return reached[n // 2]
+    return reached[n // 2] | (reached[n // 2 - 1] & hashing.mix64(samples.sum(axis=1, dtype=_U)))
+
+
+def simhash(tokens: np.ndarray, first: np.ndarray, width: int, tables: int) -> np.ndarray:
+    """Blocks, a row of bytes for each run of different token hashes that start at ``first``."""
     lengths = np.diff(np.append(first, len(tokens)))
-    out = np.empty((len(first), BITS // 8), np.uint8)
-    step = 16_384
-    start = 0
-    while start < len(first):  # bounded numbers of tokens at a time, whole lines each
-        stop = max(start + 1, int(np.searchsorted(first, first[start] + step)))
-        a, b = first[start], first[stop] if stop < len(first) else len(tokens)
-        votes = 0
-        for c in range(a, b, 8 * step):  # one long line in parts
-            part = tokens[c:min(c + 8 * step, b)]
-            mixed = hashing.mix64(part[:, None] * _U(BITS // 64) + np.arange(BITS // 64, dtype=_U))
-            bits = np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little")
-            at = first[start:stop] - a if c == a else np.zeros(1, np.int64)
-            kind = np.uint8 if lengths[start:stop].max() < 256 else np.int32
-            votes = votes + np.add.reduceat(bits, at, axis=0, dtype=kind).astype(np.int32)
-        out[start:stop] = np.packbits(votes * 2 > lengths[start:stop, None], axis=1, bitorder="little")
-        start = stop
-    return out
+    sample = np.minimum(lengths, width // _BITS)
+    owner = np.repeat(np.arange(len(first)), lengths)
+    shift = (tokens >> (_TOKEN_BITS - _U(1)) ^ _U(1)) * _U(3)
+    size = -(-width // 8)
+    out = np.empty((len(first), tables, size), np.uint8)
+    for t, places in enumerate(_places(width, tables)):
+        ranks = hashing.mix64(tokens + (_U(t + 1) << _TOKEN_BITS))
+        ranks >>= shift
+        taken = np.empty((len(first), width // _BITS), _U)
+        for k in range(taken.shape[1]):
+            taken[:, k] = np.minimum.reduceat(ranks, first)
+            if k + 1 < taken.shape[1]:
+                ranks[ranks == taken[:, k][owner]] = _ALL
+        block = np.empty(len(first), _U)
+        for n in np.unique(sample).tolist():
+            of = np.flatnonzero(sample == n)
+            block[of] = _vote(hashing.mix64(taken[of, :n]))
+        block &= np.bitwise_or.reduce(_U(1) << places.astype(_U))
+        out[:, t] = hashing.mix64(block + _U(t)).view(np.uint8).reshape(-1, 8)[:, :size]
+    return out.reshape(len(first), tables * size)
+
+
+@lru_cache(20_000)
+def _shortened(line: str) -> bytes:
+    """Hashes of what is left of a short line when up to as many characters go as a link between short lines has edits."""
+    most = min(SHORT * EDITS // 100, len(line) // 4)
+    left = {"".join(x) for n in range(most + 1) for x in combinations(line, len(line) - n)}
+    texts = pa.array(sorted(x for x in left if x))
+    data, offsets = hashing.text_bytes(texts)
+    return hashing.hash_spans(data, offsets[:-1], offsets[1:]).tobytes()
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray, line_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Different tokens of every line with words, in order of lines, and the first token of each."""
+    """Different tokens of every line with words, in order of lines, and the first token of each; the first bit marks short tokens."""
     marks = _TELLING[data]
     begin = line_starts[line_starts < len(data)]
     plain = ~np.logical_or.reduceat(marks, begin)
@@ -97,21 +127,23 @@ def _tokens(data: np.ndarray, offsets: np.ndarray, line_starts: np.ndarray) -> t
         marks |= np.repeat(plain, np.diff(np.append(begin, len(data)))) & ~hashing._BLANK[data]
     starts, ends, _ = hashing.spans(marks, offsets)
     line = np.searchsorted(line_starts, starts, side="right") - 1
-    hashes = hashing.hash_spans(hashing._LOWER[data], starts, ends) >> (_U(64) - _TOKEN_BITS)
+    hashes = hashing.hash_spans(hashing._LOWER[data], starts, ends) >> (_U(65) - _TOKEN_BITS)
+    hashes |= (ends - starts < _LONG).astype(_U) << (_TOKEN_BITS - _U(1))
     both = np.sort((line.astype(_U) << _TOKEN_BITS) | hashes)
     both = both[np.concatenate([[True], both[1:] != both[:-1]])]
     line = both >> _TOKEN_BITS
     return both & ((_U(1) << _TOKEN_BITS) - _U(1)), np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
 
 
-def line_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the lines with words: text, line number, key of the normal form, SimHash."""
+def line_hashes(texts: pa.Array, width: int, tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Of the lines with words: text, line number, key and length of the normal form, and its blocks followed by its shortened forms."""
     data, offsets = hashing.text_bytes(texts)
     starts, ends, _ = hashing.spans(~hashing._BLANK[data], offsets)
     if not len(starts):
         none = np.zeros(0, np.int64)
-        return none, none, none, none
-    hashes = hashing.hash_spans(hashing._LOWER[data], starts, ends)
+        return none, none, none, none, []
+    lower = hashing._LOWER[data]
+    hashes = hashing.hash_spans(lower, starts, ends)
     line_starts = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(data == 10) + 1]))
     line = np.searchsorted(line_starts, starts, side="right") - 1
     first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
@@ -121,123 +153,115 @@ def line_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     keys = hashing.mix64(np.add.reduceat(hashes * weights, first) + lengths.astype(_U) * _U(0x8EBC6AF09C88C6E3))
     owner = np.searchsorted(offsets, line_starts[line[first]], side="right") - 1
     number = line[first] - np.searchsorted(line_starts, offsets[owner])
-    return owner, number, keys.view(np.int64), simhash(*_tokens(data, offsets, line_starts))
-
+    points = np.append(0, np.cumsum((data & 0xC0) != 0x80))  # characters before each byte
+    sizes = np.add.reduceat(points[ends] - points[starts], first) + lengths - 1
+    held = simhash(*_tokens(data, offsets, line_starts), width, tables)
+    blocks = [x.tobytes() for x in held]
+    for i in np.flatnonzero(sizes <= SHORT).tolist():
+        words = range(first[i], first[i] + lengths[i])
+        blocks[i] += _shortened(" ".join(lower[starts[w]:ends[w]].tobytes().decode() for w in words))
+    return owner, number, keys.view(np.int64), sizes, blocks
 
-def _binary(rows: np.ndarray) -> pa.Array:
-    held = pa.FixedSizeBinaryArray.from_buffers(pa.binary(rows.shape[1]), len(rows), [None, pa.py_buffer(np.ascontiguousarray(rows))])
-    return held.cast(pa.binary())
 
-
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column(2)
-        for a, b in hashing.slices(texts):
-            owner, number, keys, sims = line_hashes(texts.slice(a, b - a))
-            at = pa.array(owner)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i).slice(a, b - a).take(at) for i in (0, 1)), pa.array(number.astype(np.int32)),
-                 pa.array(keys), _binary(sims)], names=["id", "row", "line", "key", "sim"])
+def _lines(width: int, tables: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2)
+            for a, b in hashing.slices(texts):
+                owner, number, keys, sizes, blocks = line_hashes(texts.slice(a, b - a), width, tables)
+                at = pa.array(owner)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(i).slice(a, b - a).take(at) for i in (0, 1)), pa.array(number.astype(np.int32)),
+                     pa.array(keys), pa.array(sizes.astype(np.int32)), pa.array(blocks, pa.binary())],
+                    names=["id", "row", "line", "key", "size", "blocks"])
+    return run
 
 
-def _blocks(width: int, tables: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(list, key, s0, s1) of every line under each of its blocks."""
-    places = _places(width, tables)
+def _lists(width: int, tables: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(list, key, size) of every line under each of its blocks and shortened forms."""
+    size = -(-width // 8)
+    whole = size * tables
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, len(whole), 4096):
-                batch = whole.slice(start, 4096)
-                sims = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, BITS // 8)
-                bits = np.unpackbits(sims, axis=1, bitorder="little")
-                longs = sims.view(np.int64)
-                for t, at in enumerate(places):
-                    block = bits[:, at].astype(np.int64) @ (np.int64(1) << np.arange(width, dtype=np.int64))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(block + (t << width)), batch.column(0), pa.array(longs[:, 0]), pa.array(longs[:, 1])],
-                        names=["list", "key", "s0", "s1"])
+        for table in batches:
+            for start in range(0, len(table), 4096):
+                batch = table.slice(start, 4096)
+                held = batch.column(2).to_pylist()
+                wide = np.zeros((len(batch), tables, 8), np.uint8)
+                wide[:, :, :size] = np.frombuffer(b"".join(x[:whole] for x in held), np.uint8).reshape(-1, tables, size)
+                blocks = hashing.mix64(wide.view(_U)[:, :, 0] * _U(tables) + np.arange(tables, dtype=_U))
+                more = [len(x) // 8 for x in (y[whole:] for y in held)]
+                forms = np.frombuffer(b"".join(x[whole:] for x in held), _U)
+                rows = np.concatenate([np.repeat(np.arange(len(batch)), tables), np.repeat(np.arange(len(batch)), more)])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([blocks.ravel(), forms]).view(np.int64)), *(batch.column(i).take(pa.array(rows)) for i in (0, 1))],
+                    names=["list", "key", "size"])
     return run
 
 
 def _each_list(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.ndarray]]:
     """Whole lists, many at a time, of rows sorted by list."""
-    held = [np.zeros(0, np.int64)] * columns
+    held: list[list[np.ndarray]] = []
     for batch in batches:
-        rows = [np.concatenate([h, np.asarray(batch.column(i))]) for i, h in enumerate(held)]
-        last = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
+        if not len(batch):
+            continue
+        rows = [np.asarray(batch.column(i)) for i in range(columns)]
+        last = int(np.searchsorted(rows[0], rows[0][-1]))
+        if held and held[0][0][0] != rows[0][0]:
+            yield [np.concatenate(x) for x in zip(*held)]
+            held = []
         if last:
-            yield [r[:last] for r in rows]
-        held = [r[last:] for r in rows]
-    if len(held[0]):
-        yield held
+            yield [np.concatenate(x) for x in zip(*held, [r[:last] for r in rows])]
+            held = []
+        held.append([r[last:] for r in rows])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
 
 
-def _near(s0: np.ndarray, s1: np.ndarray, a: np.ndarray | slice, b: np.ndarray | int) -> np.ndarray:
-    return np.bitwise_count(s0[a] ^ s0[b]) + np.bitwise_count(s1[a] ^ s1[b]) <= FAR
+def _comparable(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether lines of these lengths can be a link."""
+    return np.abs(a - b) <= np.maximum(a, b) * EDITS // 100
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs (a, b) of each line and the smallest one near to it, and the lines of other near pairs (list, a, s0, s1)."""
-    for rows in _each_list(batches, 4):
-        yield _listed(*rows)
-
-
-def _listed(lists: np.ndarray, keys: np.ndarray, s0: np.ndarray, s1: np.ndarray) -> pa.RecordBatch:
-    first = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]]))
-    lengths = np.diff(np.append(first, len(lists)))
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    more = np.zeros(len(lists), bool)  # lines of near pairs that are not given
-    for start, length in zip(first[lengths > LIST].tolist(), lengths[lengths > LIST].tolist()):
-        led = np.zeros(length, bool)
-        same = np.zeros(length, bool)  # equal in all compared bits to an earlier line, so near to the same ones
-        x, y = s0[start:start + length], s1[start:start + length]
-        for i in range(length - 1):
-            if same[i]:
-                continue
-            near = np.flatnonzero(_near(x, y, slice(i + 1, None), i)) + i + 1
-            same[near[(x[near] == x[i]) & (y[near] == y[i])]] = True
-            fresh = near[~led[near]]
-            if len(fresh) < len(near) or same[near].any():
-                more[start + i] = True
-                more[start + near] = True
-            led[fresh] = True
-            found.append((np.full(len(fresh), start + i), start + fresh))
-    at = np.flatnonzero(np.repeat(lengths <= LIST, lengths))
-    least = np.full(len(lists), -1)
-    last: list[tuple[np.ndarray, int]] = []
-    for step in range(1, LIST):
-        at = at[at + step < len(lists)]
-        at = at[lists[at] == lists[at + step]]
-        if not len(at):
-            break
-        near = at[_near(s0, s1, at, at + step)]
-        if len(near):  # the later the step, the smaller the near line
-            least[near + step] = near
-            last.append((near, step))
-    for near, step in last:
-        other = near[least[near + step] != near]
-        more[other] = True
-        more[other + step] = True
-    with_one = np.flatnonzero(least >= 0)
-    found.append((least[with_one], with_one))
-    a, b = (np.concatenate([x[i] for x in found]) if found else np.zeros(0, np.int64) for i in (0, 1))
-    m = np.flatnonzero(more)
-    none = pa.nulls(len(a), pa.int64())
-    return pa.RecordBatch.from_arrays(
-        [pa.concat_arrays([none, pa.array(lists[m])]), pa.array(np.concatenate([keys[a], keys[m]])),
-         pa.concat_arrays([pa.array(keys[b]), pa.nulls(len(m), pa.int64())]),
-         *(pa.concat_arrays([none, pa.array(s[m])]) for s in (s0, s1))], names=["list", "a", "b", "s0", "s1"])
+    """(list, key, size, leader) of the lines of lists with several, from rows sorted by list and key."""
+    for lists, keys, sizes in _each_list(batches, 3):
+        first = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]]))
+        lengths = np.diff(np.append(first, len(lists)))
+        leader = np.repeat(first, lengths)
+        at = np.flatnonzero(np.repeat(lengths > 1, lengths))
+        to = leader[at]
+        none = (at == to) | ~_comparable(sizes[at], sizes[to])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(lists[at]), pa.array(keys[at]), pa.array(sizes[at]), pa.array(keys[to], mask=none)],
+            names=["list", "key", "size", "leader"])
 
 
 def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Near pairs of different groups of a list, from rows (list, a, s0, s1, group) sorted by list."""
-    for lists, keys, s0, s1, groups in _each_list(batches, 5):
+    """Pairs (a, b) that can be links between different groups u, v of a list, from rows (list, key, size, group) sorted by list."""
+    for rows in _each_list(batches, 4):
+        first = np.flatnonzero(np.concatenate([[True], rows[0][1:] != rows[0][:-1]]))
+        torn = np.minimum.reduceat(rows[3], first) != np.maximum.reduceat(rows[3], first)
+        lists, keys, sizes, groups = (r[np.repeat(torn, np.diff(np.append(first, len(r))))] for r in rows)
+
+        def pairs(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+            can = (groups[a] != groups[b]) & _comparable(sizes[a], sizes[b])
+            if can.any():
+                a, b = a[can], b[can]
+                a, b = np.where(keys[a] < keys[b], a, b), np.where(keys[a] < keys[b], b, a)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[a], keys[b], groups[a], groups[b])], names=["a", "b", "u", "v"])
+
         ends = np.searchsorted(lists, lists, side="right")
-        for i, end in enumerate(ends.tolist()):
-            inside = slice(i + 1, end)
-            to = np.flatnonzero(_near(s0, s1, inside, i) & (groups[inside] != groups[i])) + i + 1
-            if len(to):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(to), keys[i])), pa.array(keys[to])], names=["a", "b"])
+        lengths = ends - np.searchsorted(lists, lists)
+        at = np.flatnonzero(lengths <= LIST)
+        for step in range(1, LIST):
+            at = at[at + step < ends[at]]
+            if not len(at):
+                break
+            yield from pairs(at, at + step)
+        for i in np.flatnonzero(lengths > LIST).tolist():
+            to = np.arange(i + 1, ends[i])
+            yield from pairs(np.full(len(to), i), to)
 
 
 def _common(a: str, b: str) -> int:
@@ -249,6 +273,26 @@ def _common(a: str, b: str) -> int:
     return low
 
 
+def _aligned(a: str, b: str, most: int) -> int:
+    """Edits of one way to turn ``a`` into ``b``: common runs from left to right, found by pieces of ``a``."""
+    edits = i = j = 0
+    while True:
+        at = _common(a[i:], b[j:])
+        i, j = i + at, j + at
+        spare = most - edits
+        if max(len(a) - i, len(b) - j) <= spare:
+            return edits + max(len(a) - i, len(b) - j)
+        for skip in range(1, spare + 1):
+            if i + skip + 8 > len(a):
+                return most + 1
+            if (to := b.find(a[i + skip:i + skip + 8], j, j + spare + 8)) >= 0:
+                break
+        else:
+            return most + 1
+        edits += max(skip, to - j)
+        i, j = i + skip, to
+
+
 def edits_within(a: str, b: str, most: int) -> bool:
     """Whether the edit distance is at most ``most``: a column of the table is two long integers."""
     at = _common(a, b)
@@ -257,8 +301,11 @@ def edits_within(a: str, b: str, most: int) -> bool:
     a, b = a[:len(a) - at], b[:len(b) - at]
     if not a or not b:
         return len(a) + len(b) <= most
-    if max(len(a), len(b)) <= most:
+    if max(len(a), len(b)) <= most or _aligned(a, b, most) <= most:
         return True
+    if len(a) > 3 * most and len(grams := {a[i:i + 3] for i in range(len(a) - 2)}) > 3 * most:
+        if len(grams.difference(b[i:i + 3] for i in range(len(b) - 2))) > 3 * most:  # an edit takes at most three of them
+            return False
     codes = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)
     places = {chr(c): int.from_bytes(np.packbits(codes == c, bitorder="little").tobytes(), "little") for c in np.unique(codes).tolist()}
     full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
@@ -286,20 +333,19 @@ def _root(parents: dict[int, int], x: int) -> int:
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of a task, enough of them to connect what all its links would connect.
+    """Links (u, v) of a task, enough of them to connect what all its links would connect.
 
-    A pair that earlier links of the task already connect needs no distance, so many variants of one
-    line cost about as many distances as there are variants. Pairs are first told apart by their
-    lengths, whole batches at a time.
+    A pair whose groups earlier links of the task already connect needs no distance, so many variants of
+    one line cost about as many distances as there are variants.
     """
     parents: dict[int, int] = {}
     for batch in batches:
         a_long, b_long = (np.asarray(pc.utf8_length(batch.column(i))).astype(np.int64) for i in (2, 3))
         most = np.maximum(a_long, b_long) * EDITS // 100
         keep = np.zeros(len(batch), bool)
-        a, b = np.asarray(batch.column(0)).tolist(), np.asarray(batch.column(1)).tolist()
+        u, v = np.asarray(batch.column(0)).tolist(), np.asarray(batch.column(1)).tolist()
         for i in np.flatnonzero(np.abs(a_long - b_long) <= most).tolist():
-            x, y = _root(parents, a[i]), _root(parents, b[i])
+            x, y = _root(parents, u[i]), _root(parents, v[i])
             if x != y and edits_within(batch.column(2)[i].as_py(), batch.column(3)[i].as_py(), int(most[i])):
                 keep[i] = True
                 parents[x] = y
@@ -307,15 +353,27 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of the pairs whose edit distance is at most EDITS percent of the longer line, enough to connect them all."""
+    """Groups (u, v) of the pairs (a, b) whose edit distance is at most EDITS percent of the longer line, enough to connect them all."""
     left = texts.select(F.col("key").alias("a"), F.col("line_text").alias("a_text"))
     right = texts.select(F.col("key").alias("b"), F.col("line_text").alias("b_text"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text")
-    return both.mapInArrow(_close, "a bigint, b bigint")
+    both = pairs.join(left, "a").join(right, "b").select("u", "v", "a_text", "b_text")
+    return both.mapInArrow(_close, "u bigint, v bigint")
 
 
-def normal_form(line: Column) -> Column:
-    return F.btrim(F.regexp_replace(ascii_lower(line), f"[{BLANK}]+", " "))
+def _wanted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, line_text) of the wanted lines (row, text, keys, lines), in normal form; copies of a row in a task count once."""
+    seen: set[int] = set()
+    for batch in batches:
+        for start in range(0, len(batch), 1024):
+            keys: list[int] = []
+            forms: list[str] = []
+            for row, text, wanted, at in zip(*(batch.column(i).slice(start, 1024).to_pylist() for i in range(4))):
+                if row not in seen:
+                    seen.add(row)
+                    lines = text.encode().lower().split(b"\n")  # of bytes: A-Z only, and the blanks of the word rules
+                    keys += wanted
+                    forms += [b" ".join(lines[n].split()).decode() for n in at]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(forms, pa.string())], names=["key", "line_text"])
 
 
 def _row(text: str, row_id: str) -> Column:
@@ -328,38 +386,33 @@ def _texts(docs: DataFrame, distinct: DataFrame, keys: DataFrame, text: str, row
     wanted = (distinct.join(keys.distinct(), "key").select("key", "first.row", "first.line")
               .groupBy("row").agg(F.collect_list(F.struct("key", "line")).alias("wanted")))
     rows = docs.select(_row(text, row_id).alias("row"), whole_text(text).alias("text")).join(wanted, "row")
-    each = rows.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
-    return (each.select("w.key", normal_form(F.element_at("lines", F.col("w.line") + 1)).alias("line_text"))
-            .dropDuplicates(["key"]))
+    return rows.select("row", "text", "wanted.key", "wanted.line").mapInArrow(_wanted_lines, "key bigint, line_text string")
 
 
 def _decisions(docs: DataFrame, text: str, row_id: str) -> DataFrame:
     """(id, row, line, kept, keeper_id, keeper_line) of every line with words."""
     kind = docs.schema[row_id].dataType.simpleString()
+    breaks = F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
+    wide = layout(docs.agg(F.sum(F.coalesce(breaks, F.lit(0)) + 1)).first()[0] or 0)
     lines = written(docs.select(F.col(row_id).alias("id"), _row(text, row_id).alias("row"), whole_text(text).alias("text")).mapInArrow(
-        _lines, f"id {kind}, row bigint, line int, key bigint, sim binary"))
+        _lines(*wide), f"id {kind}, row bigint, line int, key bigint, size int, blocks binary"))
     distinct = written(lines.groupBy("key").agg(
         F.min(F.struct(F.col("id").isNull().alias("last"), "id", "line", "row")).alias("first"),
-        F.first("sim").alias("sim"), F.count(F.lit(1)).alias("uses")))
-    listed = distinct.select("key", "sim").mapInArrow(
-        _blocks(*layout(distinct.count())), "list bigint, key bigint, s0 bigint, s1 bigint")
+        F.first("size").alias("size"), F.first("blocks").alias("blocks"), F.count(F.lit(1)).alias("uses")))
+    listed = distinct.select("key", "size", "blocks").mapInArrow(_lists(*wide), "list bigint, key bigint, size int")
     found = written(listed.repartition("list").sortWithinPartitions("list", "key").mapInArrow(
-        _candidates, "list bigint, a bigint, b bigint, s0 bigint, s1 bigint"))
-    pairs = found.filter("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    members = found.filter("b is null").select("list", "a", "s0", "s1")
-    keys = found.select(F.col("a").alias("key")).unionByName(found.filter("b is not null").select(F.col("b").alias("key")))
-    texts = written(_texts(docs, distinct, keys, text, row_id))
-    links = settled(_verified(pairs, texts))
-    known = components(links)
-    placed = settled(members.join(known, F.col("a") == F.col("node"), "left").select(
-        "list", "a", "s0", "s1", F.coalesce("component", "a").alias("group")))
-    torn = placed.groupBy("list").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high")
-    rest = (placed.join(torn.select("list"), "list", "left_semi").repartition("list").sortWithinPartitions("list")
-            .mapInArrow(_between, "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        _candidates, "list bigint, key bigint, size int, leader bigint"))
+    texts = written(_texts(docs, distinct, found.select("key"), text, row_id))
+    pairs = settled(found.filter("leader is not null").groupBy(F.col("key").alias("b")).agg(F.min("leader").alias("a")))
+    known = settled(components(_verified(pairs.select("a", "b", F.col("a").alias("u"), F.col("b").alias("v")), texts), "u", "v"))
+    placed = found.join(known, F.col("key") == F.col("node"), "left").select(
+        "list", "key", "size", F.coalesce("component", "key").alias("group"))
+    rest = (placed.repartition("list").sortWithinPartitions("list").mapInArrow(_between, "a bigint, b bigint, u bigint, v bigint")
             .distinct().join(pairs, ["a", "b"], "left_anti"))
-    known = components(links.unionByName(_verified(rest, texts)))
-    groups = (distinct.join(known.withColumnRenamed("node", "key"), "key", "left")
-              .withColumn("component", F.coalesce("component", "key")))
+    merged = components(_verified(rest, texts), "u", "v").select(F.col("node").alias("group"), F.col("component").alias("whole"))
+    groups = (distinct.select("key", "first", "uses").join(known.withColumnRenamed("node", "key"), "key", "left")
+              .withColumn("group", F.coalesce("component", "key")).join(merged, "group", "left")
+              .select("key", "first", "uses", F.coalesce("whole", "group").alias("component")))
     keepers = groups.groupBy("component").agg(F.min("first").alias("keeper"))
     named = groups.select("key", "component", "uses").join(keepers, "component").select("key", "keeper", "uses")
     joined = with_group_values(lines.select("id", "row", "line", "key"), named, "key", "uses", lines.count())

@@ -143,3 +143,23 @@ def test_repeated_ids_and_empty_table(documents):
     rows = line_dedup.line_summary(documents(["same line", "same line", "same line"], ids=[1, 1, 2])).collect()
     assert sorted((r.doc_id, r.n_dropped) for r in rows) == [(1, 0), (1, 0), (2, 1)]
     assert line_dedup.line_summary(documents([])).count() == 0
+
+
+def test_variants_of_short_and_long_lines_are_one_group(documents):
+    random.seed(6)
+    words = ["".join(random.choice("abcdefghijklmnop") for _ in range(random.randint(3, 9))) for _ in range(3000)]
+    long = [" ".join(random.sample(words, 40)) for _ in range(60)]
+    near = [" ".join(w if n % 9 else random.choice(words) for n, w in enumerate(line.split())) for line in long]
+    short = ["".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in range(5, 15) for _ in range(6)]
+    edited = [s[:2] + s[3:] if len(s) < 10 else s[:1] + "é" + s[2:7] + s[8:] for s in short]
+    texts = ["\n".join(x) for x in (long, near, short, edited)]
+    rows = line_dedup.line_decisions(documents(texts)).collect()
+    _, _, pairs = brute(texts, range(4))
+    assert len(pairs) >= 100
+    assert hold(rows, texts, range(4)) >= 0.99
+    kept = {(r.doc_id, r.line): (r.keeper_id, r.keeper_line) for r in rows}
+    groups, lines, _ = brute(texts[2:], [2, 3])  # of short lines every link is found
+    forms = {}
+    for i, n, form in lines:
+        forms.setdefault(groups[form], set()).add(kept[i, n])
+    assert all(len(keepers) == 1 for keepers in forms.values())
