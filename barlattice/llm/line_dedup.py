@@ -54,7 +54,7 @@ _ALL = _U(2 ** 64 - 1)
 #: Bytes of letters and digits, and all bytes of other characters than ASCII.
 _TELLING = np.array([b > 127 or chr(b).isalnum() for b in range(256)])
 _TOKEN_BITS = _U(34)
-#: Tokens of so many bytes come into a sample eight times as easily as shorter ones, which most lines share.
+#: In every other block, tokens of so many bytes come into a sample eight times as easily as shorter ones, which most lines share.
 _LONG = 6
 
 
@@ -93,7 +93,7 @@ def simhash(tokens: np.ndarray, first: np.ndarray, width: int, tables: int) -> n
     out = np.empty((len(first), tables, size), np.uint8)
     for t, places in enumerate(_places(width, tables)):
         ranks = hashing.mix64(tokens + (_U(t + 1) << _TOKEN_BITS))
-        ranks >>= shift
+        ranks >>= shift * _U(t % 2)
         taken = np.empty((len(first), width // _BITS), _U)
         for k in range(taken.shape[1]):
             taken[:, k] = np.minimum.reduceat(ranks, first)
