@@ -13,9 +13,12 @@ with the smallest hashes of that block, so lines that share most tokens mostly h
 A pair that shares ``SHARED`` of its tokens has no equal block with a chance of ``MISS``; samples grow
 with the logarithm of the lines, and blocks with them, so this is the same at every size.
 
-Every pair of a list is settled: each line is first tried with the smallest line of a list, and all
-pairs that this leaves in different groups are tried then. Lists of up to ``LIST`` lines are compared
-at once, longer ones line by line; none is cut.
+Every pair of a list is settled. Only hashes of lists and places of lines are shuffled to find the lists
+with several lines, and only these lists go on, with an outline of each line: two bits a character,
+equal for equal characters. Outlines reject pairs that cannot be links; what they leave is told by the
+texts, which only such lines give. Each line is first tried with the first line of a list, and pairs
+that this leaves in different groups are tried then. Lists of up to ``LIST`` lines are compared at
+once, longer ones line by line; none is cut.
 
 Defined cases: blank lines have no normal form and always stay; null and empty texts have one blank
 line; equal rows of an id stand for one document, whose lines stay or go together, and different
@@ -36,6 +39,7 @@ from math import ceil, log, log1p, log2
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,12 +54,19 @@ SHARED, MISS = 0.75, 0.01
 _BITS = 7
 APART = 1 - SHARED ** (1 / _BITS)
 _U = np.uint64
-_ALL = _U(2 ** 64 - 1)
+_LAST = np.uint32(2 ** 32 - 1)
 #: Bytes of letters and digits, and all bytes of other characters than ASCII.
 _TELLING = np.array([b > 127 or chr(b).isalnum() for b in range(256)])
 _TOKEN_BITS = _U(34)
 #: In every other block, tokens of so many bytes come into a sample eight times as easily as shorter ones, which most lines share.
 _LONG = 6
+#: Classes of characters, by their last byte: letters of about equal frequency in turn, a blank is one of them.
+_CLASS = np.arange(256, dtype=np.uint8) & 3
+_CLASS[np.frombuffer(b" etaonihsrdlucmfwygpbvk", np.uint8)] = np.array([0, 1, 2, 3, 3, 2, 1, 0] * 3, np.uint8)[:23]
+#: Widest band of outlines, in words of 64 diagonals.
+BAND = 4
+#: Bound of the bits that tell tasks which lines are wanted as texts.
+FIELD = 2 ** 26
 
 
 def layout(lines: int) -> tuple[int, int]:
@@ -87,22 +98,23 @@ def simhash(tokens: np.ndarray, first: np.ndarray, width: int, tables: int) -> n
     """Blocks, a row of bytes for each run of different token hashes that start at ``first``."""
     lengths = np.diff(np.append(first, len(tokens)))
     sample = np.minimum(lengths, width // _BITS)
-    owner = np.repeat(np.arange(len(first)), lengths)
-    shift = (tokens >> (_TOKEN_BITS - _U(1)) ^ _U(1)) * _U(3)
+    runs = {n: np.flatnonzero(sample == n) for n in np.unique(sample).tolist()}
+    shift = ((tokens >> (_TOKEN_BITS - _U(1)) ^ _U(1)) * _U(3)).astype(np.uint32)
+    odd = hashing.powers(tables + 1)
     size = -(-width // 8)
     out = np.empty((len(first), tables, size), np.uint8)
     for t, places in enumerate(_places(width, tables)):
-        ranks = hashing.mix64(tokens + (_U(t + 1) << _TOKEN_BITS))
-        ranks >>= shift * _U(t % 2)
-        taken = np.empty((len(first), width // _BITS), _U)
+        ranks = ((tokens * odd[t + 1]) >> _U(32)).astype(np.uint32)
+        if t % 2:
+            ranks >>= shift
+        taken = np.empty((len(first), width // _BITS), np.uint32)
         for k in range(taken.shape[1]):
             taken[:, k] = np.minimum.reduceat(ranks, first)
             if k + 1 < taken.shape[1]:
-                ranks[ranks == taken[:, k][owner]] = _ALL
+                ranks[ranks == np.repeat(taken[:, k], lengths)] = _LAST
         block = np.empty(len(first), _U)
-        for n in np.unique(sample).tolist():
-            of = np.flatnonzero(sample == n)
-            block[of] = _vote(hashing.mix64(taken[of, :n]))
+        for n, of in runs.items():
+            block[of] = _vote(hashing.mix64(taken[of, :n] + (_U(t + 1) << _U(32))))
         block &= np.bitwise_or.reduce(_U(1) << places.astype(_U))
         out[:, t] = hashing.mix64(block + _U(t)).view(np.uint8).reshape(-1, 8)[:, :size]
     return out.reshape(len(first), tables * size)
@@ -135,16 +147,15 @@ def _tokens(data: np.ndarray, offsets: np.ndarray, line_starts: np.ndarray) -> t
     return both & ((_U(1) << _TOKEN_BITS) - _U(1)), np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
 
 
-def line_hashes(texts: pa.Array, width: int, tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Of the lines with words: text, line number, key and length of the normal form, and its blocks followed by its shortened forms."""
+def _line_words(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """Bytes and offsets of the texts, starts of lines, starts and ends of words, first word of each line with words, text and number of that line, and its key."""
     data, offsets = hashing.text_bytes(texts)
     starts, ends, _ = hashing.spans(~hashing._BLANK[data], offsets)
+    line_starts = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(data == 10) + 1]))
     if not len(starts):
         none = np.zeros(0, np.int64)
-        return none, none, none, none, []
-    lower = hashing._LOWER[data]
-    hashes = hashing.hash_spans(lower, starts, ends)
-    line_starts = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(data == 10) + 1]))
+        return data, offsets, line_starts, none, none, none, none, none, none
+    hashes = hashing.hash_spans(hashing._LOWER[data], starts, ends)
     line = np.searchsorted(line_starts, starts, side="right") - 1
     first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
     lengths = np.diff(np.append(first, len(line)))
@@ -153,52 +164,126 @@ def line_hashes(texts: pa.Array, width: int, tables: int) -> tuple[np.ndarray, n
     keys = hashing.mix64(np.add.reduceat(hashes * weights, first) + lengths.astype(_U) * _U(0x8EBC6AF09C88C6E3))
     owner = np.searchsorted(offsets, line_starts[line[first]], side="right") - 1
     number = line[first] - np.searchsorted(line_starts, offsets[owner])
-    points = np.append(0, np.cumsum((data & 0xC0) != 0x80))  # characters before each byte
-    sizes = np.add.reduceat(points[ends] - points[starts], first) + lengths - 1
-    held = simhash(*_tokens(data, offsets, line_starts), width, tables)
-    blocks = [x.tobytes() for x in held]
+    return data, offsets, line_starts, starts, ends, first, owner, number, keys.view(np.int64)
+
+
+def _outlines(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Number of characters of every line's normal form, and the classes of these characters, four in a byte."""
+    lengths = ends - starts + 1  # with the blank after each word
+    begin = np.cumsum(lengths) - lengths
+    form = hashing._LOWER[data[np.minimum(np.arange(lengths.sum()) + np.repeat(starts - begin, lengths), len(data) - 1)]]
+    form[begin + lengths - 1] = 32
+    last = np.append((form[1:] & 0xC0) != 0x80, True)  # the last byte of each character; blanks end the words
+    points = np.append(0, np.cumsum(last))
+    at = points[np.append(begin[first], len(form))]
+    sizes = np.diff(at) - 1
+    held = -(-(sizes + 1) // 4)
+    shift = np.cumsum(held) - held
+    codes = np.zeros(int(held.sum()) * 4, np.uint8)
+    codes[np.arange(at[-1]) + np.repeat(shift * 4 - at[:-1], sizes + 1)] = _CLASS[form[last]]
+    packed = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(axis=1, dtype=np.uint8)
+    ends = np.append(shift, len(packed)).astype(np.int32)
+    return sizes, pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(packed)])
+
+
+def _blocks(texts: pa.Array, width: int, tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array, list[bytes]]:
+    """Of the lines with words: text, line number, key, length of the normal form, its outline, and its blocks followed by its shortened forms."""
+    data, offsets, line_starts, starts, ends, first, owner, number, keys = _line_words(texts)
+    if not len(first):
+        return owner, number, keys, keys, pa.array([], pa.binary()), []
+    sizes, outlines = _outlines(data, starts, ends, first)
+    blocks = [x.tobytes() for x in simhash(*_tokens(data, offsets, line_starts), width, tables)]
+    after = np.append(first, len(starts))
     for i in np.flatnonzero(sizes <= SHORT).tolist():
-        words = range(first[i], first[i] + lengths[i])
-        blocks[i] += _shortened(" ".join(lower[starts[w]:ends[w]].tobytes().decode() for w in words))
-    return owner, number, keys.view(np.int64), sizes, blocks
+        words = range(after[i], after[i + 1])
+        blocks[i] += _shortened(" ".join(hashing._LOWER[data[starts[w]:ends[w]]].tobytes().decode() for w in words))
+    return owner, number, keys, sizes, outlines, blocks
 
 
-def _lines(width: int, tables: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _compared(width: int, tables: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What lines are compared by, from (id, row, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2)
             for a, b in hashing.slices(texts):
-                owner, number, keys, sizes, blocks = line_hashes(texts.slice(a, b - a), width, tables)
+                owner, number, keys, sizes, outlines, blocks = _blocks(texts.slice(a, b - a), width, tables)
                 at = pa.array(owner)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(i).slice(a, b - a).take(at) for i in (0, 1)), pa.array(number.astype(np.int32)), pa.array(keys),
+                     pa.array(sizes.astype(np.int32)), outlines, pa.array(blocks, pa.binary())],
+                    names=["id", "row", "line", "key", "size", "outline", "blocks"])
+    return run
+
+
+def _placed(field: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(id, row, line, key, line_text) of every line, from (id, row, text); the normal form of a line that may be wanted, once in a task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        words = field.value
+        for batch in batches:
+            texts = batch.column(2)
+            for a, b in hashing.slices(texts):
+                data, _, _, starts, ends, first, owner, number, keys = _line_words(texts.slice(a, b - a))
+                at, after = pa.array(owner), np.append(first, len(starts))
+                unsigned = keys.view(_U)
+                held = words[(unsigned >> _U(6)) & _U(len(words) - 1)] >> (unsigned & _U(63)) & _U(1)
+                forms: list[str | None] = [None] * len(keys)
+                for i in np.flatnonzero(held).tolist():
+                    if int(keys[i]) not in seen:
+                        seen.add(int(keys[i]))
+                        line = data[starts[after[i]]:ends[after[i + 1] - 1]].tobytes()
+                        forms[i] = b" ".join(line.lower().split()).decode()  # of bytes: A-Z only, and the blanks of the word rules
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(i).slice(a, b - a).take(at) for i in (0, 1)), pa.array(number.astype(np.int32)),
-                     pa.array(keys), pa.array(sizes.astype(np.int32)), pa.array(blocks, pa.binary())],
-                    names=["id", "row", "line", "key", "size", "blocks"])
+                     pa.array(keys), pa.array(forms, pa.string())], names=["id", "row", "line", "key", "line_text"])
     return run
 
 
-def _lists(width: int, tables: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(list, key, size) of every line under each of its blocks and shortened forms."""
+def _dealt(width: int, tables: int, parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Hashes of the lists of lines (node, blocks), dealt to ``parts``: (part, base, hashes, places), a line being base + place."""
     size = -(-width // 8)
     whole = size * tables
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in batches:
-            for start in range(0, len(table), 4096):
-                batch = table.slice(start, 4096)
-                held = batch.column(2).to_pylist()
-                wide = np.zeros((len(batch), tables, 8), np.uint8)
-                wide[:, :, :size] = np.frombuffer(b"".join(x[:whole] for x in held), np.uint8).reshape(-1, tables, size)
-                blocks = hashing.mix64(wide.view(_U)[:, :, 0] * _U(tables) + np.arange(tables, dtype=_U))
-                more = [len(x) // 8 for x in (y[whole:] for y in held)]
-                forms = np.frombuffer(b"".join(x[whole:] for x in held), _U)
-                rows = np.concatenate([np.repeat(np.arange(len(batch)), tables), np.repeat(np.arange(len(batch)), more)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([blocks.ravel(), forms]).view(np.int64)), *(batch.column(i).take(pa.array(rows)) for i in (0, 1))],
-                    names=["list", "key", "size"])
+            nodes = np.asarray(table.column(0))
+            cuts = np.flatnonzero(np.diff(nodes) != 1) + 1  # files of a task
+            for start, end in zip(np.append(0, cuts).tolist(), np.append(cuts, len(nodes)).tolist()):
+                for a in range(start, end, 65536):
+                    held = table.column(1).slice(a, min(end, a + 65536) - a).to_pylist()
+                    wide = np.zeros((len(held), tables, 8), np.uint8)
+                    wide[:, :, :size] = np.frombuffer(b"".join(x[:whole] for x in held), np.uint8).reshape(-1, tables, size)
+                    blocks = hashing.mix64(wide.view(_U)[:, :, 0] * _U(tables) + np.arange(tables, dtype=_U)).ravel()
+                    more = [(len(x) - whole) // 8 for x in held]
+                    lists = np.concatenate([blocks, np.frombuffer(b"".join(x[whole:] for x in held), _U)])
+                    places = np.concatenate([np.repeat(np.arange(len(held)), tables), np.repeat(np.arange(len(held)), more)]).astype(np.uint16)
+                    part = (lists & _U(0xFFFFFFFF)) % _U(parts)
+                    order = np.argsort(part.astype(np.uint16 if parts <= 65536 else np.uint32), kind="stable")
+                    part, hashes, places = part[order], (lists >> _U(32)).astype(np.uint32)[order], places[order]
+                    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+                    spans = list(zip(first.tolist(), np.append(first[1:], len(part)).tolist()))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(part[first].astype(np.int32)), pa.array(np.full(len(first), nodes[a])),
+                         pa.array([hashes[i:j].tobytes() for i, j in spans], pa.binary()),
+                         pa.array([places[i:j].tobytes() for i, j in spans], pa.binary())],
+                        names=["part", "base", "hashes", "places"])
     return run
 
 
+def _shared_lists(table: pa.Table) -> pa.Table:
+    """(list, node) of the lists with several lines of a part; a list is named by its lines, so lists of the same lines are one."""
+    hashes = np.frombuffer(b"".join(table.column("hashes").to_pylist()), np.uint32)
+    held = table.column("places").to_pylist()
+    nodes = np.frombuffer(b"".join(held), np.uint16) + np.repeat(np.asarray(table.column("base")), [len(x) // 2 for x in held])
+    order = np.argsort(hashes)
+    hashes, nodes = hashes[order], nodes[order]
+    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+    lengths = np.diff(np.append(first, len(hashes)))
+    several = lengths > 1
+    names = np.repeat(hashing.mix64(np.add.reduceat(hashing.mix64(nodes.astype(_U) + _U(1)), first) + lengths.astype(_U))[several], lengths[several])
+    return pa.table({"list": names.view(np.int64), "node": nodes[np.repeat(several, lengths)]})
+
+
 def _each_list(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list[np.ndarray]]:
     """Whole lists, many at a time, of rows sorted by list."""
     held: list[list[np.ndarray]] = []
@@ -223,18 +308,218 @@ def _comparable(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.abs(a - b) <= np.maximum(a, b) * EDITS // 100
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(list, key, size, leader) of the lines of lists with several, from rows sorted by list and key."""
-    for lists, keys, sizes in _each_list(batches, 3):
+def _band_words(most: np.ndarray) -> np.ndarray:
+    return (most + 2) // 64 + 1
+
+
+def _far(codes: np.ndarray, at: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Pairs of rows whose outlines prove that they are no link.
+
+    Equal characters have equal classes, so the edit distance of two outlines is at most that of the
+    lines. It is taken for many pairs at once, by bit vectors over a band of diagonals that holds every
+    way of ``most`` edits; a pair is far once the band's lower edge has more edits than such a way leaves.
+    Pairs whose band is wider than BAND words are not judged here, and left to their texts.
+    """
+    out = np.zeros(len(a), bool)
+    a, b = np.where(sizes[a] >= sizes[b], a, b), np.where(sizes[a] >= sizes[b], b, a)
+    order = np.argsort(sizes[a], kind="stable")
+    words = _band_words(sizes[a[order]] * EDITS // 100)
+    start = 0
+    while start < len(order) and words[start] <= BAND:
+        end = min(start + 4096, int(np.searchsorted(words, words[start], side="right")))
+        of = order[start:end]
+        out[of] = _far_chunk(codes, at, sizes, a[of], b[of])
+        start = end
+    return out
+
+
+def _matrix(codes: np.ndarray, at: np.ndarray, sizes: np.ndarray, shift: np.ndarray, width: int) -> np.ndarray:
+    """Codes of rows from column ``shift`` on; 4 elsewhere."""
+    out = np.full((len(at), width), 4, np.uint8)
+    first = np.cumsum(sizes) - sizes
+    inner = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+    out[np.repeat(np.arange(len(at)), sizes), inner + np.repeat(shift, sizes)] = codes[inner + np.repeat(at, sizes)]
+    return out
+
+
+def _far_chunk(codes: np.ndarray, at: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    m, n = sizes[a], sizes[b]
+    most = m * EDITS // 100
+    low = (most + m - n + 1) // 2  # diagonals below the main one
+    words = int(_band_words(most.max()))
+    steps = m - low
+    limit = most + low - (m - n)
+    total = int(steps.max()) if len(steps) else 0
+    shift = 64 * words - 1 - low
+    width = -(-(int((m + shift).max()) + 64) // 64) * 64 + 64 * words
+    pattern = _matrix(codes, at[a], m, shift, width)
+    places = np.stack([np.packbits(pattern == c, axis=1, bitorder="little").view(_U) for c in range(4)])  # class, pair, word
+    places = np.ascontiguousarray(places.transpose(2, 0, 1))
+    text = np.ascontiguousarray(_matrix(codes, at[b], n, np.zeros_like(n), max(total, int(n.max()))).T)
+    alive = np.arange(len(a))
+    score = low.copy()
+    far = np.zeros(len(a), bool)
+    ones = np.full(len(a), _U(2 ** 64 - 1))
+    up = []  # rows that may lie below the first column: the last low + 1 bits
+    for w in range(words):
+        bits = np.clip(low + 1 - 64 * (words - 1 - w), 0, 64)
+        up.append(np.where(bits > 0, ones << (_U(64) - np.maximum(bits, 1).astype(_U)), _U(0)))
+    down = [np.zeros(len(a), _U) for _ in range(words)]
+    one, top = _U(1), _U(63)
+    for i in range(total):
+        word, bit = i >> 6, _U(i & 63)
+        row = text[i]
+        pick = np.minimum(row, 3).astype(np.intp) * places.shape[2] + np.arange(places.shape[2])
+        got = [places[word + w].ravel()[pick] for w in range(words + (1 if bit else 0))]
+        if bit:
+            got = [(got[w] >> bit) | (got[w + 1] << (_U(64) - bit)) for w in range(words)]
+        carry = None
+        diagonal = []
+        for w in range(words):
+            equal = got[w]
+            both = equal & up[w]
+            add = both + up[w]
+            over = add < both
+            if carry is not None:
+                add += carry
+                over |= (add == 0) & (carry == one)
+            carry = over.astype(_U)
+            diagonal.append((add ^ up[w]) | equal | down[w])
+        score += ((diagonal[-1] >> top) == 0) & (i < steps)
+        for w in range(words):
+            more = down[w] | ~(diagonal[w] | up[w])
+            less = diagonal[w] & up[w]
+            moved = diagonal[w] >> one
+            if w + 1 < words:
+                moved |= diagonal[w + 1] << top
+            up[w], down[w] = less | ~(moved | more), moved & more
+        if i % 32 == 31 or i + 1 == total:
+            lost = score > limit
+            far[alive[lost]] = True
+            stay = ~lost & (i + 1 < steps)
+            if stay.sum() < 0.8 * len(stay):
+                if not stay.any():
+                    break
+                alive, score, limit, steps = alive[stay], score[stay], limit[stay], steps[stay]
+                places, text = np.ascontiguousarray(places[:, :, stay]), np.ascontiguousarray(text[:, stay])
+                up, down = [x[stay] for x in up], [x[stay] for x in down]
+                if i + 1 >= int(steps.max()):
+                    break
+    return far
+
+
+def _near_big(i: int, j: int, sizes: np.ndarray, far: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of the rows i to j that are not far, each row tried with the first of every group that this makes; then rows of groups still apart.
+
+    Several first rows are taken at once where most rows have a group of their own.
+    """
+    rows = np.arange(i, j)
+    group = np.arange(j - i)
+    placed, heads = np.zeros(j - i, bool), np.zeros(j - i, bool)
+    parents: dict[int, int] = {}
+    at_once = 1
+
+    def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        for g, h in np.unique(np.stack([group[a - i], group[b - i]]), axis=1).T.tolist():
+            parents[_root(parents, g)] = _root(parents, h)
+        return np.array([_root(parents, g) for g in group.tolist()])
+
+    while (left := np.flatnonzero(~placed)).size:
+        new = left[:at_once]
+        tried = [(i + h, rows[~heads & (rows != i + h) & ~(np.isin(rows, i + new) & (rows < i + h))]) for h in new.tolist()]
+        heads[new] = True
+        a, b = np.concatenate([np.full(len(to), h) for h, to in tried]), np.concatenate([to for _, to in tried])
+        can = _comparable(sizes[a], sizes[b])
+        a, b = a[can], b[can]
+        stay = ~far(a, b)
+        yield a[stay], b[stay]
+        group = joined(a[stay], b[stay])
+        placed[new] = placed[b[stay] - i] = True
+        at_once = min(64, at_once * 2) if stay.sum() < 8 * len(new) else 1
+    others = rows[~heads]
+    held: list[np.ndarray] = []
+    for at, x in enumerate(others.tolist()):
+        to = others[at + 1:]
+        to = to[(group[to - i] != group[x - i]) & _comparable(sizes[to], sizes[x])]
+        held.append(np.stack([np.full(len(to), x), to]))
+        if sum(p.shape[1] for p in held) >= 1 << 14 or at + 1 == len(others):
+            a, b = np.concatenate(held, axis=1)
+            held = []
+            stay = ~far(a, b)
+            yield a[stay], b[stay]
+            group = joined(a[stay], b[stay])
+
+
+def _near(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs (list, a, b, a_size, b_size) that outlines leave, of rows (list, node, size, outline) sorted by list and node.
+
+    Two lines that are near the first line of their list are left to it; should a pair turn out to be no
+    link, what it was to connect is tried by ``_between``.
+    """
+    def found(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        lists, nodes, sizes = (np.asarray(batch.column(i)) for i in range(3))
+        sizes = sizes.astype(np.int64)
+        data, offsets = hashing.text_bytes(batch.column(3))
+        codes, at = ((data[:, None] >> np.array([0, 2, 4, 6], np.uint8)) & 3).ravel(), offsets[:-1] * 4
+
+        def far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return _far(codes, at, sizes, a, b)
+
+        def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            a, b = np.where(nodes[a] < nodes[b], a, b), np.where(nodes[a] < nodes[b], b, a)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (lists[a], nodes[a], nodes[b], sizes[a].astype(np.int32), sizes[b].astype(np.int32))],
+                                              names=["list", "a", "b", "a_size", "b_size"])
+
         first = np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]]))
         lengths = np.diff(np.append(first, len(lists)))
-        leader = np.repeat(first, lengths)
-        at = np.flatnonzero(np.repeat(lengths > 1, lengths))
-        to = leader[at]
-        none = (at == to) | ~_comparable(sizes[at], sizes[to])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(lists[at]), pa.array(keys[at]), pa.array(sizes[at]), pa.array(keys[to], mask=none)],
-            names=["list", "key", "size", "leader"])
+        head, length = np.repeat(first, lengths), np.repeat(lengths, lengths)
+        end = head + length
+        a = np.flatnonzero((length <= most) & (head != np.arange(len(lists))))
+        a = a[_comparable(sizes[a], sizes[head[a]])]
+        a = a[~far(head[a], a)]
+        yield pairs(head[a], a)
+        close = np.zeros(len(lists), bool)
+        close[a] = True
+        x = np.flatnonzero((length <= most) & (head != np.arange(len(lists))))
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for step in range(1, most):
+            x = x[x + step < end[x]]
+            if not len(x):
+                break
+            y = x + step
+            can = ~(close[x] & close[y]) & _comparable(sizes[x], sizes[y])
+            held.append((x[can], y[can]))
+            if sum(len(p[0]) for p in held) >= 1 << 18 or not len(x[x + step + 1 < end[x]]):
+                a, b = (np.concatenate(z) for z in zip(*held))
+                held.clear()
+                stay = ~far(a, b)
+                yield pairs(a[stay], b[stay])
+        for i, j in zip(first[lengths > most].tolist(), (first + lengths)[lengths > most].tolist()):
+            for a, b in _near_big(i, j, sizes, far):
+                if len(a):
+                    yield pairs(a, b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole_lists(batches):
+            yield from found(batch)
+    return run
+
+
+def _whole_lists(batches: Iterator[pa.RecordBatch], rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by list, in batches of about ``rows`` that do not part a list."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        lists = np.asarray(batch.column(0))
+        if sum(map(len, held)) >= rows:
+            cut = int(np.searchsorted(lists, held[-1].column(0)[-1].as_py(), side="right"))
+            if cut < len(batch):
+                yield pa.concat_batches([*held, batch.slice(0, cut)])
+                held, batch = [], batch.slice(cut)
+        held.append(batch)
+    if held:
+        yield pa.concat_batches(held)
 
 
 def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,26 +639,20 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Groups (u, v) of the pairs (a, b) whose edit distance is at most EDITS percent of the longer line, enough to connect them all."""
-    left = texts.select(F.col("key").alias("a"), F.col("line_text").alias("a_text"))
-    right = texts.select(F.col("key").alias("b"), F.col("line_text").alias("b_text"))
+    left = texts.select(F.col("node").alias("a"), F.col("line_text").alias("a_text"))
+    right = texts.select(F.col("node").alias("b"), F.col("line_text").alias("b_text"))
     both = pairs.join(left, "a").join(right, "b").select("u", "v", "a_text", "b_text")
     return both.mapInArrow(_close, "u bigint, v bigint")
 
 
-def _wanted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, line_text) of the wanted lines (row, text, keys, lines), in normal form; copies of a row in a task count once."""
-    seen: set[int] = set()
-    for batch in batches:
-        for start in range(0, len(batch), 1024):
-            keys: list[int] = []
-            forms: list[str] = []
-            for row, text, wanted, at in zip(*(batch.column(i).slice(start, 1024).to_pylist() for i in range(4))):
-                if row not in seen:
-                    seen.add(row)
-                    lines = text.encode().lower().split(b"\n")  # of bytes: A-Z only, and the blanks of the word rules
-                    keys += wanted
-                    forms += [b" ".join(lines[n].split()).decode() for n in at]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(forms, pa.string())], names=["key", "line_text"])
+def _field(keys: DataFrame, rows: int) -> np.ndarray:
+    """A bit for each key, and by chance for others: at most FIELD bits, so that many keys let more others through."""
+    bits = max(1 << 10, min(FIELD, 1 << max(0, rows * 16 - 1).bit_length()))
+    held = (keys.select(F.shiftrightunsigned("key", 6).bitwiseAND(F.lit(bits // 64 - 1)).alias("word"), F.expr("shiftleft(1L, int(key & 63))").alias("bit"))
+            .groupBy("word").agg(F.bit_or("bit").alias("mask")).toArrow())
+    out = np.zeros(bits // 64, np.int64)
+    out[np.asarray(held.column("word"))] = np.asarray(held.column("mask"))
+    return out.view(_U)
 
 
 def _row(text: str, row_id: str) -> Column:
@@ -381,38 +660,41 @@ def _row(text: str, row_id: str) -> Column:
     return F.xxhash64(F.col(row_id), whole_text(text))
 
 
-def _texts(docs: DataFrame, distinct: DataFrame, keys: DataFrame, text: str, row_id: str) -> DataFrame:
-    """(key, line_text) of the given keys, from the first occurrence of each."""
-    wanted = (distinct.join(keys.distinct(), "key").select("key", "first.row", "first.line")
-              .groupBy("row").agg(F.collect_list(F.struct("key", "line")).alias("wanted")))
-    rows = docs.select(_row(text, row_id).alias("row"), whole_text(text).alias("text")).join(wanted, "row")
-    return rows.select("row", "text", "wanted.key", "wanted.line").mapInArrow(_wanted_lines, "key bigint, line_text string")
-
-
 def _decisions(docs: DataFrame, text: str, row_id: str) -> DataFrame:
     """(id, row, line, kept, keeper_id, keeper_line) of every line with words."""
     kind = docs.schema[row_id].dataType.simpleString()
-    breaks = F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
-    wide = layout(docs.agg(F.sum(F.coalesce(breaks, F.lit(0)) + 1)).first()[0] or 0)
-    lines = written(docs.select(F.col(row_id).alias("id"), _row(text, row_id).alias("row"), whole_text(text).alias("text")).mapInArrow(
-        _lines(*wide), f"id {kind}, row bigint, line int, key bigint, size int, blocks binary"))
-    distinct = written(lines.groupBy("key").agg(
-        F.min(F.struct(F.col("id").isNull().alias("last"), "id", "line", "row")).alias("first"),
-        F.first("size").alias("size"), F.first("blocks").alias("blocks"), F.count(F.lit(1)).alias("uses")))
-    listed = distinct.select("key", "size", "blocks").mapInArrow(_lists(*wide), "list bigint, key bigint, size int")
-    found = written(listed.repartition("list").sortWithinPartitions("list", "key").mapInArrow(
-        _candidates, "list bigint, key bigint, size int, leader bigint"))
-    texts = written(_texts(docs, distinct, found.select("key"), text, row_id))
-    pairs = settled(found.filter("leader is not null").groupBy(F.col("key").alias("b")).agg(F.min("leader").alias("a")))
+    breaks = F.octet_length(text) - F.octet_length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
+    total = docs.agg(F.sum(F.coalesce(breaks, F.lit(0)) + 1)).first()[0] or 0
+    wide = layout(total)
+    rows = docs.select(F.col(row_id).alias("id"), _row(text, row_id).alias("row"), whole_text(text).alias("text"))
+    compared = rows.mapInArrow(_compared(*wide), f"id {kind}, row bigint, line int, key bigint, size int, outline binary, blocks binary")
+    distinct = written(compared.groupBy("key").agg(
+        F.min(F.struct(F.col("id").isNull().alias("last"), "id", "line", "row")).alias("first"), F.first("size").alias("size"),
+        F.first("outline").alias("outline"), F.first("blocks").alias("blocks"), F.count(F.lit(1)).alias("uses"))
+        .withColumn("node", F.monotonically_increasing_id()))
+    dealt = distinct.select("node", "blocks").mapInArrow(
+        _dealt(*wide, max(1, total * wide[1] >> 19)), "part int, base bigint, hashes binary, places binary")
+    found = (dealt.groupBy("part").applyInArrow(_shared_lists, "list bigint, node bigint")
+             .repartition("node").dropDuplicates(["list", "node"]).join(distinct.select("node", "size", "outline"), "node"))
+    near = written(found.select("list", "node", "size", "outline").repartition("list").sortWithinPartitions("list", "node").mapInArrow(
+        _near(LIST), "list bigint, a bigint, b bigint, a_size int, b_size int"))
+    members = near.select("list", F.col("a").alias("node"), F.col("a_size").alias("size")).unionByName(
+        near.select("list", F.col("b").alias("node"), F.col("b_size").alias("size"))).distinct()
+    wanted = written(distinct.select("node", "key").join(members.select("node").distinct(), "node"))
+    spark = docs.sparkSession
+    field = spark.sparkContext.broadcast(_field(wanted, wanted.count()))
+    lines = written(rows.mapInArrow(_placed(field), f"id {kind}, row bigint, line int, key bigint, line_text string"))
+    texts = written(lines.filter("line_text is not null").select("key", "line_text").join(wanted, "key")
+                    .groupBy("node").agg(F.first("line_text").alias("line_text")))
+    pairs = near.select("a", "b").distinct()
     known = settled(components(_verified(pairs.select("a", "b", F.col("a").alias("u"), F.col("b").alias("v")), texts), "u", "v"))
-    placed = found.join(known, F.col("key") == F.col("node"), "left").select(
-        "list", "key", "size", F.coalesce("component", "key").alias("group"))
+    placed = members.join(known, "node", "left").select("list", "node", "size", F.coalesce("component", "node").alias("group"))
     rest = (placed.repartition("list").sortWithinPartitions("list").mapInArrow(_between, "a bigint, b bigint, u bigint, v bigint")
             .distinct().join(pairs, ["a", "b"], "left_anti"))
     merged = components(_verified(rest, texts), "u", "v").select(F.col("node").alias("group"), F.col("component").alias("whole"))
-    groups = (distinct.select("key", "first", "uses").join(known.withColumnRenamed("node", "key"), "key", "left")
-              .withColumn("group", F.coalesce("component", "key")).join(merged, "group", "left")
-              .select("key", "first", "uses", F.coalesce("whole", "group").alias("component")))
+    linked = known.withColumnRenamed("component", "group").unionByName(merged.select(F.col("group").alias("node"), "group")).distinct()
+    linked = linked.join(merged, "group", "left").select("node", F.coalesce("whole", "group").alias("component"))
+    groups = distinct.select("node", "key", "first", "uses").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     keepers = groups.groupBy("component").agg(F.min("first").alias("keeper"))
     named = groups.select("key", "component", "uses").join(keepers, "component").select("key", "keeper", "uses")
     joined = with_group_values(lines.select("id", "row", "line", "key"), named, "key", "uses", lines.count())
@@ -427,26 +709,28 @@ def line_decisions(docs: DataFrame, text: str = "text", row_id: str = "doc_id")
     return _decisions(docs, text, row_id).drop("row").withColumnRenamed("id", row_id)
 
 
-def _with_gone(docs: DataFrame, text: str, row_id: str) -> tuple[DataFrame, str]:
-    """``docs`` with the numbers of each row's dropped lines, and the name of that column."""
-    key, row, held = (name + "_" * max(map(len, docs.columns)) for name in ("id", "row", "gone"))  # longer than any name of docs
+def _with_gone(docs: DataFrame, text: str, row_id: str, carried: DataFrame) -> tuple[DataFrame, str]:
+    """``carried``, rows of ``docs`` with their ``_row`` as a last column, with the numbers of each row's dropped lines, and the name of that column."""
+    key, row, held = (name + "_" * max(map(len, carried.columns)) for name in ("id", "row", "gone"))  # longer than any name of docs
     gone = (_decisions(docs, text, row_id).filter(~F.col("kept")).groupBy(F.col("id").alias(key), F.col("row").alias(row))
             .agg(F.array_sort(F.collect_set("line")).alias(held)))
-    return docs.join(gone, (_row(text, row_id) == F.col(row)) & F.col(row_id).eqNullSafe(F.col(key)), "left"), held
+    return carried.join(gone, (F.col(carried.columns[-1]) == F.col(row)) & F.col(row_id).eqNullSafe(F.col(key)), "left"), held
 
 
 def line_summary(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """Per document: its id, n_lines, n_dropped, and dropped, the dropped lines' numbers in order."""
-    rows, held = _with_gone(docs.select(row_id, text), text, row_id)
+    counted = docs.select(row_id, F.size(F.split(whole_text(text), "\n")).cast("long").alias("n_lines"), _row(text, row_id).alias("_" + row_id))
+    rows, held = _with_gone(docs.select(row_id, text), text, row_id, counted)
     return rows.select(
-        row_id, F.size(F.split(whole_text(text), "\n")).cast("long").alias("n_lines"),
+        row_id, "n_lines",
         F.coalesce(F.size(held), F.lit(0)).cast("long").alias("n_dropped"),
         F.coalesce(F.concat_ws(",", F.col(held).cast("array<string>")), F.lit("")).alias("dropped"))
 
 
 def drop_lines(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """``docs`` with the dropped lines taken out of the text."""
-    rows, held = _with_gone(docs, text, row_id)
+    carried = docs.withColumn("_" * (1 + max(map(len, docs.columns))), _row(text, row_id))
+    rows, held = _with_gone(docs, text, row_id, carried)
     lines = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(held, i))
     cleaned = F.when(F.col(held).isNull(), F.col(text)).otherwise(F.array_join(lines, "\n"))
     return rows.withColumn(text, cleaned).select(*docs.columns)

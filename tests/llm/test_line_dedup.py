@@ -1,6 +1,10 @@
 import random
 
-from barlattice.llm import line_dedup
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from barlattice.llm import hashing, line_dedup
 
 
 def distance(a, b):
@@ -163,3 +167,53 @@ def test_variants_of_short_and_long_lines_are_one_group(documents):
     for i, n, form in lines:
         forms.setdefault(groups[form], set()).add(kept[i, n])
     assert all(len(keepers) == 1 for keepers in forms.values())
+
+
+def outlined(forms):
+    data, _, _, starts, ends, first, *_ = line_dedup._line_words(pa.array(forms))
+    sizes, outlines = line_dedup._outlines(data, starts, ends, first)
+    assert sizes.tolist() == [len(f) for f in forms]
+    return sizes.astype(np.int64), outlines
+
+
+def variants():
+    random.seed(12)
+    words = ["".join(random.choice("abcdefghé😀") for _ in range(random.randint(1, 9))) for _ in range(200)]
+    one, two = [], []
+    for n in (1, 2, 5, 20, 40, 90, 250) * 60:
+        a = " ".join(random.choice(words) for _ in range(n))
+        b = list(a) if random.random() < 0.7 else list(" ".join(random.choice(words) for _ in range(n)))
+        for _ in range(int(len(b) * random.choice([0, 0.1, 0.18, 0.2, 0.22, 0.3]))):
+            at = random.randrange(len(b))
+            b[at:at + random.randint(0, 1)] = random.choice(["a", "é", ""])
+        one.append(a)
+        two.append(" ".join("".join(b).split()) or "a")
+    return one, two
+
+
+def test_outlines_reject_no_link():
+    one, two = variants()
+    sizes, outlines = outlined(one + two)
+    data, offsets = hashing.text_bytes(outlines)
+    codes = ((data[:, None] >> np.array([0, 2, 4, 6], np.uint8)) & 3).ravel()
+    a, b = np.arange(len(one)), np.arange(len(one)) + len(one)
+    can = line_dedup._comparable(sizes[a], sizes[b])
+    a, b = a[can], b[can]
+    far = line_dedup._far(codes, offsets[:-1] * 4, sizes, a, b)
+    near = np.array([line_dedup.edits_within(one[x], two[x], int(max(sizes[x], sizes[y])) * 20 // 100) for x, y in zip(a, b)])
+    assert near.sum() >= 100 and far.sum() >= 50 and not (far & near).any()
+
+
+def test_only_lists_with_several_lines_are_dealt_on():
+    width, tables = line_dedup.layout(10 ** 5)
+    size = -(-width // 8)
+    blocks = [np.random.default_rng(k).bytes(tables * size) for k in range(300)]
+    blocks[7] = blocks[250]  # the same lists, so one of them is enough
+    rows = pa.RecordBatch.from_arrays([pa.array(np.arange(300) + (1 << 33)), pa.array(blocks, pa.binary())], names=["node", "blocks"])
+    parts = pa.Table.from_batches(line_dedup._dealt(width, tables, 5)(iter([rows])))
+    assert sum(len(x) // 4 for x in parts.column("hashes").to_pylist()) == 300 * tables
+    got = set()
+    for part in range(5):
+        shared = line_dedup._shared_lists(parts.filter(pc.equal(parts.column("part"), part)))
+        got |= {tuple(x.values()) for x in shared.to_pylist()}
+    assert {node for _, node in got} == {(1 << 33) + 7, (1 << 33) + 250} and len({name for name, _ in got}) == 1
